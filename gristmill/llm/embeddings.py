@@ -27,7 +27,7 @@ from gristmill.llm.common import table
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize
 
-THRESHOLD, RECALL, LEAST_BITS, BUCKET_ROWS, BLOCK_ROWS, SEED = 0.95, 0.99, 10, 64, 1024, 7
+THRESHOLD, RECALL, LEAST_BITS, BUCKET_ROWS, BLOCK_ROWS, GROUP_ROWS, SEED = 0.95, 0.99, 10, 64, 1024, 16_384, 7
 
 
 def table_count(bits: int, threshold: float, recall: float) -> int:
@@ -49,48 +49,60 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _links(pdf: pd.DataFrame, threshold: float, bits: int, tables: int, seed: int) -> pd.DataFrame:
-    """Counts and a forest of the links of one block, or between two blocks, of one bucket."""
-    pdf = pdf.sort_values(["side", "rep"], kind="stable")
-    t, cut = int(pdf["t"].iloc[0]), int((pdf["side"] == 0).sum())
-    rep, k, x = pdf["rep"].to_numpy(), pdf["k"].to_numpy(), _unit(pdf["v"])
-    sig = signatures(x, bits, tables, seed)[:, :t]
-    cross = bool(pdf["i"].iloc[0] != pdf["j"].iloc[0])
-    if cross and cut in (0, len(pdf)):
-        return pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
-    a, b = (np.arange(cut), np.arange(cut, len(pdf))) if cross else (np.arange(cut),) * 2
+    """Link counts and forests of all the buckets and pairs of blocks that were dealt to this group."""
+    out = []
+    for _, g in pdf.groupby("dim", sort=False):
+        where = g[["t", "s", "i", "j"]].to_numpy(dtype=np.int64)
+        o = np.lexsort((g["rep"].to_numpy(), g["side"].to_numpy(), *where.T[::-1]))
+        where, rep, k, side = where[o], g["rep"].to_numpy()[o], g["k"].to_numpy()[o], g["side"].to_numpy()[o]
+        x = _unit(g["v"].to_numpy()[o])
+        sig = signatures(x, bits, tables, seed)
+        cuts = np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(o)]):
+            t, _, i, j = where[lo]
+            out += _bucket(rep[lo:hi], k[lo:hi], x[lo:hi], sig[lo:hi, :t], int((side[lo:hi] == 0).sum()), i != j, threshold)
+    return pd.DataFrame(np.concatenate(out) if out else np.empty((0, 3)), columns=["a", "b", "n"]).astype("int64")
+
+
+def _bucket(rep, k, x, sig, cut: int, cross: bool, threshold: float) -> list[np.ndarray]:
+    """Rows (a, a, links) and forest rows (a, b, 0) of one block (rows before cut), or of a block before and one after it."""
+    n = len(rep)
+    if n < 2 or cross and cut in (0, n):
+        return []
+    a, b = (slice(0, cut), slice(cut, n)) if cross else (slice(0, n),) * 2
     hit = x[a] @ x[b].T >= threshold
-    if hit.any() and t:
-        for e in range(t):
-            hit &= sig[a, e][:, None] != sig[b, e][None, :]
     if not cross:
         np.fill_diagonal(hit, False)
-    count = np.zeros(len(pdf), dtype=np.int64)
+    if not hit.any():
+        return []
+    for e in range(sig.shape[1]):  # the first table in which two classes meet counts their link
+        hit &= sig[a, e][:, None] != sig[b, e][None, :]
+    count = np.zeros(n, dtype=np.int64)
     count[a] += hit @ k[b]
     if cross:
         count[b] += k[a] @ hit
-    # a forest: breadth-first over the dense matrix, each row is visited once
-    parent, seen, forest = np.arange(len(pdf)), np.zeros(len(pdf), dtype=bool), []
-    for start in a[hit.any(axis=1)]:
-        if seen[start]:
-            continue
-        seen[start], todo = True, [start]
-        while todo:
-            i = todo.pop()
-            row = b[hit[i]] if not cross or i < cut else a[hit[:, i - cut]]
-            new = row[~seen[row]]
-            seen[new] = True
-            forest += [(rep[start], rep[j]) for j in new]
-            todo += new.tolist()
-    out = pd.DataFrame({"a": rep, "b": rep, "n": count})[count > 0]
-    return pd.concat([out, pd.DataFrame(forest, columns=["a", "b"]).assign(n=0)]).astype("int64") if forest else out.astype("int64")
+    parent = np.arange(n)
+    i, j = np.nonzero(hit)
+    j = j + (cut if cross else 0)
+    while True:
+        lo, hi = np.minimum(parent[i], parent[j]), np.maximum(parent[i], parent[j])
+        m = lo != hi
+        if not m.any():
+            break
+        np.minimum.at(parent, hi[m], lo[m])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    kid, own = np.flatnonzero(parent != np.arange(n)), np.flatnonzero(count)
+    return [np.stack([rep[own], rep[own], count[own]], axis=1), np.stack([rep[kid], rep[parent[kid]], np.zeros(len(kid), dtype=np.int64)], axis=1)]
 
 
 def near_groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL, bits: int | None = None, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
     """One row per row of ``df``: id, n_links, component_id, kept."""
     v = F.col("v")
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = rows.select("id", F.when(fine, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))  # -0.0 becomes 0.0
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    zero = F.lit(0.0).cast(df.schema[vector].dataType.elementType)
+    rows = rows.select("id", F.when(fine, F.transform(v, lambda x: F.when(x == 0, zero).otherwise(x))).alias("v"))  # -0.0 becomes 0.0
     rows = materialize(rows.withColumn("h", F.when(F.col("v").isNull(), F.uuid()).otherwise(F.sha2(F.to_json("v"), 256))), "vectors")
     classes = materialize(rows.filter("v IS NOT NULL").groupBy("h").agg(F.min("id").alias("low"), F.count("*").alias("k"), F.any_value("v").alias("v")).withColumn("rep", F.coalesce("low", -F.abs(F.xxhash64("h")) - 1)), "classes")
     n = classes.count()
@@ -113,7 +125,9 @@ def near_groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     b = b.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     b = b.select("rep", *key, F.least("p", "o").alias("i"), F.greatest("p", "o").alias("j"), (F.col("p") > F.col("o")).cast("int").alias("side"))
     b = b.join(classes.select("rep", "k", "v"), "rep")
-    found = b.groupBy(*key, "i", "j").applyInPandas(lambda pdf: _links(pdf, threshold, bits, tables, seed), "a long, b long, n long")
+    # buckets share task groups of about GROUP_ROWS rows; a block pair is never split, and has 2 * block_rows rows at most or so
+    groups = max(1, -(-n * tables // GROUP_ROWS))
+    found = b.groupBy(F.pmod(F.xxhash64(*key, "i", "j"), F.lit(groups)).alias("g")).applyInPandas(lambda pdf: _links(pdf, threshold, bits, tables, seed), "a long, b long, n long")
     found = materialize(found, "links")
     comp = connected_components(found.filter("a != b").select("a", "b"))
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
