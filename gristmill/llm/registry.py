@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gristmill.llm import decontaminate, embeddings, mixing, pii, secret_scan, sharding, simhash
+from gristmill.llm import decontaminate, embeddings, language_id, lm_score, mixing, pii, secret_scan, sharding, simhash
 
-QUERIES = {f.__name__: f for f in (decontaminate.op1_decontaminate, simhash.op2_simhash, pii.op4_pii, secret_scan.op5_secret_scan, sharding.op6_sharding, mixing.op8_mixing, embeddings.op10_embedding_dedup)}
+QUERIES = {f.__name__: f for f in (decontaminate.op1_decontaminate, simhash.op2_simhash, language_id.op3_language_id, pii.op4_pii, secret_scan.op5_secret_scan, sharding.op6_sharding, lm_score.op7_lm_scoring, mixing.op8_mixing, embeddings.op10_embedding_dedup)}
 SQL: dict[str, str] = {}
