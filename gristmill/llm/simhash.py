@@ -26,7 +26,7 @@ from gristmill.llm.common import table
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize
 
-BITS, SHINGLE, DISTANCE, NODE_ROWS, STEP = 64, 3, 2, 40_000, 16
+BITS, SHINGLE, DISTANCE, NODE_ROWS, STEP = 64, 3, 2, 1 << 17, 16
 
 
 def simhash(text: str | None, width: int = SHINGLE) -> int:
