@@ -18,22 +18,22 @@ def toks(t):
 
 
 def brute_contamination(docs, items):
-    out = set()
+    out, parts = set(), {k: toks(t) for k, t in items}
+    seeds = {}
+    for k, b in parts.items():
+        for m in D.MASKS:
+            for j in range(len(b) - m[-1]):
+                seeds.setdefault((m, *(b[j + o] for o in m)), []).append((k, j))
     for d, t in docs:
         a = toks(t)
-        for k, it in items:
-            b = toks(it)
-            ok = False
-            for m in D.MASKS:
-                for i in range(len(a) - m[-1]):
-                    for j in range(len(b) - m[-1]):
-                        if all(a[i + o] == b[j + o] for o in m):
-                            w = min(len(b), D.WINDOW)
-                            lo = max(0, min(j - 3, len(b) - w))
-                            same = sum(0 <= i - j + q < len(a) and a[i - j + q] == b[q] for q in range(lo, lo + w))
-                            ok |= same >= -(-w * 3 // 4)
-            if ok:
-                out.add((d, k))
+        for m in D.MASKS:
+            for i in range(len(a) - m[-1]):
+                for k, j in seeds.get((m, *(a[i + o] for o in m)), ()):
+                    b = parts[k]
+                    w = min(len(b), D.WINDOW)
+                    lo = max(0, min(j - 3, len(b) - w))
+                    if sum(0 <= i - j + q < len(a) and a[i - j + q] == b[q] for q in range(lo, lo + w)) >= -(-w * 3 // 4):
+                        out.add((d, k))
     return out
 
 
