@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-random order, distributed prefix sums and exact cuts.
 
-Every row gets a random key (a 64-bit hash of id and text). Keys are ranged into equal cells, one aggregate gives
+Every row gets a random key (64 bits of the MD5 of seed, id and text). Keys are ranged into equal cells, one aggregate gives
 each source's cell sums, a prefix sum over a source's cells finds the cell its budget ends in, and only the rows of
 those cells are sorted and summed. A source is cut at one key, so assigning rows is a map-side comparison: no text
 and no full sort is shuffled, and a source with a third of all rows is spread over its cells.
@@ -51,7 +51,7 @@ def _keyed(df: DataFrame, id_col: str, text: str, source: str, seed: int) -> Dat
     return df.withColumns({
         "_sk": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))),
         "size": F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long"),
-        "_h": F.xxhash64(F.lit(seed), F.col(id_col), F.col(text)),
+        "_h": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text))), 1, 16), 16, -10).cast("long"),
     })
 
 
