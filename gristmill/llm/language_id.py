@@ -1,14 +1,15 @@
 """Language identification by prediction by partial matching.
 
-One variable-order context tree per language over byte classes: the blended form of PPM with escape method C, where a
-context of n symbols, d of them distinct, escapes to the next shorter one with weight d / (n + d). Statistics are
-counted once, frozen, and turned into a table of exact code lengths, so scoring a text is an array lookup per byte and
-the language with the shortest code wins.
+One variable-order byte context tree per language: the blended form of PPM with escape method C, where a context of n
+bytes, d of them distinct, escapes to the next shorter one with weight d / (n + d), and the empty context to 256 equal
+bytes. Statistics are counted once, frozen, and turned into tables of exact code lengths; the language with the
+shortest code wins. A block of texts is coded once per distinct gram, not once per byte.
 
-Contexts of two classes exist for all texts; of the contexts of three, the most frequent ``MAX_CONTEXTS`` of the sample are kept,
-others use the shorter context. The model is fitted on a bounded sample: ``SAMPLE_DOCS`` labelled rows per language
-are expected, chosen by a hash of id and text; its size does not grow with the input. Scoring covers every
-byte of every text.
+The bytes are those of the lower-cased text, runs of ASCII characters that are no letters as one space. Contexts have up to
+``ORDER`` bytes; those seen once in the sample are left out, and the rarest too where all trees together have over
+``MAX_GRAMS`` edges, so a text there uses the shorter context. The model is fitted on a bounded sample: ``SAMPLE_DOCS``
+labelled rows per language are expected, chosen by a hash of id and text; its size does not grow with the input.
+Scoring covers every byte of every text.
 
 Null texts and texts without a letter give ``und`` with score 0, as does everything when there is no labelled row. Ties
 go to the language first in code-point order. Rows with a null lang, or that ``train`` leaves out, teach nothing.
@@ -16,6 +17,7 @@ go to the language first in code-point order. Rows with a null lang, or that ``t
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,90 +27,155 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import crc_mod, small, table
 
-SAMPLE_DOCS, MAX_CONTEXTS, A = 1500, 40_000, 64
+SAMPLE_DOCS, ORDER, MAX_GRAMS, BLOCK = 1500, 4, 400_000, 1 << 20
 
 
 @lru_cache(1)
-def _classes() -> np.ndarray:
-    """Byte to class: 0 for ASCII that is no letter, 1-26 for letters, 27-58 for continuation bytes, 59-63 for lead bytes."""
-    c = np.zeros(256, dtype=np.int32)
-    c[97:123] = np.arange(1, 27)
-    c[65:91] = np.arange(1, 27)
-    c[0x80:0xC0] = 27 + (np.arange(64) & 31)
-    c[0xC0:0xC4], c[0xC4:0xD0], c[0xD0:0xE0], c[0xE0:0xF0], c[0xF0:] = 59, 60, 61, 62, 63
+def _fold() -> np.ndarray:
+    """Byte to byte: ASCII that is no letter becomes a space, capitals become small."""
+    c = np.arange(256, dtype=np.uint8)
+    c[:128] = 32
+    c[97:123] = c[65:91] = np.arange(97, 123)
     return c
 
 
 def symbols(text: str) -> np.ndarray:
-    """Classes of the lower-cased text, runs of class 0 as one, after three of class 0 as a start."""
-    s = _classes()[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)]
+    """Bytes of the folded text, runs of spaces as one, after ORDER spaces as a start."""
+    s = _fold()[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), dtype=np.uint8)]
     keep = np.ones(len(s), dtype=bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    return np.concatenate([np.zeros(3, dtype=np.int32), s[keep]])
+    keep[1:] = (s[1:] != 32) | (s[:-1] != 32)
+    return np.concatenate([np.full(ORDER, 32, dtype=np.uint8), s[keep]])
+
+
+def grams(s: np.ndarray) -> np.ndarray:
+    """A number per byte after the start: its ORDER bytes of context, oldest first, then itself."""
+    n = len(s) - ORDER
+    k = np.zeros(n, dtype=np.int64)
+    for j in range(ORDER + 1):
+        k = (k << 8) | s[j:n + j]
+    return k
+
+
+def _pieces(texts: Sequence[str], most: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Grams of the texts in lots of about ``most``, with the index of the text each piece is from."""
+    who, held, size = [], [], 0
+    for i, t in enumerate(texts):
+        s = symbols(t)
+        for a in range(0, len(s) - ORDER, most):
+            g = grams(s[a:a + most + ORDER])
+            who.append(i)
+            held.append(g)
+            size += len(g)
+            if size >= most:
+                yield who, held
+                who, held, size = [], [], 0
+    if held:
+        yield who, held
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
+def _find(keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each k is in the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(k), dtype=np.int64), np.zeros(len(k), dtype=bool)
+    i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+    return i, keys[i] == k
+
+
 class Model:
-    """Code lengths in bits, [context row, class, language]."""
-
-    def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int = MAX_CONTEXTS):
-        """grams: per language the keys of four classes and their counts."""
-        self.langs = sorted(grams, key=str.encode)
-        n = max(1, len(self.langs))
-        total = np.zeros(A**3)
-        for k, c in grams.values():
-            np.add.at(total, k // A, c)
-        room = min(max_contexts, 12_000_000 // (A * n))
-        top = np.argsort(-total, kind="stable")[:room]
-        top = np.sort(top[total[top] >= 2])
-        self.row = (np.arange(A**3) % A**2).astype(np.int32)
-        self.row[top] = A**2 + np.arange(len(top))
-        self.bits = np.zeros(((A**2 + len(top)) * A, n), dtype=np.float32)
-        for j, lang in enumerate(self.langs):
-            k, c = grams[lang]
-            p: np.ndarray = np.full((1, A), 1 / A)
-            for order in range(3):
-                n_s = np.bincount(k % A ** (order + 1), weights=c, minlength=A ** (order + 1)).reshape(-1, A)
-                p = self._blend(n_s, np.tile(p, (len(n_s) // len(p), 1)))
-            rows = self.row[k // A]
-            deep = rows >= A**2
-            n_s = np.bincount((rows[deep] - A**2) * A + k[deep] % A, weights=c[deep], minlength=len(top) * A).reshape(-1, A)
-            p = np.concatenate([p, self._blend(n_s, p[top % A**2])])
-            self.bits[:, j] = -np.log2(p).ravel()
+    """Per order the known edges (context and byte) and contexts, with bits per language of each edge and each escape."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], max_grams: int = MAX_GRAMS):
+        """counts: per language the grams and how often each was seen."""
+        self.langs = sorted(counts, key=str.encode)
+        self.edges: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.escape: list[np.ndarray] = []
+        if not self.langs:
+            return
+        levels, totals = [], []
+        for order in range(ORDER + 1):
+            each = []
+            for lang in self.langs:
+                k, at = np.unique(counts[lang][0] & self.mask(order), return_inverse=True)
+                each.append((k, np.bincount(at, weights=counts[lang][1])))
+            edges = np.unique(np.concatenate([k for k, _ in each]))
+            seen = np.zeros((len(edges), len(self.langs)))
+            for j, (k, c) in enumerate(each):
+                seen[np.searchsorted(edges, k), j] = c
+            _, at = np.unique(edges >> 8, return_inverse=True)
+            levels.append((edges, seen))
+            totals.append(np.bincount(at, weights=seen.sum(axis=1))[at])
+        # a context is seen at least as often as any longer one that ends with it, so one bound keeps whole trees
+        room, often = min(max_grams, 12_000_000 // len(self.langs)), np.sort(np.concatenate(totals))[::-1]
+        least = max(2.0, often[room] + 1 if len(often) > room else 0)
+        p = np.full((1, len(self.langs)), 1 / 256)
+        for order, ((edges, seen), total) in enumerate(zip(levels, totals)):
+            if order:
+                edges, seen = edges[total >= least], seen[total >= least]
+                p = p[np.searchsorted(self.edges[-1], edges & self.mask(order - 1))]
+            contexts, first, at = np.unique(edges >> 8, return_index=True, return_inverse=True)
+            if len(edges):
+                n, d = np.add.reduceat(seen, first, axis=0), np.add.reduceat(seen > 0, first, axis=0, dtype=np.float64)
+                escape = np.where(n > 0, d / np.maximum(n + d, 1), 1)
+                p = seen / np.maximum(n + d, 1)[at] + escape[at] * p
+            else:
+                escape = np.ones((0, len(self.langs)))
+            self.edges.append(edges)
+            self.contexts.append(contexts)
+            self.bits.append(-np.log2(p).astype(np.float32))
+            self.escape.append(-np.log2(escape).astype(np.float32))
 
     @staticmethod
-    def _blend(n_s: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        n, d = n_s.sum(axis=1, keepdims=True), (n_s > 0).sum(axis=1, keepdims=True)
-        return np.where(n > 0, (n_s + d * shorter) / np.maximum(n + d, 1), shorter)
-
-    def code_lengths(self, text: str) -> np.ndarray:
-        s, out = symbols(text), np.zeros(len(self.langs))
-        for i in range(0, len(s) - 3, 1 << 20):
-            t = s[i:i + (1 << 20) + 3]
-            ctx = (t[:-3] * A + t[1:-2]) * A + t[2:-1]
-            out += self.bits[self.row[ctx] * np.int32(A) + t[3:]].sum(axis=0, dtype=np.float64)
+    def mask(order: int) -> int:
+        return (1 << 8 * (order + 1)) - 1
+
+    def gram_bits(self, k: np.ndarray) -> np.ndarray:
+        """Code length of the last byte of each gram after the others, per language."""
+        out, todo = np.zeros((len(k), len(self.langs)), dtype=np.float32), np.arange(len(k))
+        for order in range(ORDER, -1, -1):
+            part = k[todo] & self.mask(order)
+            i, ok = _find(self.edges[order], part)
+            out[todo[ok]] += self.bits[order][i[ok]]
+            todo, part = todo[~ok], part[~ok]
+            i, ok = _find(self.contexts[order], part >> 8)
+            out[todo[ok]] += self.escape[order][i[ok]]
+        out[todo] += 8
+        return out
+
+    def code_lengths(self, texts: Sequence[str]) -> np.ndarray:
+        """Bits [text, language]."""
+        n = len(self.langs)
+        out = np.zeros((len(texts), n))
+        for who, held in _pieces(texts, min(BLOCK, max(1 << 14, (1 << 22) // n))):
+            k, at = np.unique(np.concatenate(held), return_inverse=True)
+            starts = np.cumsum([0, *map(len, held[:-1])])
+            np.add.at(out, who, np.add.reduceat(self.gram_bits(k)[at], starts, axis=0, dtype=np.float64))
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        bits = self.code_lengths(text)
-        best = int(np.argmin(bits))
-        return self.langs[best], float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())
+    def predict(self, texts: Sequence[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and posterior under equal priors of each text."""
+        langs, score = ["und"] * len(texts), np.zeros(len(texts))
+        known = [i for i, t in enumerate(texts) if has_letter(t)] if self.langs else []
+        if known:
+            bits = self.code_lengths([texts[i] for i in known])
+            best = bits.argmin(axis=1)
+            score[known] = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+            for i, b in zip(known, best.tolist()):
+                langs[i] = self.langs[b]
+        return langs, score
 
 
-def _grams(it):
+def _count(it):
     for pdf in it:
         for lang, g in pdf.groupby("lang"):
-            keys = []
-            for t in g["text"]:
-                s = symbols(t)
-                keys.append(((s[:-3] * A + s[1:-2]) * A + s[2:-1]) * A + s[3:])
-            k, c = np.unique(np.concatenate(keys), return_counts=True)
-            yield pd.DataFrame({"lang": lang, "k": k.astype("int64"), "c": c})
+            for _, held in _pieces(g["text"].tolist(), BLOCK):
+                k, c = np.unique(np.concatenate(held), return_counts=True)
+                yield pd.DataFrame({"lang": lang, "k": k, "c": c})
 
 
 def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -117,8 +184,8 @@ def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text
     rows = df.filter(ok if train is None else ok & train).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40)).alias("u"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
     share = df.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample_docs / r["n"]) * (1 << 40))) for r in sizes], "lang string, cut long")
-    got = rows.join(small(share, len(sizes), 64), "lang").filter("u < cut").select("lang", "text").mapInPandas(_grams, "lang string, k long, c long")
-    got = got.groupBy("lang", "k").agg(F.sum("c").alias("c")).toPandas()  # bounded by the sample
+    got = rows.join(small(share, len(sizes), 64), "lang").filter("u < cut").select("lang", "text").mapInPandas(_count, "lang string, k long, c long")
+    got = got.groupBy("lang", "k").agg(F.sum("c").alias("c")).toArrow().to_pandas()  # bounded by the sample
     return Model({g: (x["k"].to_numpy(), x["c"].to_numpy(dtype=np.float64)) for g, x in got.groupby("lang")})
 
 
@@ -128,8 +195,8 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def run(s: pd.Series) -> pd.DataFrame:
-        m = held.value
-        return pd.DataFrame([m.predict(t) for t in s], columns=["lang_pred", "score"])
+        langs, score = held.value.predict(s.tolist())
+        return pd.DataFrame({"lang_pred": langs, "score": score})
 
     return df.withColumn("_l", run(F.col(text))).withColumns({"lang_pred": F.col("_l.lang_pred"), "score": F.col("_l.score")}).drop("_l")
 

@@ -18,20 +18,48 @@ def texts():
     return [(i, " ".join(r.choice(WORDS[g], 12)), g) for i in range(120) for g in (["aa", "bb"][i % 2],)]
 
 
+def ppm_bits(counts, context, x):
+    """Code length by definition: blended PPM, method C, over the contexts seen at least twice."""
+    p = 1 / 256
+    for order in range(L.ORDER + 1):
+        c = {}
+        for g, n in counts.items():
+            if g[L.ORDER - order:-1] == context[L.ORDER - order:]:
+                c[g[-1]] = c.get(g[-1], 0) + n
+        n, d = sum(c.values()), len(c)
+        if n < 2 and order:
+            break
+        p = (c.get(x, 0) + d * p) / (n + d)
+    return -math.log2(p)
+
+
 def test_code_lengths_are_exact():
     s = L.symbols("The Häuser 12 und")
-    assert s[:3].tolist() == [0, 0, 0] and (s >= 0).all() and (s < L.A).all()
-    k = ((s[:-3] * L.A + s[1:-2]) * L.A + s[2:-1]) * L.A + s[3:]
-    m = L.Model({"aa": (k.repeat(3), np.ones(3 * len(k)))})
-    p = np.exp2(-m.bits.astype(float)).reshape(-1, L.A)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)  # every context is a distribution
-    c = {}
-    for x in s[3:].tolist() * 3:
-        c[x] = c.get(x, 0) + 1
-    n, d = sum(c.values()), len(c)
-    order0 = {x: (c.get(x, 0) + d / L.A) / (n + d) for x in range(L.A)}
-    unseen = next(x for x in range(L.A) if x not in s)
-    assert math.isclose(p[m.row[(unseen * L.A + unseen) * L.A + unseen], 5], order0[5], rel_tol=1e-4)  # escapes to order 0
+    assert bytes(s).decode() == "    the häuser und"
+    train = "the häuser und the haus unter dem haus, die häuser"
+    k, c = np.unique(L.grams(L.symbols(train)), return_counts=True)
+    m = L.Model({"aa": (k, c)})
+    counts = {int(g).to_bytes(L.ORDER + 1, "big"): int(n) for g, n in zip(k, c)}
+    for context in (b"    ", b"haus", b" hau", b"zzha", b"zzzz"):
+        bits = m.gram_bits(np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)]))[:, 0]
+        assert math.isclose(np.exp2(-bits.astype(float)).sum(), 1, rel_tol=1e-4)  # every context is a distribution
+        assert np.allclose(bits, [ppm_bits(counts, context, x) for x in range(256)], atol=1e-3)
+    text = "das haus unten"
+    t = bytes(L.symbols(text))
+    want = sum(ppm_bits(counts, t[i - L.ORDER:i], t[i]) for i in range(L.ORDER, len(t)))
+    assert np.allclose(m.code_lengths([text, "", text]), [[want], [0], [want]], atol=1e-2)
+    tight = L.Model({"aa": (k, c)}, max_grams=30)
+    assert sum(map(len, tight.edges[1:])) <= 30 and math.isclose(np.exp2(-tight.gram_bits(np.arange(256) + (97 << 8)).astype(float)).sum(), 1, rel_tol=1e-4)
+
+
+def test_texts_in_pieces(monkeypatch):
+    k, c = np.unique(L.grams(L.symbols("the cat sat on the mat")), return_counts=True)
+    m, some = L.Model({"aa": (k, c), "bb": (k[:5], c[:5])}), ["the cat " * 40, "", "a", "über mat " * 9]
+    whole = m.code_lengths(some)
+    pieces = lambda texts, most: L_pieces(texts, 7)
+    L_pieces = L._pieces
+    monkeypatch.setattr(L, "_pieces", pieces)
+    assert np.allclose(m.code_lengths(some), whole)
 
 
 def test_language_id(spark):
