@@ -26,6 +26,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: the one whose doc_id names the component. A doc_id given twice stays once.
 
+    Rows without a doc_id link to rows of the same fingerprint only; a fingerprint that no row with a doc_id has stays once.
+
     Fingerprints are cheap to redo and link texts to components, so whole texts are not shuffled: the documents that
     stay are found among ids, and the join that brings them back filters the text side.
     """
@@ -36,8 +38,14 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     twice = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
     rest = kept.join(twice, "doc_id", "left_semi")
-    first = rest.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    return once.unionByName(first.select(*docs.columns))
+    first = rest.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    out = once.unionByName(first)
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.isEmpty():
+        return out
+    alone = rows.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
+    alone = simhash.with_fingerprint(nameless, name="_fp").join(alone, "_fp", "left_semi")
+    return out.unionByName(alone.groupBy("_fp").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

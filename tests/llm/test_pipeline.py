@@ -26,5 +26,21 @@ def test_stages_do_what_they_say(spark):
     assert final.count() == C.stage_mix(spark, at, DIR).count() > 0 and {"doc_id", "shard", "slot"} <= set(final.columns)
 
 
+def test_stages_on_nulls_ties_and_empty(spark):
+    a, b, c = "the quick brown fox jumps over the lazy dog again", "der schnelle braune fuchs springt weit", "nobody knows the number of this text"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (2, a, None, None, 1), (None, a, "en", "s", 1), (None, b, "de", "s", 1), (None, b, "de", None, 2), (None, c, "en", "s", None), (5, None, None, "s", None), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, fp long")
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in C.stage_near_duplicates(spark, docs, DIR).collect())
+    assert kept == sorted([(1, a), (0, b), (0, c), (5, "")])
+    for d in (docs, docs.limit(0)):
+        for name, stage in C.STAGES:
+            out = stage(spark, d, DIR)
+            assert name == "shard" or out.columns == docs.columns
+            n = out.count()
+            assert d is docs or n == 0
+            if name in ("decontaminate", "shard") and d is docs:
+                assert n == len(rows)
+
+
 def test_registry():
     assert sorted(registry.QUERIES, key=lambda k: int(k[2:].split("_")[0])) == list(registry.QUERIES) or len(registry.QUERIES) == 10
