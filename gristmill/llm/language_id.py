@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import crc_mod, small, table
 
-SAMPLE_DOCS, ORDER, MAX_GRAMS, BLOCK = 1500, 4, 400_000, 1 << 20
+SAMPLE_DOCS, ORDER, MAX_GRAMS, BLOCK = 1500, 4, 400_000, 1 << 17
 
 
 @lru_cache(1)
