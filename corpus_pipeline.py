@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import decontaminate, language_id, mixing, sharding, simhash
-from gristmill.llm.common import crc_mod, table
+from gristmill.llm import decontaminate, language_id, mixing, sharding, shingle_join
+from gristmill.llm.common import crc_mod, small, table
 from gristmill.sources.materialize import materialize
 
 #: The winning language's posterior below which a text is rejected.
@@ -24,28 +24,20 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: the one whose doc_id names the component. A doc_id given twice stays once.
+    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more, linked in chains).
 
-    Rows without a doc_id link to rows of the same fingerprint only; a fingerprint that no row with a doc_id has stays once.
-
-    Fingerprints are cheap to redo and link texts to components, so whole texts are not shuffled: the documents that
-    stay are found among ids, and the join that brings them back filters the text side.
+    The row with the smallest doc_id stays, one without a doc_id only where no row of the group has one; rows are told apart
+    by a hash of all their columns, so texts that share a doc_id or have none link like any other.
     """
-    rows = simhash.near_groups(docs)
-    keep = materialize(rows.filter("doc_id = component_id").select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # repeated ids are rare; only their rows are reduced to one
-    twice = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    rest = kept.join(twice, "doc_id", "left_semi")
-    first = rest.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
-    out = once.unionByName(first)
-    nameless = docs.filter("doc_id IS NULL")
-    if nameless.isEmpty():
-        return out
-    alone = rows.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("_fp")).distinct()
-    alone = simhash.with_fingerprint(nameless, name="_fp").join(alone, "_fp", "left_semi")
-    return out.unionByName(alone.groupBy("_fp").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
+    named = docs.withColumn("_h", F.xxhash64(*docs.columns))
+    found = shingle_join.near_classes(named).groupBy("_h").agg(F.min("component").alias("component"), F.count("*").alias("_n"))
+    ids = named.select("_h", "doc_id").distinct()
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_n")
+    keep = materialize(found.join(ids, "_h").groupBy("component").agg(F.min(order).alias("r")).select("r._h", "r._n"), "keep")
+    kept = named.join(small(keep, keep.count(), 32), "_h")
+    # equal rows are reduced to one
+    once = kept.filter("_n = 1").select(*docs.columns)
+    return once.unionByName(kept.filter("_n > 1").groupBy("_h").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +56,7 @@ def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", stage_language), ("simhash_dedup", stage_near_duplicates), ("decontaminate", stage_decontaminate), ("mix", stage_mix), ("shard", stage_shard)]
-#: Fingerprints and the language model are no SQL; tests hold the stages against brute-force versions.
+#: Shingle sets and the language model are no SQL; tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
