@@ -22,7 +22,7 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 EDGE, END = r"(?<![A-Za-z0-9.@_+-])", r"(?![A-Za-z0-9_@-])"
 ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-DMY = r"[0-9]{2}[/.][0-9]{2}[/.][0-9]{4}"
+DMY = r"[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
