@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is set."""
+    """Folder named by ``spark.checkpoint.dir``; only where that is unset and all runs in one process a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -25,20 +27,26 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table under the shared folder and read it back.
 
     Columnar and compressed, so it costs far less disk than a row checkpoint, survives lost executors, and
-    gives the next plan real sizes to choose joins by.
+    gives the next plan real sizes to choose joins by. The table goes with :func:`release`, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/gristmill-{name}-{uuid.uuid4().hex}"
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gristmill_path = path
     return out
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by :func:`materialize` (no-op for other frames)."""
     path = getattr(df, "_gristmill_path", None)
     if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        p, fs = _hadoop(df.sparkSession, path)
+        fs.delete(p, True)
