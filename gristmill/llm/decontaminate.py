@@ -1,30 +1,37 @@
 """Benchmark decontamination by spaced-seed hashing. DataFrame functions only.
 
-A text becomes an array of word hashes. At each position each fixed mask picks some of the next words and hashes them,
-so a substitution at an ignored position does not change the seed. Test seeds and training seeds meet in a hash
-join, and a hit is verified on its diagonal: of the ``WINDOW`` item words around it (or the whole item, if shorter) at
-least ``SHARE`` must equal the training words.
-
-Seeds of the benchmark are broadcast while their counted bytes fit the bound; then hits are verified in the same
-stage, and the training texts are never shuffled. Beyond the bound, hits are joined by shuffle and brought back to the
-texts that have any. Only verified pairs leave a task, merged per document and item.
-
-Items of fewer words than the shortest mask (5) are no evidence and are never reported. Null and empty texts have no
-words. Repeated doc_ids are reported per distinct text; a null doc_id is kept. Empty inputs give an empty result.
+A text becomes an array of word hashes. At each position each fixed mask picks four of the next five words and hashes
+them, so a substitution at the ignored position does not change the seed. Test seeds and training seeds meet in a hash
+join, and a hit is verified on its diagonal: some ``WINDOW`` consecutive item words that hold the seed (the whole item, if it is
+shorter) must equal the training words in at least ``SHARE`` of their places. The masks reach every allowed pattern of
+substitutions in windows of 5 to 13 words but one (8 words, the two middle ones replaced). Items of fewer than 5 words
+are matched exactly, as a whole.
+
+A hit carries the 22 training words around it and no more, and texts are cut into overlapping chunks before that, so
+work and memory are linear in the length of a text. Seeds of the benchmark are broadcast while their counted bytes fit
+the bound; then the training texts are never shuffled. Beyond the bound (id, position, seed) rows are joined by shuffle,
+salted against frequent seeds, and only texts with a hit are read again. Both plans give the same rows.
+
+Null and empty texts have no words. Equal rows of doc_id and text are reported once, other texts of the same doc_id on
+their own; a null doc_id is kept. Other columns are not read, so their names cannot clash. Ties do not matter: the best
+window counts. Empty inputs give an empty result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import BROADCAST_BYTES, small, table, text_or_empty
 from gristmill.sources.materialize import materialize
 
-MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 4, 6), (0, 2, 3, 5, 8))
-WINDOW, SHARE = 13, 0.75
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
+#: Masks for whole items of one, two and three words; they are used only where the benchmark has such items.
+SHORT = ((0,), (0, 1), (0, 1, 2))
+WINDOW, SHARE, SPAN, CHUNK, SALTS = 13, 0.75, 5, 1024, 16
+#: Words around a hit that a window with the first four words of the seed can reach: BACK before its position, REACH in all.
+BACK = WINDOW - 4
+REACH = BACK + WINDOW
 
 
 def word_hashes(text: str | Column) -> Column:
@@ -32,46 +39,79 @@ def word_hashes(text: str | Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, words: str, at: str) -> DataFrame:
-    """Rows of ``df`` by position and mask: ``at`` and seed."""
-    h, i = F.col(words), F.col(at)
-    df = df.filter(F.size(h) > MASKS[0][-1]).withColumn(at, F.explode(F.sequence(F.lit(0), F.size(h) - 1 - MASKS[0][-1])))
+def _seeds(h: Column, i: Column, masks: dict[int, tuple[int, ...]]) -> Column:
+    """The seeds at position ``i`` (from 0) of the word hashes ``h``; masks that reach beyond the text give none."""
     one = lambda m, mask: F.when(i + mask[-1] < F.size(h), F.xxhash64(F.lit(m), *[F.get(h, i + o) for o in mask]))
-    return df.withColumn("seed", F.explode(F.array(*[one(m, mask) for m, mask in enumerate(MASKS)]))).filter("seed IS NOT NULL")
+    return F.array_compact(F.array(*[one(m, mask) for m, mask in masks.items()]))
+
+
+def _around(h: Column, i: Column) -> Column:
+    """The REACH words from BACK before ``i``; null beyond the ends."""
+    return F.transform(F.sequence(F.lit(0), F.lit(REACH - 1)), lambda k: F.when(i - BACK + k >= 0, F.get(h, i - BACK + k)))
+
+
+def _places(df: DataFrame, masks: dict[int, tuple[int, ...]], around: bool) -> DataFrame:
+    """doc_id, text_hash, i, seed of every position of every text (and its words around it); ``df`` has their hashes h."""
+    chunk = F.slice("h", F.greatest(F.lit(1), F.col("c") * CHUNK + 1 - BACK), F.when(F.col("c") == 0, CHUNK + WINDOW).otherwise(CHUNK + REACH))
+    df = df.filter(F.size("h") > 0).withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / CHUNK).cast("int"))))
+    first = F.when(F.col("c") == 0, 0).otherwise(BACK)
+    last = F.least(first + CHUNK, F.size("g")) - 1
+    at = lambda k: F.struct((F.col("c") * CHUNK + k - first).alias("i"), _seeds(F.col("g"), k, masks).alias("seeds"), *([_around(F.col("g"), k).alias("w")] if around else []))
+    df = df.select("doc_id", "text_hash", "c", chunk.alias("g")).select("doc_id", "text_hash", F.explode(F.transform(F.sequence(first, last), at)).alias("p"))
+    return df.select("doc_id", "text_hash", "p.i", F.explode("p.seeds").alias("seed"), *(["p.w"] if around else []))
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    """hits: doc_id, text_hash, h, i, item_id, ih, j. One row per document text and item that passes at some hit."""
-    n, d = F.size("ih"), F.col("i") - F.col("j")
-    same = lambda lo, k: F.size(F.filter(F.sequence(F.lit(0), k - 1), lambda q: F.when(d + lo + q >= 0, F.get(F.col("h"), d + lo + q) == F.get(F.col("ih"), lo + q))))
-    size = F.least(n, F.lit(WINDOW))
-    lo = F.greatest(F.lit(0), F.least(F.col("j") - 3, n - size))
-    ok = hits.filter(same(lo, size) >= F.ceil(size * SHARE))
-    ok = ok.select("doc_id", "text_hash", "item_id", n.alias("item_words"), same(F.lit(0), n).alias("matched"))
-    return ok.groupBy("doc_id", "text_hash", "item_id").agg(F.max("item_words").alias("item_words"), F.max("matched").alias("matched_words"), F.count("*").alias("hits"))
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """doc_id, text_hash, item_id, item_words, matched_words (best diagonal), hits; one row per document text and item."""
-    items = materialize(benchmark.select(F.col(item_id).alias("item_id"), word_hashes(item_text).alias("ih")).filter(F.size("ih") > MASKS[0][-1]), "items")
-    words, n_items = items.agg(F.coalesce(F.sum(F.size("ih")), F.lit(0)), F.count("*")).first()
-    seeds = _seeds(items, "ih", "j").select("seed", "item_id", "j").distinct()
+    """hits: doc_id, text_hash, i, w, item_id, ih, j. One row per document text and item that passes at some hit."""
+    n, j = F.size("ih"), F.col("j")
+    equal = F.zip_with("w", _around(F.col("ih"), j), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    hits = hits.select("doc_id", "text_hash", "i", "item_id", "j", n.alias("n"), equal.alias("eq"))
+    size = F.least(F.col("n"), F.lit(WINDOW))
+    need = F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.ceil(size * SHARE))
+    # windows that lie in the item and hold the seed, by their first word relative to BACK before the hit
+    lo = F.greatest(F.lit(0), F.lit(BACK) - j)
+    hi = F.least(F.lit(BACK), F.col("n") - size - j + BACK)
+    same = F.transform(F.sequence(lo, hi), lambda s: F.size(F.filter(F.slice("eq", s + 1, size), lambda x: x)))
+    ok = hits.withColumn("m", F.array_max(same)).filter(F.col("m") >= need)
+    return ok.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n").alias("item_words"), F.max("m").alias("matched_words"), F.count_distinct("i", "j").alias("hits"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least_words: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, text_hash, item_id, item_words, matched_words (best window), hits (places verified); one row per document text and item.
+
+    Items of fewer than ``least_words`` words are left out.
+    """
+    items = materialize(benchmark.select(F.col(item_id).alias("item_id"), word_hashes(item_text).alias("ih")).filter(F.size("ih") >= max(1, least_words)), "items")
+    words, n_items, *few = items.agg(F.coalesce(F.sum(F.size("ih")), F.lit(0)), F.count("*"), *[F.count_if(F.size("ih") == len(m)) for m in SHORT]).first()
+    masks = dict(enumerate(MASKS)) | {len(MASKS) + k: m for k, m in enumerate(SHORT) if few[k]}
+    at = F.explode(F.sequence(F.lit(0), F.size("ih") - 1)).alias("j")
+    seeds = items.select("item_id", "ih", at).select(F.explode(_seeds(F.col("ih"), F.col("j"), dict(enumerate(MASKS)))).alias("seed"), "item_id", "j")
+    for m, mask in masks.items():
+        if mask in SHORT:
+            whole = items.filter(F.size("ih") == len(mask))
+            seeds = seeds.unionByName(whole.select(F.explode(_seeds(F.col("ih"), F.lit(0), {m: mask})).alias("seed"), "item_id", F.lit(0).alias("j")))
+    seeds = seeds.distinct()
     t = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_hashes(text).alias("h"))
-    if words * (len(MASKS) * 32 + 8) <= broadcast_bytes:
-        hits = _seeds(t, "h", "i").join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id")
-        return _verified(hits)
-    hits = _seeds(t, "h", "i").select("doc_id", "text_hash", "i", "seed").join(seeds, "seed").select("doc_id", "text_hash", "i", "item_id", "j")
-    hits = materialize(hits.distinct(), "hits")
-    key = hits["doc_id"].eqNullSafe(t["doc_id"]) & (hits["text_hash"] == t["text_hash"])
-    back = hits.join(t.dropDuplicates(["doc_id", "text_hash"]), key).select(hits["doc_id"], hits["text_hash"], "i", "item_id", "j", "h")
-    return _verified(back.join(items, "item_id"))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose text holds no benchmark passage, with their columns. Null texts stay."""
-    bad = materialize(contamination(docs.withColumn("doc_id", F.lit(None).cast("long")), benchmark, text=text).select("text_hash").distinct(), "bad")
-    keyed = docs.withColumn("_th", F.xxhash64(text))
-    return keyed.join(small(bad.withColumnRenamed("text_hash", "_th"), bad.count(), 16), "_th", "left_anti").select(*docs.columns)
+    if words * (len(masks) * 32 + 8) <= broadcast_bytes:
+        return _verified(_places(t, masks, True).join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id"))
+    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    places = _places(t, masks, False).withColumn("salt", F.pmod(F.xxhash64("doc_id", "i"), F.lit(SALTS)).cast("int"))
+    hits = materialize(places.join(salted, ["seed", "salt"]).select("doc_id", "text_hash", "i", "item_id", "j").distinct(), "hits")
+    have = materialize(hits.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct(), "hit")
+    key = lambda a: F.col("_d").eqNullSafe(a["doc_id"]) & (F.col("_t") == a["text_hash"])
+    read = t.join(small(have, have.count(), 32), key(t), "left_semi").groupBy("doc_id", "text_hash").agg(F.any_value("h").alias("h"))
+    read = read.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "h")
+    back = hits.join(read, key(hits)).select("doc_id", "text_hash", "i", _around(F.col("h"), F.col("i")).alias("w"), "item_id", "j")
+    return _verified(back.join(small(items, words, 16), "item_id"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words: int = SPAN) -> DataFrame:
+    """Rows of ``docs`` whose text holds no benchmark passage, with their columns.
+
+    Items of fewer than ``least_words`` words are no passage: single common words would empty the corpus. Null texts stay.
+    """
+    bad = materialize(contamination(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), benchmark, least_words=least_words).select(F.col("text_hash").alias("_gm_hash")).distinct(), "bad")
+    return docs.join(small(bad, bad.count(), 16), F.xxhash64(docs[text]) == F.col("_gm_hash"), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from gristmill.llm.decontaminate import MASKS, SHARE, WINDOW
+from gristmill.llm.decontaminate import BACK, MASKS, SHARE, SHORT, SPAN, WINDOW
 from gristmill.llm.embeddings import THRESHOLD
 
 
-def _seeds(source: str, key: str, words: str, at: str) -> str:
-    """Words under each mask at each position, as text; the mask's number keeps masks apart."""
+def _seeds(source: str, key: str, words: str, at: str, whole: bool) -> str:
+    """Words under each mask at each position, as text; the mask's number keeps masks apart. Short masks match whole items only."""
     return " UNION ".join(
         f"SELECT {key}, {at}, concat_ws(' ', '{m}', {', '.join(f'{words}[{at} + {o + 1}]' for o in mask)}) AS seed "
-        f"FROM (SELECT {key}, {words}, unnest(range(0, len({words}) - {mask[-1]})) AS {at} FROM {source})"
-        for m, mask in enumerate(MASKS))
-
-
-def _same(lo: str, k: str) -> str:
-    return f"len(list_filter(range(0, {k}), lambda q: i - j + {lo} + q >= 0 AND h[i - j + {lo} + q + 1] = ih[{lo} + q + 1]))"
+        f"FROM (SELECT {key}, {words}, unnest(range(0, len({words}) - {mask[-1]})) AS {at} FROM {source}{f' WHERE len({words}) = {len(mask)}' if whole and mask in SHORT else ''})"
+        for m, mask in enumerate(MASKS + SHORT))
 
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -23,13 +19,15 @@ _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{
 OP1 = f"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, text, {_WORDS} AS h FROM documents),
 b AS (SELECT item_id, {_WORDS} AS ih FROM benchmark),
-ts AS ({_seeds('t', 'rid', 'h', 'i')}),
-bs AS ({_seeds('b', 'item_id', 'ih', 'j')}),
-hits AS (SELECT rid, i, item_id, j FROM ts JOIN bs USING (seed)),
-wide AS (SELECT doc_id, text, item_id, h, ih, i, j, len(ih) AS n, least(len(ih), {WINDOW}) AS size, greatest(0, least(j - 3, len(ih) - least(len(ih), {WINDOW}))) AS lo
+ts AS ({_seeds('t', 'rid', 'h', 'i', False)}),
+bs AS ({_seeds('b', 'item_id', 'ih', 'j', True)}),
+hits AS (SELECT DISTINCT rid, i, item_id, j FROM ts JOIN bs USING (seed)),
+wide AS (SELECT doc_id, text, item_id, h, ih, i, j, len(ih) AS n, least(len(ih), {WINDOW}) AS size,
+         unnest(range(greatest(0, j - {BACK}), least(j, len(ih) - least(len(ih), {WINDOW})) + 1)) AS lo
          FROM hits JOIN t USING (rid) JOIN b USING (item_id)),
-ok AS (SELECT doc_id, text, item_id, n, {_same('0', 'n')} AS matched FROM wide WHERE {_same('lo', 'size')} >= ceil(size * {SHARE}))
-SELECT doc_id, item_id, max(n) AS item_words, max(matched) AS matched_words, count(*) AS hits FROM ok GROUP BY doc_id, text, item_id
+eq AS (SELECT doc_id, text, item_id, i, j, n, size, len(list_filter(range(lo, lo + size), lambda q: i - j + q >= 0 AND h[i - j + q + 1] = ih[q + 1])) AS matched FROM wide),
+ok AS (SELECT * FROM eq WHERE matched >= CASE WHEN n < {SPAN} THEN n ELSE ceil(size * {SHARE}) END)
+SELECT doc_id, item_id, max(n) AS item_words, max(matched) AS matched_words, count(DISTINCT (i, j)) AS hits FROM ok GROUP BY doc_id, text, item_id
 """
 
 # unit: what one weight gets once the sources before it (by cap / weight) have stopped at their caps; it peaks at the first source that does not

@@ -1,6 +1,7 @@
 """Decontamination, PII and secrets against plain Python versions."""
 
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -18,22 +19,18 @@ def toks(t):
 
 
 def brute_contamination(docs, items):
+    """All windows of all items at all offsets; no seeds."""
     out, parts = set(), {k: toks(t) for k, t in items}
-    seeds = {}
-    for k, b in parts.items():
-        for m in D.MASKS:
-            for j in range(len(b) - m[-1]):
-                seeds.setdefault((m, *(b[j + o] for o in m)), []).append((k, j))
     for d, t in docs:
         a = toks(t)
-        for m in D.MASKS:
-            for i in range(len(a) - m[-1]):
-                for k, j in seeds.get((m, *(a[i + o] for o in m)), ()):
-                    b = parts[k]
-                    w = min(len(b), D.WINDOW)
-                    lo = max(0, min(j - 3, len(b) - w))
-                    if sum(0 <= i - j + q < len(a) and a[i - j + q] == b[q] for q in range(lo, lo + w)) >= -(-w * 3 // 4):
-                        out.add((d, k))
+        for k, b in parts.items():
+            w = min(len(b), D.WINDOW)
+            need = len(b) if len(b) < D.SPAN else -(-w * 3 // 4)
+            for off in range(-len(b), len(a)) if b else ():
+                eq = [0 <= off + q < len(a) and a[off + q] == b[q] for q in range(len(b))]
+                if sum(eq) >= need and any(sum(eq[lo:lo + w]) >= need for lo in range(len(b) - w + 1)):
+                    out.add((d, k))
+                    break
     return out
 
 
@@ -56,14 +53,51 @@ def test_decontamination_matches_brute_force(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(0)).withColumn("h", F.lit("x"))
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute_contamination(docs, items)
+    both = []
     for limit in (D.BROADCAST_BYTES, 0):  # both ways to join
         got = D.contamination(d, b, broadcast_bytes=limit).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+        both.append(sorted(got))
+    assert both[0] == both[1]
     left = {r["doc_id"] for r in D.clean(d, b).collect()}
-    assert left == {i for i, _ in docs} - {i for i, _ in want} and D.clean(d, b).columns == d.columns
+    long_ = {k for k, t in items if len(toks(t)) >= D.SPAN}
+    assert left == {i for i, _ in docs} - {i for i, k in want if k in long_} and D.clean(d, b).columns == d.columns
     assert D.contamination(d.limit(0), b).count() == 0 and D.contamination(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_repeated_rows_and_short_items(spark):
+    docs = [(1, "zero alpha beta gamma delta five"), (1, "zero alpha beta gamma delta five"), (1, "alpha"), (None, "One two. THREE!"), (None, "one two")]
+    items = [(1, "alpha beta gamma delta epsilon"), (2, "one two three"), (3, "one"), (4, "two three"), (5, ""), (6, "gamma delta five six seven eight")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (D.BROADCAST_BYTES, 0):
+        got = D.contamination(d, b, broadcast_bytes=limit).collect()
+        assert sorted(((r["doc_id"], r["item_id"], r["item_words"], r["matched_words"], r["hits"]) for r in got), key=repr) == [
+            (1, 1, 5, 4, 1), (None, 2, 3, 3, 1), (None, 3, 1, 1, 1), (None, 3, 1, 1, 1), (None, 4, 2, 2, 1)]
+
+
+def test_decontamination_recall_of_every_allowed_pattern(spark):
+    docs, items, n_of = [], [], {}
+    for n in range(5, 14):
+        words = [f"n{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for gone in itertools.combinations(range(n), n - -(-n * 3 // 4)):
+            n_of[len(docs)] = n
+            docs.append((len(docs), "before it " + " ".join("xx" if k in gone else w for k, w in enumerate(words)) + " and after"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in D.contamination(d, b).collect()}
+    assert found <= set(n_of.items())
+    missed = [n for k, n in n_of.items() if (k, n) not in found]
+    assert missed == [8]  # 1 of 28 patterns of 8 words
+
+
+def test_decontamination_very_long_text(spark):
+    words = [f"w{k}" for k in range(30_000)]
+    d = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    b = spark.createDataFrame([(k, " ".join(words[k:k + 20])) for k in (0, 1010, 1020, 2040, 29_980)] + [(-1, " ".join(words[::-1][:20]))], "item_id long, text string")
+    got = {r["item_id"]: (r["matched_words"], r["hits"]) for r in D.contamination(d, b).collect()}
+    assert got == {k: (13, 17) for k in (0, 1010, 1020, 2040, 29_980)}
+
+
 # --- secrets
 
 
