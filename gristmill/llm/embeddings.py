@@ -10,8 +10,10 @@ Tables follow from the number of bits and the recall asked for at the threshold;
 classes, so that buckets keep their mean size at any scale.
 
 Vectors that are null, empty, zero or hold null or non-finite components get no links and are components of their
-own. Vectors of different lengths never link. Rows with a null vec_id still count as links of others; their own
-component is that of their class, or null if nothing in it has an id. Empty input gives an empty result.
+own. Vectors of different lengths never link. Every row gives a row: a vec_id given twice with different vectors keeps a row,
+links and a component for each. Rows with a null vec_id still count as links of others; their own
+component is named by the smallest id in it, or null if nothing in it has an id. Only id and vector are read, so other columns
+cannot clash. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,7 +106,7 @@ def near_groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     zero = F.lit(0.0).cast(df.schema[vector].dataType.elementType)
     rows = rows.select("id", F.when(fine, F.transform(v, lambda x: F.when(x == 0, zero).otherwise(x))).alias("v"))  # -0.0 becomes 0.0
     rows = materialize(rows.withColumn("h", F.when(F.col("v").isNull(), F.uuid()).otherwise(F.sha2(F.to_json("v"), 256))), "vectors")
-    classes = materialize(rows.filter("v IS NOT NULL").groupBy("h").agg(F.min("id").alias("low"), F.count("*").alias("k"), F.any_value("v").alias("v")).withColumn("rep", F.coalesce("low", -F.abs(F.xxhash64("h")) - 1)), "classes")
+    classes = materialize(rows.filter("v IS NOT NULL").groupBy("h").agg(F.min("id").alias("low"), F.count("*").alias("k"), F.any_value("v").alias("v")).withColumn("rep", F.monotonically_increasing_id()), "classes")
     n = classes.count()
     bits = bits or max(LEAST_BITS, math.ceil(math.log2(max(n, 1) / BUCKET_ROWS)))
     tables = table_count(bits, threshold, recall)
@@ -131,7 +133,7 @@ def near_groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     found = materialize(found, "links")
     comp = connected_components(found.filter("a != b").select("a", "b"))
     links = found.filter("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    # ids made up for classes without any id must not name a component
+    # classes have numbers of their own, since a vec_id may stand for several vectors; ids name components only at the end
     seen = classes.select("rep", "low").join(comp, classes["rep"] == comp["node"], "left").withColumn("root", F.coalesce("component", "rep"))
     names = seen.groupBy("root").agg(F.min("low").alias("component_id"))
     info = classes.select("h", "rep", "k").join(links, "rep", "left").join(seen.select("rep", "root"), "rep").join(names, "root").select("h", (F.coalesce("n", F.lit(0)) + F.col("k") - 1).alias("n_links"), "component_id")

@@ -6,8 +6,9 @@ those cells are sorted and summed. A source is cut at one key, so assigning rows
 and no full sort is shuffled, and a source with a third of all rows is spread over its cells.
 
 Null text has size 0; null sources form a source of their own, last in code-point order; null ids are allowed.
-Identical rows share a key and share what is left at the cut evenly. Empty input gives an empty result. Names
-that the operator adds (size, source_size, target, taken) replace columns of the same name.
+Identical rows share a key and share what is left at the cut evenly. Empty input gives an empty result. Very long texts are
+rows like any other (the cut leaves at most one key's rows in part). Columns are held under names of their own while the operator
+works, so no name of the input can clash; :func:`mix` returns id, source and the columns it adds, :func:`mixed_rows` the input's.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import WORD, small, table, text_or_empty
 from gristmill.sources.materialize import materialize
 
-CELL_BITS = 10
+#: Cells of a source: at least 2^CELL_BITS, and so many that a cell has about CELL_ROWS rows, which is what one task sorts.
+CELL_BITS, CELL_ROWS = 10, 100_000
 
 
 def cyclic_weights(n: int) -> list[float]:
@@ -47,12 +49,13 @@ def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = 3.0, to
 
 
 def _keyed(df: DataFrame, id_col: str, text: str, source: str, seed: int) -> DataFrame:
-    """Adds _sk (source, null apart), size (words) and _h (random key)."""
-    return df.withColumns({
-        "_sk": F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))),
+    """The columns of ``df`` as _in0, _in1, ..., and _sk (source, null apart), size (words) and _h (random key)."""
+    id_col, text, source = (df[c] for c in (id_col, text, source))
+    return df.select(*[df[c].alias(f"_in{i}") for i, c in enumerate(df.columns)], *[c.alias(k) for k, c in {
+        "_sk": F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source.cast("string"))),
         "size": F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long"),
-        "_h": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), text_or_empty(text))), 1, 16), 16, -10).cast("long"),
-    })
+        "_h": F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(id_col.cast("string"), F.lit("")), text_or_empty(text))), 1, 16), 16, -10).cast("long"),
+    }.items()])
 
 
 def mixture_cuts(rows: DataFrame, weights: Callable[[int], Sequence[float]] = cyclic_weights, cap: float = 3.0) -> tuple[DataFrame, int]:
@@ -61,7 +64,8 @@ def mixture_cuts(rows: DataFrame, weights: Callable[[int], Sequence[float]] = cy
     ``rows`` has _sk, size, _h. The driver holds one total per source and nothing per document.
     """
     spark = rows.sparkSession
-    cell = F.shiftrightunsigned("_h", 64 - CELL_BITS)
+    bits = min(40, max(CELL_BITS, (rows.count() // CELL_ROWS).bit_length()))
+    cell = F.shiftrightunsigned("_h", 64 - bits)
     cells = materialize(rows.groupBy("_sk", cell.alias("cell")).agg(F.sum("size").alias("n")), "cells")
     sums = {r["_sk"]: r["n"] for r in cells.groupBy("_sk").agg(F.sum("n").alias("n")).collect()}
     names = sorted(sums, key=lambda s: (s == "n", s.encode()))
@@ -87,9 +91,10 @@ def _taken(rows: DataFrame, cuts: DataFrame, n: int) -> DataFrame:
 
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=cyclic_weights, cap: float = 3.0, seed: int = 0) -> DataFrame:
     """One row per row of ``df``: id, size, source, source_size, target, taken."""
-    rows = materialize(_keyed(df, id_col, text, source, seed).select(id_col, source, "_sk", "size", "_h"), "mix")
+    keys = [f"_in{df.columns.index(c)}" for c in (id_col, source)]
+    rows = materialize(_keyed(df, id_col, text, source, seed).select(*keys, "_sk", "size", "_h"), "mix")
     cuts, n = mixture_cuts(rows, weights, cap)
-    return _taken(rows, cuts, n).select(id_col, source, "size", "source_size", "target", "taken")
+    return _taken(rows, cuts, n).select(F.col(keys[0]).alias(id_col), F.col(keys[1]).alias(source), "size", "source_size", "target", "taken")
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=cyclic_weights, cap: float = 3.0, seed: int = 0) -> DataFrame:
@@ -100,7 +105,8 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text: str = "text", source
     keyed = _keyed(df, id_col, text, source, seed)
     cuts, n = mixture_cuts(materialize(keyed.select("_sk", "size", "_h"), "mix"), weights, cap)
     copies = F.when(F.col("size") > 0, F.col("epochs") + (F.col("_extra") * 2 >= F.col("size")).cast("long"))
-    return _taken(keyed, cuts, n).withColumn("_n", copies).filter("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[keyed[c] for c in df.columns])
+    rows = _taken(keyed, cuts, n).withColumn("_n", copies).filter("_n > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return rows.select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,16 @@ Fingerprints are made in Arrow batches, equal ones are merged first (a group of
 distinct ones are joined with themselves by walking pairs of trie nodes, adding up differing bits and dropping a pair
 whose error budget is spent.
 
-Distribution: trie levels are the fingerprint's bits, the most balanced first. Prefix counts (bounded, never
-fingerprints) come to the driver, which splits nodes until each holds at most ``node_rows`` keys and walks node
+Distribution: trie levels are the fingerprint's bits, the most balanced first. Prefix counts (2^16, then at most 16 for each
+overfull node; never fingerprints) come to the driver, which splits nodes until each holds at most ``node_rows`` keys, or
+the ``MOST_NODES``-th part of all if that is more, so the driver and the broadcast list of node pairs stay bounded. It walks node
 pairs down to those leaves; each surviving pair of leaves is one task group that walks on. A task returns a forest of links,
 not all pairs, and skips node pairs that already lie in one component, so a dense cluster costs no quadratic
-output. Components are then joined across tasks by distributed star contraction.
+output. Components are then joined across tasks by distributed star contraction, between fingerprints; ids are attached at the end.
 
-Null and empty texts have fingerprint zero and link like any other. Equal doc_ids are allowed; a null doc_id gets
-the component of its group, or null if no member has an id. An empty table gives an empty result.
+Null and empty texts have fingerprint zero and link like any other. Equal doc_ids and repeated rows are allowed (a row each); a
+null doc_id links and bridges like any other and gets the smallest id of its component, or null if no member has one. Very long
+texts are hashed whole. Only id and text are read, so other columns cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from gristmill.llm.common import table
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize
 
-BITS, SHINGLE, DISTANCE, NODE_ROWS, STEP = 64, 3, 2, 1 << 17, 16
+BITS, SHINGLE, DISTANCE, NODE_ROWS, MOST_NODES, FIRST_STEP, STEP = 64, 3, 2, 1 << 17, 4096, 16, 4
 
 
 def simhash(text: str | None, width: int = SHINGLE) -> int:
@@ -125,13 +127,13 @@ def trie_forest(keys: np.ndarray, cut: int | None, distance: int = DISTANCE) ->
     return parent
 
 
-def _leaves(counts: dict[int, int], depth: int, base: int, rows: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """Leaves (depth, prefix) of the node ``base`` at ``depth``, by counts of prefixes STEP deeper; and prefixes still too full."""
+def _leaves(counts: dict[int, int], depth: int, base: int, rows: int, step: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Leaves (depth, prefix) of the node ``base`` at ``depth``, by counts of prefixes ``step`` deeper; and prefixes still too full."""
     out, full = [], []
     total: dict[tuple[int, int], int] = {}
     for p, n in counts.items():
-        for k in range(STEP + 1):
-            key = (depth + k, p >> (STEP - k))
+        for k in range(step + 1):
+            key = (depth + k, p >> (step - k))
             total[key] = total.get(key, 0) + n
     todo = [(depth, base)]
     while todo:
@@ -141,7 +143,7 @@ def _leaves(counts: dict[int, int], depth: int, base: int, rows: int) -> tuple[l
             continue
         if n <= rows or d == BITS:
             out.append((d, p))
-        elif d == depth + STEP:
+        elif d == depth + step:
             full.append(p)
         else:
             todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
@@ -175,36 +177,34 @@ def _node_pairs(leaves: list[tuple[int, int]], distance: int) -> list[tuple[int,
 
 
 def near_links(classes: DataFrame, distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
-    """Links (a, b) between representatives, enough to connect all fingerprints at ``distance`` bits or fewer.
-
-    ``classes``: distinct fp, rep (one row per fingerprint).
-    """
+    """Links (a, b) between fingerprints, enough to connect all at ``distance`` bits or fewer. ``classes``: distinct fp."""
     spark = classes.sparkSession
     ones = classes.agg(F.count("*"), *[F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(1)) for i in range(BITS)]).first()
     n = ones[0]
     order = sorted(range(BITS), key=lambda i: (abs(2 * (ones[i + 1] or 0) - n), i))
-    leaves, full, depth = [], [0], 0
+    node_rows = max(node_rows, n // MOST_NODES)
+    leaves, full, depth, step = [], [0], 0, FIRST_STEP
     while full:
         want, lo = np.array(sorted(full), dtype=np.uint64), depth
 
-        def count(it, want=want, lo=lo):
+        def count(it, want=want, lo=lo, step=step):
             for pdf in it:
                 k = _permute(pdf["fp"].to_numpy().astype(np.int64).view(np.uint64), order)
                 if lo:
                     k = k[np.isin(k >> np.uint64(BITS - lo), want)]
-                p, c = np.unique(k >> np.uint64(BITS - lo - STEP), return_counts=True)
+                p, c = np.unique(k >> np.uint64(BITS - lo - step), return_counts=True)
                 yield pd.DataFrame({"p": p.astype(np.uint64).view(np.int64), "n": c})
 
         got: dict[int, dict[int, int]] = {}
         for r in classes.select("fp").mapInPandas(count, "p long, n long").groupBy("p").agg(F.sum("n").alias("n")).collect():
             p = r["p"] % (1 << 64)
-            got.setdefault(p >> STEP, {})[p] = r["n"]
+            got.setdefault(p >> step, {})[p] = r["n"]
         full = []
         for base, counts in sorted(got.items()):
-            new, more = _leaves(counts, depth, base, node_rows)
+            new, more = _leaves(counts, depth, base, node_rows, step)
             leaves += new
             full += more
-        depth += STEP
+        depth, step = depth + step, STEP
     leaves.sort(key=lambda x: x[1] << (BITS - x[0]))
     starts = np.array([p << (BITS - d) for d, p in leaves], dtype=np.uint64)
     pairs = _node_pairs(leaves, distance)
@@ -212,36 +212,40 @@ def near_links(classes: DataFrame, distance: int = DISTANCE, node_rows: int = NO
     node, pair, side = (np.array([e[i] for e in ends], dtype=np.int64) for i in range(3))
     first = np.searchsorted(node, np.arange(len(leaves) + 1))
 
+    plan = spark.sparkContext.broadcast((starts, first, pair, side))
+
     def deal(it):
+        starts, first, pair, side = plan.value
         for pdf in it:
             k = _permute(pdf["fp"].to_numpy().astype(np.int64).view(np.uint64), order)
             at = np.searchsorted(starts, k, side="right") - 1
             reps = first[at + 1] - first[at]
             who = np.repeat(np.arange(len(k)), reps)
             j = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + first[at][who]
-            yield pd.DataFrame({"pair": pair[j], "side": side[j], "key": k.view(np.int64)[who], "rep": pdf["rep"].to_numpy()[who]})
+            yield pd.DataFrame({"pair": pair[j], "side": side[j], "key": k.view(np.int64)[who], "fp": pdf["fp"].to_numpy()[who]})
 
     def walk(pdf):
         k = pdf["key"].to_numpy().view(np.uint64)
         o = np.argsort(k)
-        k, rep, s = k[o], pdf["rep"].to_numpy()[o], pdf["side"].to_numpy()[o]
+        k, fp, s = k[o], pdf["fp"].to_numpy()[o], pdf["side"].to_numpy()[o]
         cross = bool(s.any())
         if cross and s.all():
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         parent = trie_forest(k, int((s == 0).sum()) if cross else None, distance)
         kids = np.flatnonzero(parent != np.arange(len(parent)))
-        return pd.DataFrame({"a": rep[kids], "b": rep[parent[kids]]})
+        return pd.DataFrame({"a": fp[kids], "b": fp[parent[kids]]})
 
-    dealt = classes.filter("rep IS NOT NULL").select("fp", "rep").mapInPandas(deal, "pair long, side long, key long, rep long")
-    return dealt.groupBy("pair").applyInPandas(walk, "a long, b long")
+    return classes.select("fp").mapInPandas(deal, "pair long, side long, key long, fp long").groupBy("pair").applyInPandas(walk, "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = DISTANCE, node_rows: int = NODE_ROWS) -> DataFrame:
     """One row per row of ``df``: id, fp (signed 64 bits), fingerprint (hex), component_id (smallest id of the component)."""
     rows = materialize(with_fingerprint(df.select(id_col, text), text).select(id_col, "fp"), "simhash")
-    classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("rep")), "classes")
+    classes = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("low")), "classes")
     comp = connected_components(near_links(classes, distance, node_rows))
-    to = classes.join(comp, classes["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    to = materialize(classes.join(comp, classes["fp"] == comp["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root")), "roots")
+    names = to.groupBy("root").agg(F.min("low").alias("component_id"))
+    to = to.join(names, "root").select("fp", "component_id")
     return rows.join(to, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

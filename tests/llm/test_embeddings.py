@@ -44,8 +44,14 @@ def test_against_brute_force(spark, block):
 def test_empty_ties_null_ids(spark):
     assert E.near_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     v = [1.0, 2.0]
-    got = sorted(map(str, E.near_groups(spark.createDataFrame([(None, v, 0, "", 0), (7, v, 0, "", 0), (7, v, 0, "", 0)], SCHEMA)).collect()))
-    assert got == sorted(map(str, got)) and sum("component_id=7" in g and "n_links=2" in g for g in got) == 3
+    got = [tuple(r) for r in E.near_groups(spark.createDataFrame([(None, v, 0, "", 0), (7, v, 0, "", 0), (7, v, 0, "", 0), (None, [-1.0, 5.0], 0, "", 0)], SCHEMA)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 2, 7, False), (7, 2, 7, True), (7, 2, 7, True), (None, 0, None, False)], key=repr)
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0, "", 0), (1, [0.0, 1.0], 0, "", 0), (2, [1.0, 0.01], 0, "", 0), (3, [0.01, 1.0], 0, "", 0)]
+    got = sorted(tuple(r) for r in E.near_groups(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
 def test_tables_meet_recall():

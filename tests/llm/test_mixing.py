@@ -39,7 +39,7 @@ def test_mix_is_exact_and_stable(spark):
 
 def test_order_is_by_random_key(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    k = {(r["doc_id"], r["text"]): r["_h"] % 2**64 for r in M._keyed(df, "doc_id", "text", "source", 0).collect()}
+    k = {(r["_in0"], r["_in1"]): r["_h"] % 2**64 for r in M._keyed(df, "doc_id", "text", "source", 0).collect()}
     got = [(k[(r["doc_id"], t)], r["taken"] // max(r["size"], 1)) for r, t in ((r, next(x[1] for x in rows() if x[0] == r["doc_id"])) for r in M.mix(df).filter("source = 's0' AND size > 0").collect())]
     seen = [e for _, e in sorted(got)]
     assert seen == sorted(seen, reverse=True)
@@ -60,3 +60,18 @@ def test_empty(spark, data):
     df = spark.createDataFrame(data, SCHEMA)
     assert [r["taken"] for r in M.mix(df).collect()] == [0] * len(data)
     assert M.mixed_rows(df).count() == 0
+
+
+NAMES = ["epochs", "cut", "part", "size", "_h", "_sk", "_n", "_c", "cell", "target", "taken", "source_size", "_extra"]
+
+
+def test_clashing_names_are_kept(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    plain, clash = df.drop("size"), df.drop("size").selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in NAMES])
+    out = M.mixed_rows(clash)
+    assert out.columns == clash.columns
+    got = out.collect()
+    assert all(r[c] == (None if r["doc_id"] is None else f"{c}{r['doc_id']}") for r in got for c in NAMES)
+    key = lambda rs: sorted((str(r["doc_id"]), str(r["text"]), str(r["source"])) for r in rs)
+    assert key(got) == key(M.mixed_rows(plain).collect())
+    assert sorted(map(str, M.mix(clash).collect())) == sorted(map(str, M.mix(plain).collect()))

@@ -79,3 +79,22 @@ def test_empty_nulls_repeats(spark):
     assert S.near_groups(spark.createDataFrame([], schema)).count() == 0
     got = sorted((r["doc_id"] is None, r["component_id"]) for r in S.near_groups(spark.createDataFrame([(None, "a"), (5, "a"), (5, "a")], schema)).collect())
     assert got == [(False, 5), (False, 5), (True, 5)]
+
+
+def test_rows_without_id_bridge(spark):
+    """Fingerprints 0, 3 (no id) and 15 are one component; so are the ids behind one that only null ids carry."""
+    fps = spark.createDataFrame([(0, 1), (3, None), (15, 2), (255 << 40, None), (-1, 9)], "fp long, low long")
+    got = S.connected_components(S.near_links(fps)).collect()
+    assert {(r["node"], r["component"]) for r in got} == {(0, 0), (3, 0), (15, 0)}
+    text = " ".join(f"w{i}" for i in range(500))
+    near = [text, text + " x1", text + " x1 x2", text.replace("w250 ", "")]
+    rows = [(None if k == 1 else 10 + k, t) for k, t in enumerate(near)]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    fp = [S.simhash(t) % 2**64 for t in near]
+    root = list(range(4))
+    for a in range(4):
+        for b in range(a):
+            if (fp[a] ^ fp[b]).bit_count() <= 2:
+                root = [root[b] if x == root[a] else x for x in root]
+    want = {i: min((j for j, (m, _) in enumerate(rows) if root[j] == root[k] and m is not None), default=None) for k, (i, _) in enumerate(rows)}
+    assert got == {i: None if k is None else rows[k][0] for i, k in want.items()}
