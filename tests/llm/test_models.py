@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.llm import html_extract as H
 from gristmill.llm import language_id as L
 from gristmill.llm import lm_score as M
 
@@ -111,29 +110,3 @@ def test_base_scores(spark, head):
         assert math.isclose(r["base_score"], want, rel_tol=1e-9) and r["train_tokens"] == n
         assert r["n_tokens"] == len(toks) and r["n_known"] == sum(w in c for w in toks) and r["score"] < 0
     assert M.score(df.limit(0), train).count() == 0
-
-
-PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h2>Site</h2></header><nav><ul><li><a href="/">Menu</a></li></ul></nav>
-<div class="ad">Buy</div><article><h1>Title %d</h1><p>First &amp; <b>bold</b>\n text %d<br>more<p>Second %d <p class="x">Same line for all</p><div id="comments"><p>Nice!</p></div></article>
-<script>var t="</p>";</script><aside>Side</aside><form><input name="q"><label>Go</label></form><footer>&copy; me</footer>"""
-
-
-def test_extract_one_page():
-    assert H.extract(PAGE % (1, 1, 1), []) == "Title 1\nFirst & bold text 1 more\nSecond 1\nSame line for all"
-    assert H.extract(None, []) == "" and H.extract("", []) == "" and H.extract("a &lt; b < c", []) == "a < b < c"
-    assert H.extract("<div><p>only</p><p>text</div>", []) == "only\ntext"
-
-
-def test_wrapper_finds_constants(spark):
-    rows = [(i, f"http://h.example.com/{i}", PAGE % (i, i, i)) for i in range(20)] + [(100, "http://one.example.com/", PAGE % (1, 1, 1)), (101, None, None), (102, "x", "<p>" * 2000 + "deep")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("c"))
-    r = {x["page_id"]: x for x in H.extract_pages(df).collect()}
-    assert r[3]["text"] == "Title 3\nFirst & bold text 3 more\nSecond 3" and r[3]["n_chars"] == len(r[3]["text"])
-    assert r[100]["text"].endswith("Same line for all") and r[101]["text"] == "" and r[102]["text"] == "deep" and len(r) == len(rows)
-    assert H.extract_pages(df.limit(0)).count() == 0
-
-
-def test_tree_matching():
-    a = [["div", [["p", []], ["ul", []]]], ["p", []]]
-    b = [["div", [["h1", []], ["p", []], ["ul", []]]], ["span", []], ["p", []]]
-    assert H.match(a, b) == (4, [(0, 0), (1, 2)])
