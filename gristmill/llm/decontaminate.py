@@ -7,8 +7,8 @@ shorter) must equal the training words in at least ``SHARE`` of their places. Th
 substitutions in windows of 5 to 13 words but one (8 words, the two middle ones replaced). Items of fewer than 5 words
 are matched exactly, as a whole.
 
-A hit carries the 22 training words around it and no more, and texts are cut into overlapping chunks before that, so
-work and memory are linear in the length of a text. Seeds of the benchmark are broadcast while their counted bytes fit
+Texts are cut into overlapping pieces (of 128^2, then of 128 positions) before their positions become rows, so work and
+memory stay near linear in the length of a text, and a hit carries the 22 training words around it. Seeds of the benchmark are broadcast while their counted bytes fit
 the bound; then the training texts are never shuffled. Beyond the bound (id, position, seed) rows are joined by shuffle,
 salted against frequent seeds, and only texts with a hit are read again. Both plans give the same rows.
 
@@ -28,7 +28,7 @@ from gristmill.sources.materialize import materialize
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 #: Masks for whole items of one, two and three words; they are used only where the benchmark has such items.
 SHORT = ((0,), (0, 1), (0, 1, 2))
-WINDOW, SHARE, SPAN, CHUNK, SALTS = 13, 0.75, 5, 1024, 16
+WINDOW, SHARE, SPAN, CHUNK, SALTS = 13, 0.75, 5, 128, 16
 #: Words around a hit that a window with the first four words of the seed can reach: BACK before its position, REACH in all.
 BACK = WINDOW - 4
 REACH = BACK + WINDOW
@@ -40,9 +40,9 @@ def word_hashes(text: str | Column) -> Column:
 
 
 def _seeds(h: Column, i: Column, masks: dict[int, tuple[int, ...]]) -> Column:
-    """The seeds at position ``i`` (from 0) of the word hashes ``h``; masks that reach beyond the text give none."""
+    """The seeds at position ``i`` (from 0) of the word hashes ``h``; masks that reach beyond the text give null."""
     one = lambda m, mask: F.when(i + mask[-1] < F.size(h), F.xxhash64(F.lit(m), *[F.get(h, i + o) for o in mask]))
-    return F.array_compact(F.array(*[one(m, mask) for m, mask in masks.items()]))
+    return F.array(*[one(m, mask) for m, mask in masks.items()])
 
 
 def _around(h: Column, i: Column) -> Column:
@@ -50,29 +50,39 @@ def _around(h: Column, i: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(REACH - 1)), lambda k: F.when(i - BACK + k >= 0, F.get(h, i - BACK + k)))
 
 
+def _pieces(df: DataFrame, size: int, last: Column) -> DataFrame:
+    """Cuts h, whose first word is at position ``off`` of its text, into pieces of ``size`` positions from ``at`` to ``last``.
+
+    Each has BACK words before and WINDOW words after them.
+    """
+    df = df.withColumn("at", F.explode(F.when(last >= 0, F.sequence(F.col("at"), last, F.lit(size)))))
+    lo = F.greatest(F.lit(0), F.col("at") - BACK)
+    return df.withColumns({"h": F.slice("h", lo - F.col("off") + 1, F.col("at") + size + WINDOW - lo), "off": lo})
+
+
 def _places(df: DataFrame, masks: dict[int, tuple[int, ...]], around: bool) -> DataFrame:
-    """doc_id, text_hash, i, seed of every position of every text (and its words around it); ``df`` has their hashes h."""
-    chunk = F.slice("h", F.greatest(F.lit(1), F.col("c") * CHUNK + 1 - BACK), F.when(F.col("c") == 0, CHUNK + WINDOW).otherwise(CHUNK + REACH))
-    df = df.filter(F.size("h") > 0).withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / CHUNK).cast("int"))))
-    first = F.when(F.col("c") == 0, 0).otherwise(BACK)
-    last = F.least(first + CHUNK, F.size("g")) - 1
-    at = lambda k: F.struct((F.col("c") * CHUNK + k - first).alias("i"), _seeds(F.col("g"), k, masks).alias("seeds"), *([_around(F.col("g"), k).alias("w")] if around else []))
-    df = df.select("doc_id", "text_hash", "c", chunk.alias("g")).select("doc_id", "text_hash", F.explode(F.transform(F.sequence(first, last), at)).alias("p"))
-    return df.select("doc_id", "text_hash", "p.i", F.explode("p.seeds").alias("seed"), *(["p.w"] if around else []))
+    """doc_id, text_hash, i, seed of every position of every text (and k, its place in h, a piece of the text); ``df`` has the hashes h."""
+    df = df.withColumns({"n": F.size("h"), "at": F.lit(0), "off": F.lit(0)})
+    large = CHUNK * CHUNK
+    df = _pieces(_pieces(df, large, F.col("n") - 1), CHUNK, F.least(F.col("n"), F.col("at") + large) - 1)
+    df = df.withColumn("i", F.explode(F.sequence(F.col("at"), F.least(F.col("n"), F.col("at") + CHUNK) - 1))).withColumn("k", F.col("i") - F.col("off"))
+    out = df.select("doc_id", "text_hash", "i", *(["k", "h"] if around else []), F.explode(_seeds(F.col("h"), F.col("k"), masks)).alias("seed"))
+    return out.filter("seed IS NOT NULL")
 
 
 def _verified(hits: DataFrame) -> DataFrame:
     """hits: doc_id, text_hash, i, w, item_id, ih, j. One row per document text and item that passes at some hit."""
     n, j = F.size("ih"), F.col("j")
     equal = F.zip_with("w", _around(F.col("ih"), j), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    hits = hits.select("doc_id", "text_hash", "i", "item_id", "j", n.alias("n"), equal.alias("eq"))
+    # exploding an array of one value keeps the optimizer from computing it once for each place it is used in
+    hits = hits.select("doc_id", "text_hash", "i", "item_id", "j", n.alias("n"), F.explode(F.array(equal)).alias("eq"))
     size = F.least(F.col("n"), F.lit(WINDOW))
     need = F.when(F.col("n") < SPAN, F.col("n")).otherwise(F.ceil(size * SHARE))
     # windows that lie in the item and hold the seed, by their first word relative to BACK before the hit
     lo = F.greatest(F.lit(0), F.lit(BACK) - j)
     hi = F.least(F.lit(BACK), F.col("n") - size - j + BACK)
     same = F.transform(F.sequence(lo, hi), lambda s: F.size(F.filter(F.slice("eq", s + 1, size), lambda x: x)))
-    ok = hits.withColumn("m", F.array_max(same)).filter(F.col("m") >= need)
+    ok = hits.withColumn("m", F.explode(F.array(F.array_max(same)))).filter(F.col("m") >= need)
     return ok.groupBy("doc_id", "text_hash", "item_id").agg(F.max("n").alias("item_words"), F.max("m").alias("matched_words"), F.count_distinct("i", "j").alias("hits"))
 
 
@@ -90,10 +100,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         if mask in SHORT:
             whole = items.filter(F.size("ih") == len(mask))
             seeds = seeds.unionByName(whole.select(F.explode(_seeds(F.col("ih"), F.lit(0), {m: mask})).alias("seed"), "item_id", F.lit(0).alias("j")))
-    seeds = seeds.distinct()
+    seeds = seeds.filter("seed IS NOT NULL").distinct()
     t = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), word_hashes(text).alias("h"))
     if words * (len(masks) * 32 + 8) <= broadcast_bytes:
-        return _verified(_places(t, masks, True).join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item_id"))
+        hits = _places(t, masks, True).join(F.broadcast(seeds), "seed")
+        hits = hits.select("doc_id", "text_hash", "i", "item_id", "j", _around(F.col("h"), F.col("k")).alias("w"))
+        return _verified(hits.join(F.broadcast(items), "item_id"))
     salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     places = _places(t, masks, False).withColumn("salt", F.pmod(F.xxhash64("doc_id", "i"), F.lit(SALTS)).cast("int"))
     hits = materialize(places.join(salted, ["seed", "salt"]).select("doc_id", "text_hash", "i", "item_id", "j").distinct(), "hits")
