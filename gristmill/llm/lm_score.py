@@ -1,25 +1,29 @@
 """Language-model scoring with a hashed maximum-entropy model and a unigram base.
 
-Counts: every training token is counted by a distributed aggregate; nothing about the vocabulary is capped. The
-``HEAD`` most frequent words are broadcast (a fixed bound) and looked up in place; all other tokens are joined with
-their counts by shuffle, so no count is approximated and no frequent word is a hot key.
-
-Model: words are factored into classes by frequency, P(word | history) = P(class | history) P(word | class, history). Both
-factors are softmaxes over hashed features: the previous word, a skip feature (the word before it) and the bigram of
-both. The ``CLASSES * WIDTH`` most frequent tokens have classes; the rest form one tail class in which words
-share its mass by their smoothed counts, so the probabilities sum to 1 over the base's vocabulary.
-
-Training: ``ROUNDS`` rounds. In a round every partition takes AdaGrad steps over its part of all training texts from the
-shared weights, the changes are averaged per block of weights by a shuffle, and the next round starts from the mean.
-
-Null text counts as empty (its end token is still scored). Repeated rows give a row each. With no training text N is
-0 and all tokens get the base's uniform value. Empty input gives an empty result.
+Counts: every training token is counted by a distributed aggregate; nothing about the vocabulary is capped. Words with a count
+over a cut-off that leaves at most ``HEAD`` of them are broadcast and looked up in place; all other tokens are joined with their
+counts by shuffle, so no count is approximated and no frequent word is a hot key.
+
+Model: the whole vocabulary is factored into a tree of classes by frequency. A node has ``FAN`` children: half of them words,
+the most frequent ones nearest the root, half of them classes of rarer words. In the lowest level that half are buckets of all other
+words, by hash, whose words share the bucket's probability by their smoothed counts (one unseen word included). P(word | history) is
+the product of the choices on the way; each is a softmax over hashed features: the previous word, a skip feature (the word
+before it) and both together, as themselves and whatever their frequency. Levels, buckets and table rows grow with the counted vocabulary.
+
+Training: weights start from the counts of every (feature, choice) pair and take ``ROUNDS`` steps along the gradient, observed less
+expected counts. Both are sums over all tokens of all training texts, made by tasks and added up by block of the tables, so the
+model does not depend on how the input is split. Texts are tokenized once, to numbers.
+
+Null text counts as empty (its end token is still scored). Repeated rows give a row each, ties in frequency go by the word.
+Very long texts are scored whole. Only id and text are read besides ``train``, so other columns cannot clash. With no
+training text N is 0 and all tokens get the base's uniform value. Empty input gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -29,10 +33,13 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import crc_mod, table
 from gristmill.sources.materialize import materialize
 
-HEAD, CLASSES, WIDTH, ROUNDS, RATE, BLOCK, CHUNK, FLUSH = 1 << 17, 32, 32, 2, 0.25, 1024, 8192, 300_000
-WORDS = CLASSES * WIDTH
-TAIL, START = WORDS, WORDS + 1
-BUCKETS = {"c1": 1 << 11, "c2": 1 << 11, "c3": 1 << 14, "w1": 1 << 15, "w2": 1 << 14, "w3": 1 << 15}
+HEAD, FAN, ROUNDS, BLOCK, LOT, CHUNK, FLUSH = 1 << 17, 16, 1, 1024, 1 << 18, 1 << 15, 300_000
+HALF = FAN // 2
+#: Shares of the three features in the starting weights, the pseudo counts of their estimates, and the length and damping of a step.
+START_SHARE, PSEUDO, RATE, DAMPING = (0.5, 0.4, 0.5), 16.0, 1.2, 100.0
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+NO_WORD = 0
+ONES = np.ones(FAN, dtype=np.float32)
 LOG10 = math.log(10)
 
 
@@ -40,81 +47,181 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def levels_for(distinct: int) -> int:
+    """4 levels up to 2^20 words, one more for each 8 times as many (at most 6)."""
+    return min(6, max(4, 4 + -(-(max(distinct, 1).bit_length() - 20) // 3)))
+
+
+class Tree:
+    """Leaves: words by rank, then buckets. Nodes by level; path and choice of each leaf at each level."""
+
+    def __init__(self, levels: int):
+        self.levels = levels
+        first = [(HALF ** k - 1) // (HALF - 1) for k in range(levels + 1)]  # number of the first node of each level
+        self.nodes, self.buckets = first[levels], HALF ** levels
+        self.words = sum(HALF ** (k + 1) for k in range(levels))
+        path, choice, depth = [], [], []
+        for k in range(levels):
+            i = np.arange(HALF ** (k + 1))
+            path.append(self._up(i // HALF, k, first))
+            choice.append(self._turns(i // HALF, k, i % HALF))
+            depth.append(np.full(len(i), k + 1))
+        b, k = np.arange(self.buckets), levels - 1
+        path.append(self._up(b // HALF, k, first))
+        choice.append(self._turns(b // HALF, k, HALF + b % HALF))
+        depth.append(np.full(len(b), levels))
+        self.path, self.choice, self.depth = (np.concatenate(x) for x in (path, choice, depth))
+
+    def _up(self, node: np.ndarray, level: int, first: list[int]) -> np.ndarray:
+        out = np.zeros((len(node), self.levels), dtype=np.int32)
+        for k in range(level, -1, -1):
+            out[:, k] = first[k] + node
+            node = node // HALF
+        return out
+
+    def _turns(self, node: np.ndarray, level: int, last: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(node), self.levels), dtype=np.int32)
+        out[:, level] = last
+        for k in range(level - 1, -1, -1):
+            out[:, k] = HALF + node % HALF
+            node = node // HALF
+        return out
+
+
 class MaxEnt:
-    """Weights by feature table: c* rows over classes and the tail, w* rows over the words of a class."""
-
-    def __init__(self, counts: np.ndarray, tail: float):
-        """counts: of the WORDS frequent tokens by rank; tail: of all others."""
-        c = np.zeros(WORDS)
-        c[:len(counts)] = counts
-        by_class = c.reshape(CLASSES, WIDTH)
-        self.cb = np.log(np.append(by_class.sum(axis=1), tail) + 0.5).astype(np.float32)
-        self.wb = np.log(by_class + 0.5).astype(np.float32)
-        self.t = {k: np.zeros((n, CLASSES + 1 if k[0] == "c" else WIDTH), dtype=np.float32) for k, n in BUCKETS.items()}
-
-    @staticmethod
-    def features(h1: np.ndarray, h2: np.ndarray, cls: np.ndarray) -> dict[str, np.ndarray]:
-        h = lambda n, *x: ((sum(v.astype(np.uint64) * np.uint64(m) for v, m in zip(x, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))) >> np.uint64(29)) % np.uint64(BUCKETS[n])).astype(np.int64)
-        return {"c1": h("c1", h1 + 1), "c2": h("c2", h2 + 1), "c3": h("c3", h1 + 1, h2 + 1), "w1": h("w1", h1 + 1, cls + 1), "w2": h("w2", h2 + 1, cls + 1), "w3": h("w3", h1 + 1, h2 + 1, cls + 1)}
-
-    @staticmethod
-    def _softmax(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        s = e.sum(axis=1, keepdims=True)
-        return z[np.arange(len(y)), y] - np.log(s[:, 0]), e / s
-
-    def forward(self, y, h1, h2):
-        """Log probabilities (the tail as one class), and what a step needs."""
-        cls = np.minimum(y // WIDTH, CLASSES)
-        f = self.features(h1, h2, cls)
-        lc, pc = self._softmax(self.cb + self.t["c1"][f["c1"]] + self.t["c2"][f["c2"]] + self.t["c3"][f["c3"]], cls)
-        inner = np.flatnonzero(cls < CLASSES)
-        fw = {k: f[k][inner] for k in ("w1", "w2", "w3")}
-        yw = (y % WIDTH)[inner]
-        lw, pw = self._softmax(self.wb[cls[inner]] + self.t["w1"][fw["w1"]] + self.t["w2"][fw["w2"]] + self.t["w3"][fw["w3"]], yw)
-        lc[inner] += lw
-        return lc, (cls, f, pc, yw, fw, pw)
-
-    def step(self, y, h1, h2, seen: dict[str, np.ndarray]) -> None:
-        _, (cls, f, pc, yw, fw, pw) = self.forward(y, h1, h2)
-        pc[np.arange(len(y)), cls] -= 1
-        pw[np.arange(len(yw)), yw] -= 1
-        for names, g, where in ((("c1", "c2", "c3"), pc, f), (("w1", "w2", "w3"), pw, fw)):
-            for k in names:
-                if not len(g):
-                    continue
-                o = np.argsort(where[k], kind="stable")
-                rows = where[k][o]
-                first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-                grad, rows = np.add.reduceat(g[o], first, axis=0), rows[first]
-                seen[k][rows] += (grad * grad).sum(axis=1)
-                self.t[k][rows] -= RATE * grad / np.sqrt(seen[k][rows] + 1e-6)[:, None]
+    """Three tables of weights [row, choice]; each node has rows of its own, as many as its share of all tokens."""
+
+    def __init__(self, mass: np.ndarray, distinct: int, bits: int | None = None):
+        """mass: smoothed count of each leaf."""
+        self.tree = t = Tree(levels_for(distinct))
+        at = np.zeros((t.nodes, FAN))
+        for k in range(t.levels):
+            on = t.depth > k
+            np.add.at(at, (t.path[on, k], t.choice[on, k]), mass[on])
+        self.base = np.log(at / at.sum(axis=1, keepdims=True)).astype(np.float32)
+        self.bits = bits or min(18, max(12, max(distinct, 1).bit_length() - 3))
+        share = at.sum(axis=1) / at[0].sum()
+        self.size, self.off, self.node, self.t = [], [], [], []
+        for k in range(3):
+            rows = np.maximum(2, share / share.sum() * (1 << self.bits + (2 if k == 2 else 0))).astype(np.int64)
+            self.size.append(rows)
+            self.off.append(np.cumsum(rows) - rows)
+            self.node.append(np.repeat(np.arange(t.nodes, dtype=np.int32), rows))
+            self.t.append(np.zeros((int(rows.sum()), FAN), dtype=np.float32))
+
+    def rows(self, node: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> list[np.ndarray]:
+        a, b = h1 * MIX[0], h2 * MIX[1]
+        return [self.off[k][node] + ((x >> np.uint64(33)).astype(np.int64) * self.size[k][node] >> 31) for k, x in enumerate((a, b, (a ^ (b >> np.uint64(7))) * MIX[0]))]
+
+    def steps(self, y: np.ndarray, h1: np.ndarray, h2: np.ndarray):
+        """Per level: the tokens that make a choice there, its node, rows and choice."""
+        t = self.tree
+        for k in range(t.levels):
+            on = np.flatnonzero(t.depth[y] > k)
+            if len(on):
+                node = t.path[y[on], k]
+                yield on, node, self.rows(node, h1[on], h2[on]), t.choice[y[on], k]
+
+    def _scores(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Logarithms of the choices' odds; weights are logarithms of ratios of counts, so their exponentials stay finite."""
+        z = self.base[node]
+        for k in range(3):
+            z += self.t[k][rows[k]]
+        return z
+
+    def logp(self, y: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Log probability of each leaf after its history."""
+        out = np.zeros(len(y))
+        for on, node, rows, choice in self.steps(y, h1, h2):
+            z = self._scores(node, rows)
+            own = z[np.arange(len(on)), choice]
+            out[on] += own - np.log(np.exp(z, out=z) @ ONES)
+        return out
+
+    def observe(self, y, h1, h2, into: list[np.ndarray]) -> None:
+        """Adds the counts of (row, choice) pairs."""
+        for _, _, rows, choice in self.steps(y, h1, h2):
+            for k in range(3):
+                np.add.at(into[k].reshape(-1), rows[k] * FAN + choice, 1)
+
+    def expect(self, y, h1, h2, into: list[np.ndarray]) -> None:
+        """Adds the counts that the model expects."""
+        for _, node, rows, _ in self.steps(y, h1, h2):
+            e = self._scores(node, rows)
+            np.exp(e, out=e)
+            e /= (e @ ONES)[:, None]
+            by_choice = np.ascontiguousarray(e.T, dtype=np.float64)
+            for k in range(3):
+                lo = int(rows[k].min())  # rows of a level's nodes lie together
+                at = rows[k] - lo
+                for c in range(FAN):
+                    n = np.bincount(at, weights=by_choice[c])
+                    into[k][lo:lo + len(n), c] += n
+
+    def start(self, seen: list[np.ndarray]) -> None:
+        """Weights from counts: a share of how much more or less often a feature's row makes a choice than its node does."""
+        for k in range(3):
+            p = np.exp(self.base)[self.node[k]]
+            n = seen[k].sum(axis=1, keepdims=True)
+            self.t[k] = (START_SHARE[k] * np.log((seen[k] + PSEUDO * p) / ((n + PSEUDO) * p))).astype(np.float32)
+
+    def step(self, seen: list[np.ndarray], expected: list[np.ndarray]) -> None:
+        """One damped step along the gradient, scaled by the counts it rests on."""
+        for k in range(3):
+            self.t[k] += (RATE * (seen[k] - expected[k]) / (seen[k] + expected[k] + DAMPING)).astype(np.float32)
 
 
 class Vocabulary:
-    """The HEAD most frequent words with their counts; the first WORDS - 1 and the end token have model ids."""
+    """The most frequent words with counts, leaves and history numbers; and the smoothed mass of every bucket."""
 
-    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, docs: int):
+    def __init__(self, head: list[tuple[bytes, int]], total: int, distinct: int, docs: int, bucket_mass: np.ndarray, tree: Tree):
+        """head: by falling count; bucket_mass: of all words but the first of them that are leaves of their own, one unseen word each."""
         self.rank = {w: i for i, (w, _) in enumerate(head)}
         self.n, self.z = total, total + 0.5 * (distinct + 1)
-        self.c = np.array([c for _, c in head] + [docs], dtype=np.float64)
-        self.logp = np.log10((self.c + 0.5) / self.z)
-        model = np.append(self.c[:-1][:WORDS - 1], np.zeros(max(0, WORDS - 1 - len(head))))
-        self.counts = np.append(model, docs)
-        named = [*range(min(len(head), WORDS - 1)), len(head)]
-        self.tail_mass = max(1e-300, 1 - sum(10 ** self.logp[i] for i in named))
+        c = np.array([c for _, c in head] + [docs], dtype=np.float64)  # the end token comes last
+        self.c, self.logp = c, np.log10((c + 0.5) / self.z)
+        own = min(len(head), tree.words - 1)
+        self.buckets, self.first = tree.buckets, tree.words
+        crc = np.array([crc32(w) for w, _ in head] + [0], dtype=np.uint32)
+        self.leaf = np.where(np.arange(len(c)) < own, np.arange(len(c)) + 1, self.first + crc % np.uint32(self.buckets)).astype(np.int64)
+        self.leaf[-1] = 0
+        self.hist = crc.astype(np.int64) + 1
+        self.bucket_log = np.log10(bucket_mass)
+        self.mass = np.full(tree.words, 1e-6)
+        self.mass[1:own + 1], self.mass[0] = c[:own] + 0.5, docs + 0.5
+        self.mass = np.concatenate([self.mass, bucket_mass])
+        in_bucket = self.leaf >= self.first
+        self.share = np.where(in_bucket, np.log10(c + 0.5) - self.bucket_log[np.maximum(self.leaf - self.first, 0)], 0.0)
 
     def encode(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (len(head) for the end, -1 for words outside the head) and model ids."""
+        """Ranks (-1 outside the head, the end token's at the end) and codes (leaf << 32 | history number)."""
         g = self.rank.get
-        r = np.fromiter((g(t, -1) for t in toks), dtype=np.int32, count=len(toks))
-        ids = np.where((r >= 0) & (r < WORDS - 1), r, TAIL)
-        return np.append(r, len(self.rank)), np.append(ids, WORDS - 1)
-
-
-def _history(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate([[START], ids[:-1]]), np.concatenate([[START, START], ids[:-2]])[:len(ids)]
+        r = np.fromiter((g(t, -1) for t in toks), dtype=np.int64, count=len(toks))
+        r = np.append(r, len(self.rank))
+        code = (self.leaf[r] << 32) | (self.hist[r] & 0xFFFFFFFF)
+        for i in np.flatnonzero(r < 0).tolist():
+            h = crc32(toks[i])
+            code[i] = ((self.first + h % self.buckets) << 32) | ((h + 1) & 0xFFFFFFFF)
+        return r, code
+
+
+def history(codes: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves, previous words and the words before them of texts laid end to end."""
+    h = (codes & 0xFFFFFFFF).astype(np.uint64)
+    h1, h2 = np.roll(h, 1), np.roll(h, 2)
+    first = np.cumsum([0, *sizes[:-1]])
+    h1[first] = h2[first] = NO_WORD
+    h2[np.minimum(first + 1, len(h) - 1)] = NO_WORD
+    return codes >> 32, h1, h2
+
+
+def _lots(it, most: int = LOT):
+    """Rows of the batches in lots of about ``most`` codes, each with its codes end to end."""
+    for pdf in it:
+        sizes = pdf["codes"].map(len).to_numpy()
+        lot = np.cumsum(sizes) // most
+        for _, part in pdf.groupby(lot, sort=False):
+            yield part, np.concatenate(part["codes"].to_list()), part["codes"].map(len).tolist()
 
 
 def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
@@ -133,58 +240,62 @@ def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
     return train.select(F.col(text).alias("t")).mapInPandas(run, "tok binary, c long").groupBy("tok").agg(F.sum("c").alias("c"))
 
 
-def train_model(train: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, id_col: str = "doc_id", text: str = "text") -> MaxEnt:
-    sc = train.sparkSession.sparkContext
-    words_ = sc.broadcast(vocab)
-    model = MaxEnt(vocab.counts, max(0.0, vocab.n - vocab.counts.sum()))
-    for r in range(rounds):
-        start = sc.broadcast(model)
-
-        def learn(it, start=start):
-            v, m = words_.value, start.value
-            own = MaxEnt.__new__(MaxEnt)
-            own.cb, own.wb, own.t = m.cb, m.wb, {k: x.copy() for k, x in m.t.items()}
-            seen = {k: np.zeros(len(x), dtype=np.float32) for k, x in own.t.items()}
-            n, held, size = 0, [], 0
-
-            def flush():
-                y, h1, h2 = (np.concatenate(x) for x in zip(*held))
-                for i in range(0, len(y), CHUNK):
-                    own.step(y[i:i + CHUNK], h1[i:i + CHUNK], h2[i:i + CHUNK], seen)
-
-            for pdf in it:
-                for t in pdf["t"]:
-                    _, ids = v.encode(words(t))
-                    held.append((ids, *_history(ids)))
-                    n, size = n + len(ids), size + len(ids)
-                    if size >= 1 << 16:
-                        flush()
-                        held, size = [], 0
-            if held:
-                flush()
-            for k, x in own.t.items():
-                for b in range(0, len(x), BLOCK):
-                    d = x[b:b + BLOCK] - m.t[k][b:b + BLOCK]
-                    rows = np.flatnonzero((d != 0).any(axis=1))
-                    if len(rows):
-                        yield pd.DataFrame({"k": [k], "b": [b], "n": [float(n)], "rows": [rows.astype(np.int16).tobytes()], "d": [d[rows].astype(np.float16).tobytes()]})
-
-        def mean(pdf):
-            k, b = pdf["k"].iloc[0], int(pdf["b"].iloc[0])
-            wide = CLASSES + 1 if k[0] == "c" else WIDTH
-            out, weight = np.zeros((min(BLOCK, BUCKETS[k]), wide)), np.zeros(min(BLOCK, BUCKETS[k]))
-            for n, rows, d in zip(pdf["n"], pdf["rows"], pdf["d"]):
-                i = np.frombuffer(rows, dtype=np.int16)
-                out[i] += n * np.frombuffer(d, dtype=np.float16).reshape(len(i), wide).astype(np.float64)
-                weight[i] += n
-            out /= np.maximum(weight, 1)[:, None]
-            return pd.DataFrame({"k": [k], "b": [b], "d": [out.astype(np.float32).tobytes()]})
-
-        part = train.filter(F.pmod(F.xxhash64(id_col, text), F.lit(rounds)) == r).select(F.col(text).alias("t"))
-        moved = part.mapInPandas(learn, "k string, b int, n double, rows binary, d binary").groupBy("k", "b").applyInPandas(mean, "k string, b int, d binary")
-        for x in moved.collect():  # the weights, a fixed size
-            d = np.frombuffer(x["d"], dtype=np.float32).reshape(-1, model.t[x["k"]].shape[1])
-            model.t[x["k"]][x["b"]:x["b"] + len(d)] += d
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words of the highest counts, as many whole count classes as fit into ``most``; by falling count, then word."""
+    bin_ = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log2("c") * 64)).cast("int")
+    sizes = sorted(((r["b"], r["n"], r["lo"]) for r in counts.groupBy(bin_.alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("lo")).collect()), reverse=True)  # some 7,000 rows at most
+    room, least = most, None
+    for _, n, lo in sizes:
+        if n > room:
+            break
+        room, least = room - n, lo
+    if least is None:
+        return []
+    return sorted(((bytes(r["tok"]), r["c"]) for r in counts.filter(F.col("c") >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
+def _summed(codes: DataFrame, model: MaxEnt, observed: bool) -> list[np.ndarray]:
+    """Observed or expected counts over all codes, added up block by block of the tables."""
+    held = codes.sparkSession.sparkContext.broadcast(model)
+    kind = np.int64 if observed else np.float64
+
+    def run(it):
+        m = held.value
+        into = [np.zeros(x.shape, dtype=kind) for x in m.t]
+        any_ = False
+        for _, flat, sizes in _lots(it):
+            y, h1, h2 = history(flat, sizes)
+            any_ = True
+            for i in range(0, len(y), LOT):
+                (m.observe if observed else m.expect)(y[i:i + LOT], h1[i:i + LOT], h2[i:i + LOT], into)
+        for k in range(3) if any_ else ():
+            for b in range(0, len(into[k]), BLOCK):
+                part = into[k][b:b + BLOCK].reshape(-1)
+                at = np.flatnonzero(part)
+                if len(at):
+                    yield pd.DataFrame({"k": [k], "b": [b], "at": [at.astype(np.uint16).tobytes()], "v": [part[at].astype(np.int32 if observed else np.float32).tobytes()]})
+
+    def add(pdf):
+        out = np.zeros(BLOCK * FAN, dtype=kind)
+        for at, v in zip(pdf["at"], pdf["v"]):
+            out[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(v, dtype=np.int32 if observed else np.float32)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "b": pdf["b"].iloc[:1], "v": [out.tobytes()]})
+
+    out = [np.zeros(x.shape, dtype=kind) for x in model.t]
+    sums = codes.select("codes").mapInPandas(run, "k int, b long, at binary, v binary").groupBy("k", "b").applyInPandas(add, "k int, b long, v binary")
+    for r in sums.toLocalIterator():  # the tables, a size bounded by the vocabulary's
+        part = np.frombuffer(r["v"], dtype=kind).reshape(-1, FAN)
+        into = out[r["k"]][r["b"]:r["b"] + BLOCK]
+        into += part[:len(into)]
+    return out
+
+
+def train_model(codes: DataFrame, mass: np.ndarray, distinct: int, rounds: int = ROUNDS) -> MaxEnt:
+    model = MaxEnt(mass, distinct)
+    seen = _summed(codes, model, True)
+    model.start(seen)
+    for _ in range(rounds):
+        model.step(seen, _summed(codes, model, False))
     return model
 
 
@@ -194,48 +305,53 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
     counts = materialize(count_tokens(df.filter(train), text), "counts")
     docs = df.filter(train).count()
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["tok"]), r["c"]) for r in counts.orderBy(F.desc("c"), "tok").limit(head).collect()]
-    vocab = Vocabulary(top, n + docs, v + (docs > 0), docs)
-    model = train_model(df.filter(train), vocab, rounds, id_col, text)
-    held = spark.sparkContext.broadcast((vocab, model))
+    distinct = v + (docs > 0)
+    tree = Tree(levels_for(distinct))
+    top = frequent(counts, head)
+    bucket = (F.crc32("tok") % tree.buckets).cast("int")
+    mass = np.full(tree.buckets, 0.5)
+    for r in counts.groupBy(bucket.alias("b")).agg(F.sum(F.col("c") + 0.5).alias("m")).collect():  # a row per bucket
+        mass[r["b"]] += r["m"]
+    for w, c in top[:tree.words - 1]:
+        mass[crc32(w) % tree.buckets] -= c + 0.5
+    vocab = Vocabulary(top, n + docs, distinct, docs, np.maximum(mass, 0.5), tree)
+    known = spark.sparkContext.broadcast(vocab)
+    kind = df.schema[id_col].dataType.simpleString()
 
-    def run(it):
-        v, m = held.value
-        shift = math.log10(v.tail_mass)
+    def encode(it):
+        v = known.value
         for pdf in it:
             for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo:lo + 256]
-                heads, tails = [], []
-                for key, h, t in zip(part["id"], part["th"], part["t"]):
+                part, rows = pdf.iloc[lo:lo + 256], []
+                for t in part["t"]:
                     toks = words(t)
-                    r, ids = v.encode(toks)
-                    base = v.logp[r[r >= 0]].sum()
-                    lp = np.zeros(len(ids))
-                    h1, h2 = _history(ids)
-                    heads.append([key, h, b" %d %d" % (lo, len(heads)), 0, len(ids), int((v.c[r[r >= 0]] > 0).sum()), base, (ids, h1, h2, r)])
-                    new = Counter(toks[i] for i in np.flatnonzero(r < 0))
-                    tails += [(key, h, w, c) for w, c in new.items()]
-                y, h1, h2 = (np.concatenate([x[7][i] for x in heads]) for i in range(3))
-                lp = np.concatenate([m.forward(y[i:i + CHUNK], h1[i:i + CHUNK], h2[i:i + CHUNK])[0] for i in range(0, len(y), CHUNK)]).astype(np.float64) / LOG10
-                r = np.concatenate([x[7][3] for x in heads])
-                tail = y == TAIL
-                lp += np.where(tail, np.where(r >= 0, v.logp[np.maximum(r, 0)], 0) - shift, 0)
-                sums = np.add.reduceat(lp, np.cumsum([0, *[x[4] for x in heads][:-1]]))
-                yield pd.DataFrame([[*x[:7], s] for x, s in zip(heads, sums)] + [[k, h, w, c, 0, 0, 0.0, 0.0] for k, h, w, c in tails], columns=["id", "th", "tok", "tf", "n", "known", "base", "model"])
+                    r, code = v.encode(toks)
+                    have = r[r >= 0]
+                    rare = Counter(toks[i] for i in np.flatnonzero(r < 0).tolist())
+                    rows.append((code, int((v.c[have] > 0).sum()), v.logp[have].sum(), v.share[have].sum(), list(rare), list(rare.values())))
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "train": part["train"].to_numpy(), **dict(zip(("codes", "known", "base", "share", "rare", "times"), zip(*rows)))})
 
-    kind = df.schema[id_col].dataType.simpleString()
-    src = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
-    rows = src.mapInPandas(run, f"id {kind}, th long, tok binary, tf long, n long, known long, base double, model double")
-    # a document's own row joins under a token of no word (words hold no space), so such rows are spread as well
-    rows = rows.withColumn("tok", F.when(F.col("n") > 0, F.concat(F.lit(b" "), F.col("id").cast("string").cast("binary") if kind != "binary" else F.col("id"), "tok")).otherwise(F.col("tok")))
-    j = rows.join(counts, "tok", "left")
+    src = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("t"))
+    codes = src.mapInPandas(encode, f"id {kind}, train boolean, codes array<long>, known long, base double, share double, rare array<binary>, times array<long>")
+    codes = materialize(codes.withColumn("rid", F.monotonically_increasing_id()), "codes")
+    model = spark.sparkContext.broadcast(train_model(codes.filter("train"), vocab.mass, distinct, rounds))
+
+    def run(it):
+        m = model.value
+        for part, flat, sizes in _lots(it):
+            y, h1, h2 = history(flat, sizes)
+            lp = np.concatenate([m.logp(y[i:i + CHUNK], h1[i:i + CHUNK], h2[i:i + CHUNK]) for i in range(0, len(y), CHUNK)]) / LOG10
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "rid": part["rid"].to_numpy(), "n": sizes, "known": part["known"].to_numpy(), "base": part["base"].to_numpy(), "model": np.add.reduceat(lp, np.cumsum([0, *sizes[:-1]])) + part["share"].to_numpy()})
+
+    rows = codes.select("id", "rid", "codes", "known", "base", "share").mapInPandas(run, f"id {kind}, rid long, n long, known long, base double, model double")
+    # words outside the head, with their exact counts
+    rare = codes.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("tok"), F.col("x.times").alias("tf"))
     c = F.coalesce("c", F.lit(0))
-    own = F.col("n") > 0
-    tail = F.when(own, 0.0).otherwise(F.col("tf") * F.log10((c + 0.5) / vocab.z))
-    g = j.groupBy("id", "th").agg(F.count_if(own).alias("k"), F.sum("n").alias("n"), (F.sum("known") + F.sum(F.when(c > 0, F.col("tf")).otherwise(0))).alias("known"), F.sum(F.col("base") + tail).alias("base"), F.sum(F.col("model") + tail).alias("model"))
-    g = g.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))))
-    each = lambda x: F.col(x) / F.col("k")
-    return g.select(F.col("id").alias(id_col), each("n").cast("long").alias("n_tokens"), each("known").cast("long").alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("model").alias("score"))
+    log_mass = spark.createDataFrame(list(enumerate(vocab.bucket_log.tolist())), "b int, log_mass double")
+    rare = rare.join(counts, "tok", "left").withColumn("b", bucket).join(F.broadcast(log_mass), "b")
+    rare = rare.groupBy("rid").agg(F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.log10((c + 0.5) / vocab.z)).alias("b"), F.sum(F.col("tf") * (F.log10(c + 0.5) - F.col("log_mass"))).alias("m"))
+    out, zero = rows.join(rare, "rid", "left"), F.lit(0)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("k", zero)).alias("n_known"), F.lit(vocab.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("b", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("m", F.lit(0.0))).alias("score"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

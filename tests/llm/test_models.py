@@ -1,6 +1,8 @@
 """Language ID, language-model scoring and HTML extraction."""
 
 import math
+from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -71,25 +73,103 @@ def test_language_id(spark):
     assert L.identify(df.limit(3), L.fit(none)).first()["lang_pred"] == "und"
 
 
-def test_maxent_sums_to_one():
-    r = np.random.default_rng(0)
-    m = M.MaxEnt(np.arange(1, M.WORDS + 1), 50.0)
-    for t in m.t.values():
-        t += r.normal(size=t.shape).astype(np.float32)
-    ids = np.arange(M.WORDS + 1)
-    lp, _ = m.forward(ids, np.full(len(ids), 3), np.full(len(ids), 7))
-    assert math.isclose(np.exp(lp.astype(float)).sum(), 1, rel_tol=1e-3)
+def vocabulary(train, head=1 << 17):
+    c = Counter(w for t in train for w in M.words(t))
+    top, tree = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:head], M.Tree(M.levels_for(len(c) + 1))
+    mass = np.full(tree.buckets, 0.5)
+    for k, (w, n) in enumerate(sorted(c.items(), key=lambda x: (-x[1], x[0]))):
+        if k >= min(head, tree.words - 1):
+            mass[crc32(w) % tree.buckets] += n + 0.5
+    return M.Vocabulary(top, sum(c.values()) + len(train), len(c) + 1, len(train), mass, tree), c, tree
 
 
-def test_training_learns():
-    ids = np.tile([5, 40, 200], 3000)
-    m = M.MaxEnt(np.ones(M.WORDS), 1.0)
-    seen = {k: np.zeros(len(x), dtype=np.float32) for k, x in m.t.items()}
-    h1, h2 = M._history(ids)
-    before = m.forward(ids, h1, h2)[0].mean()
-    for _ in range(10):
-        m.step(ids, h1, h2, seen)
-    assert m.forward(ids, h1, h2)[0].mean() > before + 2
+def test_tree_sums_to_one():
+    r = np.random.default_rng(0)
+    for distinct in (100, 3 << 20):
+        n = len(M.Tree(M.levels_for(distinct)).depth)
+        m = M.MaxEnt(r.random(n) + 0.1, distinct, bits=10)
+        for t in m.t:
+            t += r.normal(size=t.shape).astype(np.float32)
+        lp = m.logp(np.arange(n), np.full(n, 3, dtype=np.uint64), np.full(n, 7, dtype=np.uint64))
+        assert math.isclose(np.exp(lp.astype(float)).sum(), 1, rel_tol=1e-3)
+        assert len({tuple(zip(p[:d], c[:d])) for p, c, d in zip(m.tree.path.tolist(), m.tree.choice.tolist(), m.tree.depth.tolist())}) == n
+    assert [M.levels_for(x) for x in (0, 1 << 19, 1 << 20, 1 << 22, 1 << 24, 1 << 40)] == [4, 4, 5, 5, 6, 6]
+
+
+def plain_counts(m, tokens):
+    """Observed and expected counts by definition, token by token."""
+    seen, expected, total = [{}, {}, {}], [{}, {}, {}], 0.0
+    for y, h1, h2 in tokens:
+        for k in range(m.tree.depth[y]):
+            node, choice = int(m.tree.path[y, k]), int(m.tree.choice[y, k])
+            rows = [int(x[0]) for x in m.rows(np.array([node]), np.array([h1], dtype=np.uint64), np.array([h2], dtype=np.uint64))]
+            z = [float(m.base[node, c]) + sum(float(m.t[j][rows[j], c]) for j in range(3)) for c in range(M.FAN)]
+            s = sum(map(math.exp, z))
+            total += z[choice] - math.log(s)
+            for j in range(3):
+                seen[j][rows[j], choice] = seen[j].get((rows[j], choice), 0) + 1
+                for c in range(M.FAN):
+                    expected[j][rows[j], c] = expected[j].get((rows[j], c), 0) + math.exp(z[c]) / s
+    return seen, expected, total
+
+
+def test_training_against_plain_counts():
+    train = [t for _, t, _ in texts()][:30] + ["", "the new the"]
+    vocab, _, _ = vocabulary(train, head=5)
+    codes = [vocab.encode(M.words(t))[1] for t in train]
+    y, h1, h2 = M.history(np.concatenate(codes), [len(c) for c in codes])
+    m = M.MaxEnt(vocab.mass, 20, bits=8)
+    tokens = []
+    for t in train:
+        w, hist = [*M.words(t), None], [M.NO_WORD, M.NO_WORD]
+        for x, leaf in zip(w, vocab.encode(M.words(t))[1] >> 32):
+            tokens.append((int(leaf), hist[-1], hist[-2]))
+            hist.append(None if x is None else (crc32(x) + 1) & 0xFFFFFFFF)
+    assert tokens == list(zip(y.tolist(), h1.tolist(), h2.tolist()))
+    last = -math.inf
+    for step in range(4):
+        want_seen, want_expected, total = plain_counts(m, tokens)
+        assert math.isclose(m.logp(y, h1, h2).sum(), total, rel_tol=1e-4) and total > last
+        last = total
+        seen, expected = [np.zeros(t.shape) for t in m.t], [np.zeros(t.shape) for t in m.t]
+        m.observe(y, h1, h2, seen)
+        m.expect(y, h1, h2, expected)
+        for j in range(3):
+            assert {(int(a), int(b)): seen[j][a, b] for a, b in zip(*np.nonzero(seen[j]))} == want_seen[j]
+            assert all(math.isclose(expected[j][k], v, rel_tol=1e-3) for k, v in want_expected[j].items()) and math.isclose(expected[j].sum(), sum(want_expected[j].values()), rel_tol=1e-4)
+        m.start(seen) if not step else m.step(seen, expected)
+
+
+def test_score_does_not_depend_on_splits_and_beats_the_base(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"{a} {a}x{r.integers(3)}" for a in r.choice(["red", "blue", "green", "old"], 15)) + f" then{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") % 5 != 1
+    one, many = ({x["doc_id"]: x for x in M.score(df.repartition(n), train, head=6).collect()} for n in (1, 16))
+    assert all(math.isclose(one[i]["score"], many[i]["score"], rel_tol=1e-5) and math.isclose(one[i]["base_score"], many[i]["base_score"], rel_tol=1e-12) for i, _ in rows)
+    held = [i for i, _ in rows if i % 5 == 1]
+    assert sum(one[i]["score"] for i in held) > 0.8 * sum(one[i]["base_score"] for i in held)
+
+
+def test_scores_of_all_words_sum_to_one(spark):
+    """The probabilities of every training word, the end and one unseen word of each bucket after the start of a text."""
+    train = [t for _, t, _ in texts()] + [f"w{i} w{i} w{i // 2}" for i in range(300)]
+    vocab, c, tree = vocabulary(train, head=20)
+    m = M.MaxEnt(vocab.mass, len(c) + 1, bits=8)
+    for t in m.t:
+        t += np.random.default_rng(1).normal(size=t.shape).astype(np.float32)
+    total = 0.0
+    for w in [*c, None]:
+        code = vocab.encode([w] if w else [])[1][0]
+        lp = m.logp(np.array([code >> 32]), np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64))[0] / M.LOG10
+        if w is not None and (code >> 32) >= tree.words:
+            lp += math.log10(c[w] + 0.5) - vocab.bucket_log[(code >> 32) - tree.words]
+        total += 10 ** lp
+    unseen = m.logp(np.arange(tree.words, tree.words + tree.buckets), np.zeros(tree.buckets, dtype=np.uint64), np.zeros(tree.buckets, dtype=np.uint64))
+    total += float((np.exp(unseen) * 0.5 / 10 ** vocab.bucket_log).sum())
+    empty = np.arange(min(20, len(c)) + 1, tree.words)  # leaves that stand for no word
+    total += float(np.exp(m.logp(empty, np.zeros(len(empty), dtype=np.uint64), np.zeros(len(empty), dtype=np.uint64))).sum())
+    assert math.isclose(total, 1, rel_tol=1e-3)
 
 
 @pytest.mark.parametrize("head", [3, 1 << 17])
@@ -109,4 +189,6 @@ def test_base_scores(spark, head):
         want = sum(math.log10((c.get(w, 0) + 0.5) / (n + 0.5 * (len(c) + 1))) for w in toks)
         assert math.isclose(r["base_score"], want, rel_tol=1e-9) and r["train_tokens"] == n
         assert r["n_tokens"] == len(toks) and r["n_known"] == sum(w in c for w in toks) and r["score"] < 0
+    clash = M.score(df.withColumns({"rid": F.lit("x"), "codes": F.lit(1), "train": F.lit(2), "tok": F.lit(3)}), train, head=head).collect()
+    assert sorted(map(str, clash)) == sorted(map(str, got))
     assert M.score(df.limit(0), train).count() == 0
