@@ -11,8 +11,9 @@ the product of the choices on the way; each is a softmax over hashed features: t
 before it) and both together, as themselves and whatever their frequency. Levels, buckets and table rows grow with the counted vocabulary.
 
 Training: weights start from the counts of every (feature, choice) pair and take ``ROUNDS`` steps along the gradient, observed less
-expected counts. Both are sums over all tokens of all training texts, made by tasks and added up by block of the tables, so the
-model does not depend on how the input is split. Texts are tokenized once, to numbers.
+expected counts; the latter are counted from choices drawn from the model at every token (by a fixed hash), an unbiased estimate. Both
+are sums of whole numbers over all tokens of all training texts, made by tasks and added up by block of the tables, so the
+model does not depend at all on how the input is split. Texts are tokenized once, to numbers.
 
 Null text counts as empty (its end token is still scored). Repeated rows give a row each, ties in frequency go by the word.
 Very long texts are scored whole. Only id and text are read besides ``train``, so other columns cannot clash. With no
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 from gristmill.llm.common import crc_mod, table
 from gristmill.sources.materialize import materialize
 
-HEAD, FAN, ROUNDS, BLOCK, LOT, CHUNK, FLUSH = 1 << 17, 16, 1, 1024, 1 << 18, 1 << 15, 300_000
+HEAD, FAN, ROUNDS, BLOCK, LOT, CHUNK, FLUSH, EXTRA = 1 << 17, 16, 1, 1024, 1 << 18, 1 << 15, 300_000, 11
 HALF = FAN // 2
-#: Shares of the three features in the starting weights, the pseudo counts of their estimates, and the length and damping of a step.
-START_SHARE, PSEUDO, RATE, DAMPING = (0.5, 0.4, 0.5), 16.0, 1.2, 100.0
+#: Most bits of a row number of the smaller tables (weights of 25 MB); shares of the three features in the starting weights, the pseudo counts of their estimates, and the length and damping of a step.
+MOST_BITS, START_SHARE, PSEUDO, RATE, DAMPING = 16, (0.5, 0.4, 0.5), 16.0, 1.2, 100.0
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 NO_WORD = 0
 ONES = np.ones(FAN, dtype=np.float32)
@@ -70,7 +71,8 @@ class Tree:
         path.append(self._up(b // HALF, k, first))
         choice.append(self._turns(b // HALF, k, HALF + b % HALF))
         depth.append(np.full(len(b), levels))
-        self.path, self.choice, self.depth = (np.concatenate(x) for x in (path, choice, depth))
+        self.path, self.choice = (np.ascontiguousarray(np.concatenate(x).T) for x in (path, choice))  # [level, leaf]
+        self.depth = np.concatenate(depth)
 
     def _up(self, node: np.ndarray, level: int, first: list[int]) -> np.ndarray:
         out = np.zeros((len(node), self.levels), dtype=np.int32)
@@ -97,9 +99,9 @@ class MaxEnt:
         at = np.zeros((t.nodes, FAN))
         for k in range(t.levels):
             on = t.depth > k
-            np.add.at(at, (t.path[on, k], t.choice[on, k]), mass[on])
+            np.add.at(at, (t.path[k, on], t.choice[k, on]), mass[on])
         self.base = np.log(at / at.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.bits = bits or min(18, max(12, max(distinct, 1).bit_length() - 3))
+        self.bits = bits or min(MOST_BITS, max(12, max(distinct, 1).bit_length() - 3))
         share = at.sum(axis=1) / at[0].sum()
         self.size, self.off, self.node, self.t = [], [], [], []
         for k in range(3):
@@ -109,54 +111,62 @@ class MaxEnt:
             self.node.append(np.repeat(np.arange(t.nodes, dtype=np.int32), rows))
             self.t.append(np.zeros((int(rows.sum()), FAN), dtype=np.float32))
 
-    def rows(self, node: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> list[np.ndarray]:
+    @staticmethod
+    def features(h1: np.ndarray, h2: np.ndarray) -> list[np.ndarray]:
+        """31 hashed bits of the previous word, of the one before it, and of both."""
         a, b = h1 * MIX[0], h2 * MIX[1]
-        return [self.off[k][node] + ((x >> np.uint64(33)).astype(np.int64) * self.size[k][node] >> 31) for k, x in enumerate((a, b, (a ^ (b >> np.uint64(7))) * MIX[0]))]
+        return [(x >> np.uint64(33)).astype(np.int64) for x in (a, b, (a ^ (b >> np.uint64(7))) * MIX[0])]
+
+    def rows(self, node: np.ndarray, features: list[np.ndarray]) -> list[np.ndarray]:
+        return [self.off[k].take(node) + (features[k] * self.size[k].take(node) >> 31) for k in range(3)]
 
     def steps(self, y: np.ndarray, h1: np.ndarray, h2: np.ndarray):
         """Per level: the tokens that make a choice there, its node, rows and choice."""
-        t = self.tree
+        t, f = self.tree, self.features(h1, h2)
+        depth, on = t.depth.take(y), np.arange(len(y))
         for k in range(t.levels):
-            on = np.flatnonzero(t.depth[y] > k)
+            if k:
+                on = on[depth.take(on) > k]
             if len(on):
-                node = t.path[y[on], k]
-                yield on, node, self.rows(node, h1[on], h2[on]), t.choice[y[on], k]
+                leaf = y.take(on)
+                node = t.path[k].take(leaf)
+                yield on, node, self.rows(node, [x.take(on) for x in f] if k else f), t.choice[k].take(leaf)
 
-    def _scores(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-        """Logarithms of the choices' odds; weights are logarithms of ratios of counts, so their exponentials stay finite."""
-        z = self.base[node]
+    def _odds(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        """Odds of the choices. Weights are logarithms of ratios of counts, so their exponentials stay finite."""
+        z = self.base.take(node, axis=0)
         for k in range(3):
-            z += self.t[k][rows[k]]
-        return z
+            z += self.t[k].take(rows[k], axis=0)
+        return np.exp(z, out=z)
 
     def logp(self, y: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Log probability of each leaf after its history."""
         out = np.zeros(len(y))
         for on, node, rows, choice in self.steps(y, h1, h2):
-            z = self._scores(node, rows)
-            own = z[np.arange(len(on)), choice]
-            out[on] += own - np.log(np.exp(z, out=z) @ ONES)
+            e = self._odds(node, rows)
+            p = e.reshape(-1).take(np.arange(0, e.size, FAN) + choice) / (e @ ONES)
+            out[on] += np.log(p)
         return out
 
-    def observe(self, y, h1, h2, into: list[np.ndarray]) -> None:
+    def observe(self, y, h1, h2, at, into: list[np.ndarray]) -> None:
         """Adds the counts of (row, choice) pairs."""
         for _, _, rows, choice in self.steps(y, h1, h2):
             for k in range(3):
                 np.add.at(into[k].reshape(-1), rows[k] * FAN + choice, 1)
 
-    def expect(self, y, h1, h2, into: list[np.ndarray]) -> None:
-        """Adds the counts that the model expects."""
-        for _, node, rows, _ in self.steps(y, h1, h2):
-            e = self._scores(node, rows)
-            np.exp(e, out=e)
-            e /= (e @ ONES)[:, None]
-            by_choice = np.ascontiguousarray(e.T, dtype=np.float64)
+    def expect(self, y, h1, h2, at, into: list[np.ndarray]) -> None:
+        """Adds counts of choices drawn from the model, an unbiased estimate of those it expects.
+
+        The draw is a hash of the token's history, its place ``at`` in the text and the level, so it is the same in every run.
+        """
+        seed = (h1 * MIX[1] ^ h2) * MIX[0] ^ at.astype(np.uint64) * MIX[1]
+        for on, node, rows, _ in self.steps(y, h1, h2):
+            e = self._odds(node, rows).cumsum(axis=1)
+            u = ((seed.take(on) + node.astype(np.uint64)) * MIX[0] ^ np.uint64(0x5BD1E995)) * MIX[1]
+            u = (u >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24) * e[:, -1]
+            choice = np.minimum((e <= u[:, None]) @ ONES, FAN - 1).astype(np.int64)
             for k in range(3):
-                lo = int(rows[k].min())  # rows of a level's nodes lie together
-                at = rows[k] - lo
-                for c in range(FAN):
-                    n = np.bincount(at, weights=by_choice[c])
-                    into[k][lo:lo + len(n), c] += n
+                np.add.at(into[k].reshape(-1), rows[k] * FAN + choice, 1)
 
     def start(self, seen: list[np.ndarray]) -> None:
         """Weights from counts: a share of how much more or less often a feature's row makes a choice than its node does."""
@@ -182,10 +192,10 @@ class Vocabulary:
         self.c, self.logp = c, np.log10((c + 0.5) / self.z)
         own = min(len(head), tree.words - 1)
         self.buckets, self.first = tree.buckets, tree.words
-        crc = np.array([crc32(w) for w, _ in head] + [0], dtype=np.uint32)
-        self.leaf = np.where(np.arange(len(c)) < own, np.arange(len(c)) + 1, self.first + crc % np.uint32(self.buckets)).astype(np.int64)
+        crc = np.array([crc32(w) for w, _ in head] + [0], dtype=np.int64)
+        self.leaf = np.where(np.arange(len(c)) < own, np.arange(len(c)) + 1, self.first + crc % self.buckets)
         self.leaf[-1] = 0
-        self.hist = crc.astype(np.int64) + 1
+        self.code = self.leaf << EXTRA | np.where(self.leaf < self.first, 0, crc >> 32 - EXTRA)
         self.bucket_log = np.log10(bucket_mass)
         self.mass = np.full(tree.words, 1e-6)
         self.mass[1:own + 1], self.mass[0] = c[:own] + 0.5, docs + 0.5
@@ -194,25 +204,25 @@ class Vocabulary:
         self.share = np.where(in_bucket, np.log10(c + 0.5) - self.bucket_log[np.maximum(self.leaf - self.first, 0)], 0.0)
 
     def encode(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (-1 outside the head, the end token's at the end) and codes (leaf << 32 | history number)."""
+        """Ranks (-1 outside the head, the end token's at the end) and codes: the leaf, and for words in buckets bits that tell them apart."""
         g = self.rank.get
         r = np.fromiter((g(t, -1) for t in toks), dtype=np.int64, count=len(toks))
         r = np.append(r, len(self.rank))
-        code = (self.leaf[r] << 32) | (self.hist[r] & 0xFFFFFFFF)
+        code = self.code[r]
         for i in np.flatnonzero(r < 0).tolist():
             h = crc32(toks[i])
-            code[i] = ((self.first + h % self.buckets) << 32) | ((h + 1) & 0xFFFFFFFF)
-        return r, code
+            code[i] = (self.first + h % self.buckets) << EXTRA | h >> 32 - EXTRA
+        return r, code.astype(np.int32)
 
 
-def history(codes: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves, previous words and the words before them of texts laid end to end."""
-    h = (codes & 0xFFFFFFFF).astype(np.uint64)
+def history(codes: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves, previous words and the words before them (as numbers), and places in their texts, of texts laid end to end."""
+    h = codes.astype(np.uint64) + np.uint64(1)
     h1, h2 = np.roll(h, 1), np.roll(h, 2)
     first = np.cumsum([0, *sizes[:-1]])
     h1[first] = h2[first] = NO_WORD
     h2[np.minimum(first + 1, len(h) - 1)] = NO_WORD
-    return codes >> 32, h1, h2
+    return codes >> EXTRA, h1, h2, np.arange(len(h)) - np.repeat(first, sizes)
 
 
 def _lots(it, most: int = LOT):
@@ -255,36 +265,35 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def _summed(codes: DataFrame, model: MaxEnt, observed: bool) -> list[np.ndarray]:
-    """Observed or expected counts over all codes, added up block by block of the tables."""
+    """Observed or expected counts over all codes, whole numbers, added up block by block of the tables."""
     held = codes.sparkSession.sparkContext.broadcast(model)
-    kind = np.int64 if observed else np.float64
 
     def run(it):
         m = held.value
-        into = [np.zeros(x.shape, dtype=kind) for x in m.t]
+        into = [np.zeros(x.shape, dtype=np.int64) for x in m.t]
         any_ = False
         for _, flat, sizes in _lots(it):
-            y, h1, h2 = history(flat, sizes)
-            any_ = True
-            for i in range(0, len(y), LOT):
-                (m.observe if observed else m.expect)(y[i:i + LOT], h1[i:i + LOT], h2[i:i + LOT], into)
+            parts, any_ = history(flat, sizes), True
+            for i in range(0, len(flat), CHUNK):
+                (m.observe if observed else m.expect)(*(x[i:i + CHUNK] for x in parts), into)
         for k in range(3) if any_ else ():
             for b in range(0, len(into[k]), BLOCK):
                 part = into[k][b:b + BLOCK].reshape(-1)
                 at = np.flatnonzero(part)
                 if len(at):
-                    yield pd.DataFrame({"k": [k], "b": [b], "at": [at.astype(np.uint16).tobytes()], "v": [part[at].astype(np.int32 if observed else np.float32).tobytes()]})
+                    v = part[at]
+                    yield pd.DataFrame({"k": [k], "b": [b], "at": [at.astype(np.uint16).tobytes()], "v": [v.astype(np.uint16 if v.max() < 1 << 16 else np.int64).tobytes()]})
 
     def add(pdf):
-        out = np.zeros(BLOCK * FAN, dtype=kind)
+        out = np.zeros(BLOCK * FAN, dtype=np.int64)
         for at, v in zip(pdf["at"], pdf["v"]):
-            out[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(v, dtype=np.int32 if observed else np.float32)
-        return pd.DataFrame({"k": pdf["k"].iloc[:1], "b": pdf["b"].iloc[:1], "v": [out.tobytes()]})
+            out[np.frombuffer(at, dtype=np.uint16)] += np.frombuffer(v, dtype=np.uint16 if len(v) == len(at) else np.int64)
+        return pd.DataFrame({"k": pdf["k"].iloc[:1], "b": pdf["b"].iloc[:1], "v": [out.astype(np.float32).tobytes()]})
 
-    out = [np.zeros(x.shape, dtype=kind) for x in model.t]
+    out = [np.zeros(x.shape) for x in model.t]
     sums = codes.select("codes").mapInPandas(run, "k int, b long, at binary, v binary").groupBy("k", "b").applyInPandas(add, "k int, b long, v binary")
-    for r in sums.toLocalIterator():  # the tables, a size bounded by the vocabulary's
-        part = np.frombuffer(r["v"], dtype=kind).reshape(-1, FAN)
+    for r in sums.collect():  # the tables: 25 MB at most
+        part = np.frombuffer(r["v"], dtype=np.float32).reshape(-1, FAN)
         into = out[r["k"]][r["b"]:r["b"] + BLOCK]
         into += part[:len(into)]
     return out
@@ -332,14 +341,14 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "train": part["train"].to_numpy(), **dict(zip(("codes", "known", "base", "share", "rare", "times"), zip(*rows)))})
 
     src = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("t"))
-    codes = src.mapInPandas(encode, f"id {kind}, train boolean, codes array<long>, known long, base double, share double, rare array<binary>, times array<long>")
+    codes = src.mapInPandas(encode, f"id {kind}, train boolean, codes array<int>, known long, base double, share double, rare array<binary>, times array<long>")
     codes = materialize(codes.withColumn("rid", F.monotonically_increasing_id()), "codes")
     model = spark.sparkContext.broadcast(train_model(codes.filter("train"), vocab.mass, distinct, rounds))
 
     def run(it):
         m = model.value
         for part, flat, sizes in _lots(it):
-            y, h1, h2 = history(flat, sizes)
+            y, h1, h2, _ = history(flat, sizes)
             lp = np.concatenate([m.logp(y[i:i + CHUNK], h1[i:i + CHUNK], h2[i:i + CHUNK]) for i in range(0, len(y), CHUNK)]) / LOG10
             yield pd.DataFrame({"id": part["id"].to_numpy(), "rid": part["rid"].to_numpy(), "n": sizes, "known": part["known"].to_numpy(), "base": part["base"].to_numpy(), "model": np.add.reduceat(lp, np.cumsum([0, *sizes[:-1]])) + part["share"].to_numpy()})
 

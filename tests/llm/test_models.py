@@ -92,7 +92,7 @@ def test_tree_sums_to_one():
             t += r.normal(size=t.shape).astype(np.float32)
         lp = m.logp(np.arange(n), np.full(n, 3, dtype=np.uint64), np.full(n, 7, dtype=np.uint64))
         assert math.isclose(np.exp(lp.astype(float)).sum(), 1, rel_tol=1e-3)
-        assert len({tuple(zip(p[:d], c[:d])) for p, c, d in zip(m.tree.path.tolist(), m.tree.choice.tolist(), m.tree.depth.tolist())}) == n
+        assert len({tuple(zip(p[:d], c[:d])) for p, c, d in zip(m.tree.path.T.tolist(), m.tree.choice.T.tolist(), m.tree.depth.tolist())}) == n
     assert [M.levels_for(x) for x in (0, 1 << 19, 1 << 20, 1 << 22, 1 << 24, 1 << 40)] == [4, 4, 5, 5, 6, 6]
 
 
@@ -101,8 +101,8 @@ def plain_counts(m, tokens):
     seen, expected, total = [{}, {}, {}], [{}, {}, {}], 0.0
     for y, h1, h2 in tokens:
         for k in range(m.tree.depth[y]):
-            node, choice = int(m.tree.path[y, k]), int(m.tree.choice[y, k])
-            rows = [int(x[0]) for x in m.rows(np.array([node]), np.array([h1], dtype=np.uint64), np.array([h2], dtype=np.uint64))]
+            node, choice = int(m.tree.path[k, y]), int(m.tree.choice[k, y])
+            rows = [int(x[0]) for x in m.rows(np.array([node]), m.features(np.array([h1], dtype=np.uint64), np.array([h2], dtype=np.uint64)))]
             z = [float(m.base[node, c]) + sum(float(m.t[j][rows[j], c]) for j in range(3)) for c in range(M.FAN)]
             s = sum(map(math.exp, z))
             total += z[choice] - math.log(s)
@@ -117,27 +117,30 @@ def test_training_against_plain_counts():
     train = [t for _, t, _ in texts()][:30] + ["", "the new the"]
     vocab, _, _ = vocabulary(train, head=5)
     codes = [vocab.encode(M.words(t))[1] for t in train]
-    y, h1, h2 = M.history(np.concatenate(codes), [len(c) for c in codes])
+    y, h1, h2, at = M.history(np.concatenate(codes), [len(c) for c in codes])
+    assert at.tolist() == [k for c in codes for k in range(len(c))]
     m = M.MaxEnt(vocab.mass, 20, bits=8)
     tokens = []
     for t in train:
-        w, hist = [*M.words(t), None], [M.NO_WORD, M.NO_WORD]
-        for x, leaf in zip(w, vocab.encode(M.words(t))[1] >> 32):
-            tokens.append((int(leaf), hist[-1], hist[-2]))
-            hist.append(None if x is None else (crc32(x) + 1) & 0xFFFFFFFF)
+        hist = [M.NO_WORD, M.NO_WORD]
+        for code in vocab.encode(M.words(t))[1].tolist():
+            tokens.append((code >> M.EXTRA, hist[-1], hist[-2]))
+            hist.append(code + 1)
     assert tokens == list(zip(y.tolist(), h1.tolist(), h2.tolist()))
     last = -math.inf
     for step in range(4):
         want_seen, want_expected, total = plain_counts(m, tokens)
         assert math.isclose(m.logp(y, h1, h2).sum(), total, rel_tol=1e-4) and total > last
         last = total
-        seen, expected = [np.zeros(t.shape) for t in m.t], [np.zeros(t.shape) for t in m.t]
-        m.observe(y, h1, h2, seen)
-        m.expect(y, h1, h2, expected)
+        seen, expected = [np.zeros(t.shape, dtype=np.int64) for t in m.t], [np.zeros(t.shape, dtype=np.int64) for t in m.t]
+        m.observe(y, h1, h2, at, seen)
+        for k in range(40):  # other places draw other choices
+            m.expect(y, h1, h2, at + 1000 * k, expected)
         for j in range(3):
             assert {(int(a), int(b)): seen[j][a, b] for a, b in zip(*np.nonzero(seen[j]))} == want_seen[j]
-            assert all(math.isclose(expected[j][k], v, rel_tol=1e-3) for k, v in want_expected[j].items()) and math.isclose(expected[j].sum(), sum(want_expected[j].values()), rel_tol=1e-4)
-        m.start(seen) if not step else m.step(seen, expected)
+            assert (expected[j].sum(axis=1) == 40 * seen[j].sum(axis=1)).all()
+            assert all(abs(expected[j][k] / 40 - v) < 6 * math.sqrt(v / 40) + 0.1 for k, v in want_expected[j].items())
+        m.start(seen) if not step else m.step(seen, [e / 40 for e in expected])
 
 
 def test_score_does_not_depend_on_splits_and_beats_the_base(spark):
@@ -146,7 +149,7 @@ def test_score_does_not_depend_on_splits_and_beats_the_base(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     train = F.col("doc_id") % 5 != 1
     one, many = ({x["doc_id"]: x for x in M.score(df.repartition(n), train, head=6).collect()} for n in (1, 16))
-    assert all(math.isclose(one[i]["score"], many[i]["score"], rel_tol=1e-5) and math.isclose(one[i]["base_score"], many[i]["base_score"], rel_tol=1e-12) for i, _ in rows)
+    assert all(math.isclose(one[i]["score"], many[i]["score"], rel_tol=1e-12) and math.isclose(one[i]["base_score"], many[i]["base_score"], rel_tol=1e-12) for i, _ in rows)
     held = [i for i, _ in rows if i % 5 == 1]
     assert sum(one[i]["score"] for i in held) > 0.8 * sum(one[i]["base_score"] for i in held)
 
@@ -160,10 +163,10 @@ def test_scores_of_all_words_sum_to_one(spark):
         t += np.random.default_rng(1).normal(size=t.shape).astype(np.float32)
     total = 0.0
     for w in [*c, None]:
-        code = vocab.encode([w] if w else [])[1][0]
-        lp = m.logp(np.array([code >> 32]), np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64))[0] / M.LOG10
-        if w is not None and (code >> 32) >= tree.words:
-            lp += math.log10(c[w] + 0.5) - vocab.bucket_log[(code >> 32) - tree.words]
+        code = int(vocab.encode([w] if w else [])[1][0])
+        lp = m.logp(np.array([code >> M.EXTRA]), np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64))[0] / M.LOG10
+        if w is not None and (code >> M.EXTRA) >= tree.words:
+            lp += math.log10(c[w] + 0.5) - vocab.bucket_log[(code >> M.EXTRA) - tree.words]
         total += 10 ** lp
     unseen = m.logp(np.arange(tree.words, tree.words + tree.buckets), np.zeros(tree.buckets, dtype=np.uint64), np.zeros(tree.buckets, dtype=np.uint64))
     total += float((np.exp(unseen) * 0.5 / 10 ** vocab.bucket_log).sum())
