@@ -36,8 +36,8 @@ from gristmill.sources.materialize import materialize
 
 HEAD, FAN, ROUNDS, BLOCK, LOT, CHUNK, FLUSH, EXTRA = 1 << 17, 16, 1, 1024, 1 << 18, 1 << 15, 300_000, 11
 HALF = FAN // 2
-#: Most bits of a row number of the smaller tables (weights of 25 MB); shares of the three features in the starting weights, the pseudo counts of their estimates, and the length and damping of a step.
-MOST_BITS, START_SHARE, PSEUDO, RATE, DAMPING = 16, (0.5, 0.4, 0.5), 16.0, 1.2, 100.0
+#: Most bits of a row number of the smaller tables (weights of 13 MB) and tokens a task sums at least, so that its sums are small beside its input; shares of the three features in the starting weights, the pseudo counts of their estimates, and the length and damping of a step.
+MOST_BITS, TASK_TOKENS, START_SHARE, PSEUDO, RATE, DAMPING = 15, 1 << 22, (0.5, 0.4, 0.5), 16.0, 1.2, 100.0
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 NO_WORD = 0
 ONES = np.ones(FAN, dtype=np.float32)
@@ -53,6 +53,13 @@ def levels_for(distinct: int) -> int:
     return min(6, max(4, 4 + -(-(max(distinct, 1).bit_length() - 20) // 3)))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers."""
+    x = (x ^ x >> np.uint64(31)) * MIX[0]
+    x = (x ^ x >> np.uint64(29)) * MIX[1]
+    return x ^ x >> np.uint64(32)
+
+
 class Tree:
     """Leaves: words by rank, then buckets. Nodes by level; path and choice of each leaf at each level."""
 
@@ -101,7 +108,7 @@ class MaxEnt:
             on = t.depth > k
             np.add.at(at, (t.path[k, on], t.choice[k, on]), mass[on])
         self.base = np.log(at / at.sum(axis=1, keepdims=True)).astype(np.float32)
-        self.bits = bits or min(MOST_BITS, max(12, max(distinct, 1).bit_length() - 3))
+        self.bits = bits or min(MOST_BITS, max(12, max(distinct, 1).bit_length() - 4))
         share = at.sum(axis=1) / at[0].sum()
         self.size, self.off, self.node, self.t = [], [], [], []
         for k in range(3):
@@ -157,12 +164,12 @@ class MaxEnt:
     def expect(self, y, h1, h2, at, into: list[np.ndarray]) -> None:
         """Adds counts of choices drawn from the model, an unbiased estimate of those it expects.
 
-        The draw is a hash of the token's history, its place ``at`` in the text and the level, so it is the same in every run.
+        The draw is a hash of the token's history, its text and place ``at`` in it, and the node, so it is the same in every run.
         """
-        seed = (h1 * MIX[1] ^ h2) * MIX[0] ^ at.astype(np.uint64) * MIX[1]
+        seed = _mixed(_mixed(_mixed(h1) ^ h2) ^ at.astype(np.uint64))
         for on, node, rows, _ in self.steps(y, h1, h2):
             e = self._odds(node, rows).cumsum(axis=1)
-            u = ((seed.take(on) + node.astype(np.uint64)) * MIX[0] ^ np.uint64(0x5BD1E995)) * MIX[1]
+            u = _mixed(seed.take(on) + node.astype(np.uint64))
             u = (u >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24) * e[:, -1]
             choice = np.minimum((e <= u[:, None]) @ ONES, FAN - 1).astype(np.int64)
             for k in range(3):
@@ -216,13 +223,14 @@ class Vocabulary:
 
 
 def history(codes: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Leaves, previous words and the words before them (as numbers), and places in their texts, of texts laid end to end."""
+    """Leaves, previous words and the words before them (as numbers), and a number of the text and the place in it, of texts laid end to end."""
     h = codes.astype(np.uint64) + np.uint64(1)
     h1, h2 = np.roll(h, 1), np.roll(h, 2)
     first = np.cumsum([0, *sizes[:-1]])
     h1[first] = h2[first] = NO_WORD
     h2[np.minimum(first + 1, len(h) - 1)] = NO_WORD
-    return codes >> EXTRA, h1, h2, np.arange(len(h)) - np.repeat(first, sizes)
+    texts = np.array([crc32(codes[a:a + n].tobytes()) for a, n in zip(first, sizes)], dtype=np.int64) << 31
+    return codes >> EXTRA, h1, h2, np.arange(len(h)) + np.repeat(texts - first, sizes)
 
 
 def _lots(it, most: int = LOT):
@@ -292,7 +300,7 @@ def _summed(codes: DataFrame, model: MaxEnt, observed: bool) -> list[np.ndarray]
 
     out = [np.zeros(x.shape) for x in model.t]
     sums = codes.select("codes").mapInPandas(run, "k int, b long, at binary, v binary").groupBy("k", "b").applyInPandas(add, "k int, b long, v binary")
-    for r in sums.collect():  # the tables: 25 MB at most
+    for r in sums.collect():  # the tables: 13 MB at most
         part = np.frombuffer(r["v"], dtype=np.float32).reshape(-1, FAN)
         into = out[r["k"]][r["b"]:r["b"] + BLOCK]
         into += part[:len(into)]
@@ -301,6 +309,8 @@ def _summed(codes: DataFrame, model: MaxEnt, observed: bool) -> list[np.ndarray]
 
 def train_model(codes: DataFrame, mass: np.ndarray, distinct: int, rounds: int = ROUNDS) -> MaxEnt:
     model = MaxEnt(mass, distinct)
+    tokens = codes.agg(F.coalesce(F.sum(F.size("codes")), F.lit(0))).first()[0]
+    codes = codes.coalesce(max(1, tokens // TASK_TOKENS))
     seen = _summed(codes, model, True)
     model.start(seen)
     for _ in range(rounds):
