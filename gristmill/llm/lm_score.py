@@ -49,8 +49,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def levels_for(distinct: int) -> int:
-    """4 levels up to 2^20 words, one more for each 8 times as many (at most 6)."""
-    return min(6, max(4, 4 + -(-(max(distinct, 1).bit_length() - 20) // 3)))
+    """4 levels up to 2^24 words, one more for each 8 times as many (at most 6)."""
+    return min(6, max(4, 4 + -(-(max(distinct, 1).bit_length() - 24) // 3)))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ class Tree:
         choice.append(self._turns(b // HALF, k, HALF + b % HALF))
         depth.append(np.full(len(b), levels))
         self.path, self.choice = (np.ascontiguousarray(np.concatenate(x).T) for x in (path, choice))  # [level, leaf]
-        self.depth = np.concatenate(depth)
+        self.depth = np.concatenate(depth).astype(np.int64)
 
     def _up(self, node: np.ndarray, level: int, first: list[int]) -> np.ndarray:
         out = np.zeros((len(node), self.levels), dtype=np.int32)
@@ -164,16 +164,18 @@ class MaxEnt:
     def expect(self, y, h1, h2, at, into: list[np.ndarray]) -> None:
         """Adds counts of choices drawn from the model, an unbiased estimate of those it expects.
 
-        The draw is a hash of the token's history, its text and place ``at`` in it, and the node, so it is the same in every run.
+        A token draws at one of its levels, which counts as often as it has levels. The draw is a hash of the token's history, its text and place ``at`` in it, and the node, so it is the same in every run.
         """
         seed = _mixed(_mixed(_mixed(h1) ^ h2) ^ at.astype(np.uint64))
-        for on, node, rows, _ in self.steps(y, h1, h2):
-            e = self._odds(node, rows).cumsum(axis=1)
-            u = _mixed(seed.take(on) + node.astype(np.uint64))
-            u = (u >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24) * e[:, -1]
-            choice = np.minimum((e <= u[:, None]) @ ONES, FAN - 1).astype(np.int64)
-            for k in range(3):
-                np.add.at(into[k].reshape(-1), rows[k] * FAN + choice, 1)
+        t, depth = self.tree, self.tree.depth.take(y)
+        level = (seed >> np.uint64(20)).astype(np.int64) % depth
+        node = t.path.reshape(-1).take(level * len(t.depth) + y)
+        rows = self.rows(node, self.features(h1, h2))
+        e = self._odds(node, rows).cumsum(axis=1)
+        u = (_mixed(seed) >> np.uint64(40)).astype(np.float32) * np.float32(2.0 ** -24) * e[:, -1]
+        choice = np.minimum((e <= u[:, None]) @ ONES, FAN - 1).astype(np.int64)
+        for k in range(3):
+            np.add.at(into[k].reshape(-1), rows[k] * FAN + choice, depth)
 
     def start(self, seen: list[np.ndarray]) -> None:
         """Weights from counts: a share of how much more or less often a feature's row makes a choice than its node does."""
@@ -210,16 +212,19 @@ class Vocabulary:
         in_bucket = self.leaf >= self.first
         self.share = np.where(in_bucket, np.log10(c + 0.5) - self.bucket_log[np.maximum(self.leaf - self.first, 0)], 0.0)
 
-    def encode(self, toks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ranks (-1 outside the head, the end token's at the end) and codes: the leaf, and for words in buckets bits that tell them apart."""
-        g = self.rank.get
-        r = np.fromiter((g(t, -1) for t in toks), dtype=np.int64, count=len(toks))
-        r = np.append(r, len(self.rank))
-        code = self.code[r]
-        for i in np.flatnonzero(r < 0).tolist():
-            h = crc32(toks[i])
-            code[i] = (self.first + h % self.buckets) << EXTRA | h >> 32 - EXTRA
-        return r, code.astype(np.int32)
+    def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Ranks and codes of texts laid end to end, where each text starts, and the words outside the head in their order.
+
+        A rank is -1 outside the head, the end token's comes last; a code is the leaf and, for words in buckets, bits that tell them apart.
+        """
+        g, end, outside = self.rank.get, len(self.rank), []
+        r = np.fromiter((x for toks in texts for x in (*[g(t, -1) for t in toks], end)), dtype=np.int64)
+        code = self.code.take(r)
+        if (r < 0).any():
+            outside = [t for toks in texts for t in toks if t not in self.rank]
+            h = np.fromiter(map(crc32, outside), dtype=np.int64, count=len(outside))
+            code[r < 0] = self.first + h % self.buckets << EXTRA | h >> 32 - EXTRA
+        return r, code.astype(np.int32), np.cumsum([0, *[len(x) + 1 for x in texts[:-1]]]), outside
 
 
 def history(codes: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -285,12 +290,15 @@ def _summed(codes: DataFrame, model: MaxEnt, observed: bool) -> list[np.ndarray]
             for i in range(0, len(flat), CHUNK):
                 (m.observe if observed else m.expect)(*(x[i:i + CHUNK] for x in parts), into)
         for k in range(3) if any_ else ():
+            rows = []
             for b in range(0, len(into[k]), BLOCK):
                 part = into[k][b:b + BLOCK].reshape(-1)
                 at = np.flatnonzero(part)
                 if len(at):
                     v = part[at]
-                    yield pd.DataFrame({"k": [k], "b": [b], "at": [at.astype(np.uint16).tobytes()], "v": [v.astype(np.uint16 if v.max() < 1 << 16 else np.int64).tobytes()]})
+                    rows.append((k, b, at.astype(np.uint16).tobytes(), v.astype(np.uint16 if v.max() < 1 << 16 else np.int64).tobytes()))
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "b", "at", "v"])
 
     def add(pdf):
         out = np.zeros(BLOCK * FAN, dtype=np.int64)
@@ -341,14 +349,13 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text: str = "tex
         v = known.value
         for pdf in it:
             for lo in range(0, len(pdf), 256):
-                part, rows = pdf.iloc[lo:lo + 256], []
-                for t in part["t"]:
-                    toks = words(t)
-                    r, code = v.encode(toks)
-                    have = r[r >= 0]
-                    rare = Counter(toks[i] for i in np.flatnonzero(r < 0).tolist())
-                    rows.append((code, int((v.c[have] > 0).sum()), v.logp[have].sum(), v.share[have].sum(), list(rare), list(rare.values())))
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "train": part["train"].to_numpy(), **dict(zip(("codes", "known", "base", "share", "rare", "times"), zip(*rows)))})
+                part = pdf.iloc[lo:lo + 256]
+                r, code, first, outside = v.encode([words(t) for t in part["t"]])
+                have = r >= 0
+                sums = [np.add.reduceat(np.where(have, x.take(r), 0), first) for x in ((v.c > 0).astype(np.int64), v.logp, v.share)]
+                at = np.concatenate([[0], np.add.reduceat(~have, first, dtype=np.int64).cumsum()]).tolist()
+                rare = [Counter(outside[a:b]) if b > a else {} for a, b in zip(at, at[1:])]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "train": part["train"].to_numpy(), "codes": np.split(code, first[1:]), "known": sums[0], "base": sums[1], "share": sums[2], "rare": [list(x) for x in rare], "times": [list(x.values()) for x in rare]})
 
     src = df.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("t"))
     codes = src.mapInPandas(encode, f"id {kind}, train boolean, codes array<int>, known long, base double, share double, rare array<binary>, times array<long>")

@@ -85,7 +85,7 @@ def vocabulary(train, head=1 << 17):
 
 def test_tree_sums_to_one():
     r = np.random.default_rng(0)
-    for distinct in (100, 3 << 20):
+    for distinct in (100, 3 << 24):
         n = len(M.Tree(M.levels_for(distinct)).depth)
         m = M.MaxEnt(r.random(n) + 0.1, distinct, bits=10)
         for t in m.t:
@@ -93,7 +93,7 @@ def test_tree_sums_to_one():
         lp = m.logp(np.arange(n), np.full(n, 3, dtype=np.uint64), np.full(n, 7, dtype=np.uint64))
         assert math.isclose(np.exp(lp.astype(float)).sum(), 1, rel_tol=1e-3)
         assert len({tuple(zip(p[:d], c[:d])) for p, c, d in zip(m.tree.path.T.tolist(), m.tree.choice.T.tolist(), m.tree.depth.tolist())}) == n
-    assert [M.levels_for(x) for x in (0, 1 << 19, 1 << 20, 1 << 22, 1 << 24, 1 << 40)] == [4, 4, 5, 5, 6, 6]
+    assert [M.levels_for(x) for x in (0, 1 << 23, 1 << 24, 1 << 26, 1 << 28, 1 << 40)] == [4, 4, 5, 5, 6, 6]
 
 
 def plain_counts(m, tokens):
@@ -116,14 +116,17 @@ def plain_counts(m, tokens):
 def test_training_against_plain_counts():
     train = [t for _, t, _ in texts()][:30] + ["", "the new the"]
     vocab, _, _ = vocabulary(train, head=5)
-    codes = [vocab.encode(M.words(t))[1] for t in train]
+    codes = [vocab.encode([M.words(t)])[1] for t in train]
+    r, together, first, outside = vocab.encode([M.words(t) for t in train])
+    assert np.array_equal(together, np.concatenate(codes)) and first.tolist() == np.cumsum([0] + [len(c) for c in codes[:-1]]).tolist()
+    assert outside == [w for t in train for w in M.words(t) if w not in vocab.rank] and (r < 0).sum() == len(outside)
     y, h1, h2, at = M.history(np.concatenate(codes), [len(c) for c in codes])
     assert (at % (1 << 31)).tolist() == [k for c in codes for k in range(len(c))] and len(set(at)) > 0.9 * len(at)
     m = M.MaxEnt(vocab.mass, 20, bits=8)
     tokens = []
     for t in train:
         hist = [M.NO_WORD, M.NO_WORD]
-        for code in vocab.encode(M.words(t))[1].tolist():
+        for code in vocab.encode([M.words(t)])[1].tolist():
             tokens.append((code >> M.EXTRA, hist[-1], hist[-2]))
             hist.append(code + 1)
     assert tokens == list(zip(y.tolist(), h1.tolist(), h2.tolist()))
@@ -134,13 +137,13 @@ def test_training_against_plain_counts():
         last = total
         seen, expected = [np.zeros(t.shape, dtype=np.int64) for t in m.t], [np.zeros(t.shape, dtype=np.int64) for t in m.t]
         m.observe(y, h1, h2, at, seen)
-        for k in range(40):  # other places draw other choices
+        for k in range(400):  # other places draw other choices
             m.expect(y, h1, h2, at + np.arange(len(at)) * 977 + 10**6 * k, expected)
         for j in range(3):
             assert {(int(a), int(b)): seen[j][a, b] for a, b in zip(*np.nonzero(seen[j]))} == want_seen[j]
-            assert (expected[j].sum(axis=1) == 40 * seen[j].sum(axis=1)).all()
-            assert all(abs(expected[j][k] / 40 - v) < 6 * math.sqrt(v / 40) + 0.1 for k, v in want_expected[j].items())
-        m.start(seen) if not step else m.step(seen, [e / 40 for e in expected])
+            assert expected[j].sum() == 400 * seen[j].sum()
+            assert all(abs(expected[j][k] / 400 - v) < 6 * math.sqrt(4 * v / 400) + 0.1 for k, v in want_expected[j].items())
+        m.start(seen) if not step else m.step(seen, [e / 400 for e in expected])
 
 
 def test_score_does_not_depend_on_splits_and_beats_the_base(spark):
@@ -163,7 +166,7 @@ def test_scores_of_all_words_sum_to_one(spark):
         t += np.random.default_rng(1).normal(size=t.shape).astype(np.float32)
     total = 0.0
     for w in [*c, None]:
-        code = int(vocab.encode([w] if w else [])[1][0])
+        code = int(vocab.encode([[w] if w else []])[1][0])
         lp = m.logp(np.array([code >> M.EXTRA]), np.zeros(1, dtype=np.uint64), np.zeros(1, dtype=np.uint64))[0] / M.LOG10
         if w is not None and (code >> M.EXTRA) >= tree.words:
             lp += math.log10(c[w] + 0.5) - vocab.bucket_log[(code >> M.EXTRA) - tree.words]
