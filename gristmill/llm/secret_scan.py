@@ -1,24 +1,29 @@
 """Secret scanning with corpus-wide ownership frequency. DataFrame functions only.
 
 Candidates are found in whole texts, their values hashed, and each hash is aggregated over the corpus: distinct owners
-(``source``) and repositories (``doc_id``). A value seen with ``EXAMPLE_OWNERS`` owners or more is a copied example,
-otherwise it looks live. Base kinds are always reported; vendor formats are added to them, and opaque mixed strings
-are added only where their value belongs to few owners.
-
-Positions are code points, end exclusive. They come from splitting the text at the matches, so each kind costs one
-pass over texts without a match and three over others. Null text counts as empty and has no span. Repeated rows are
-reported each; a null source counts as one owner, a null doc_id as one repository. Empty input gives an empty result.
+(``source``) and repositories (``doc_id``). A value seen with ``EXAMPLE_OWNERS`` owners or in ``EXAMPLE_REPOS`` repositories or more is a
+copied example, otherwise it looks live. Base kinds are always reported; vendor formats and opaque mixed strings that neither hold nor lie in a
+base span are added to them where they look live.
+
+Positions are code points, end exclusive. They come from splitting the text at the matches: each match becomes a row with the length
+of the gap before it, and a running sum over a text's matches gives its place, so the work is linear in the length of a text. Owners
+and repositories are counted in two steps (equal ones are merged first), and the few that are copied are what the candidates are joined with, so a value copied
+everywhere is no hot key.
+
+Null text counts as empty and has no span. Repeated rows are reported each; a null source counts as one owner, a null doc_id as one
+repository. Only id, text and owner are read, so other columns cannot clash. Very long texts are scanned whole. Empty input
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import table, text_or_empty
+from gristmill.llm.common import small, table, text_or_empty
 from gristmill.sources.materialize import materialize
 
-EXAMPLE_OWNERS = 5
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 5, 50
 # fixed values: the base kinds, in the order of the contract. {24,} and {16,} find what the open-ended forms keep
 # after short matches are dropped; assign needs its short matches, since they use up text.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,50 +34,58 @@ ADDED = (
     ("google", r"AIza[A-Za-z0-9_-]{35}", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0),
     ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
-    ("opaque", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{28,200}={0,2}(?![A-Za-z0-9+/_=-])", 0, 0),
+    ("opaque", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{28,}+={0,2}+(?![A-Za-z0-9+/_=-])", 0, 0),
 )
 KINDS = [k for k, *_ in BASE + ADDED]
-SPAN = "array<struct<s:int,o:int,kind:string,e:int,v:string>>"
+BASE_KINDS = len(BASE)
 
 
-def spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (s, o, kind, e, v) of the leftmost matches; those whose value is shorter than ``least`` are dropped."""
+def _matches(text: Column, o: int, pattern: str, group: int) -> Column:
+    """Array of (o, i, gap, size, v) of the leftmost matches of kind number ``o``: the i-th one, after ``gap`` other characters."""
     found, values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.split(text, pattern, -1)
-    parts = F.slice(F.arrays_zip(gaps.alias("g"), found.alias("m"), values.alias("v")), 1, F.size(found))
-    none = F.array().cast(SPAN)
-
-    def step(acc, x):
-        s = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + F.length(x["g"])
-        return F.concat(acc, F.array(F.struct(s.alias("s"), F.lit(KINDS.index(kind)).alias("o"), F.lit(kind).alias("kind"), (s + F.length(x["m"])).alias("e"), x["v"].alias("v"))))
-
-    out = F.aggregate(parts, none, step)
-    return F.when(text.rlike(pattern), F.filter(out, lambda x: F.length(x["v"]) >= least) if least else out).otherwise(none)
-
-
-def _joined(a: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
-
-
-def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row per row of ``df``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
-    t = text_or_empty(text)
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), t.alias("t"))
-    rows = rows.select("id", "owner", *[spans(F.col("t"), *k).alias(k[0]) for k in BASE + ADDED])
-    base = F.concat(*[F.col(k[0]) for k in BASE])
-    inside = lambda x: F.exists(base, lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]) | (x["s"] <= y["s"]) & (y["e"] <= x["e"]))
-    mixed = lambda x: x["v"].rlike("[0-9]") & x["v"].rlike("[a-z]") & x["v"].rlike("[A-Z]") & ~inside(x)
-    rows = rows.select("id", "owner", *[F.size(k[0]).cast("long").alias(f"n_{k[0]}") for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"),
-                       F.array_sort(F.concat(base, *[F.filter(k[0], mixed) if k[0] == "opaque" else F.col(k[0]) for k in ADDED])).alias("all"))
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "secrets")
-    each = rows.select("rid", "id", "owner", F.explode("all").alias("x")).withColumn("hash", F.md5(F.col("x.v")))
-    freq = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct(F.coalesce(F.col("id").cast("string"), F.lit(""))).alias("repos"))
-    seen = each.join(freq, "hash")
-    copied = F.col("owners") >= example_owners
-    kept = seen.filter((F.col("x.kind") != "opaque") | ~copied).groupBy("rid").agg(F.collect_list("x").alias("x"), F.count_if(~copied).alias("n_live"), F.count_if(copied).alias("n_example"))
-    kept = kept.select("rid", _joined(F.col("x")).alias("spans"), "n_live", "n_example")
-    out = rows.join(kept, "rid", "left")
+    one = lambda x, i: F.struct(F.lit(o).alias("o"), i.alias("i"), F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), x["v"].alias("v"))
+    return F.when(text.rlike(pattern), F.transform(F.slice(F.arrays_zip(gaps.alias("g"), found.alias("m"), values.alias("v")), 1, F.size(found)), one))
+
+
+def _joined(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.get(names, x["o"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """rid, id, owner, o (kind), s, e, v of all spans; ``rows`` has rid, id, owner and matches. Base spans, and others clear of them."""
+    least = F.create_map(*[F.lit(x) for o, k in enumerate(BASE + ADDED) for x in (o, k[3])])
+    found = rows.select("rid", "id", "owner", F.explode("matches").alias("m")).select("rid", "id", "owner", "m.*").repartition("rid")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("rid", "o").orderBy("i"))
+    found = found.withColumn("e", end.cast("int")).withColumn("s", F.col("e") - F.col("size")).filter(F.length("v") >= least[F.col("o")])
+    # of the base spans that start no later, the furthest end; of those that start no earlier, the nearest end
+    base_end = F.when(F.col("o") < BASE_KINDS, F.col("e"))
+    before = F.max(base_end).over(Window.partitionBy("rid").orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(base_end).over(Window.partitionBy("rid").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))
+    clear = ~(F.coalesce(before >= F.col("e"), F.lit(False)) | F.coalesce(after <= F.col("e"), F.lit(False)))
+    mixed = F.col("v").rlike("[0-9]") & F.col("v").rlike("[a-z]") & F.col("v").rlike("[A-Z]")
+    fine = (F.col("o") < BASE_KINDS) | clear & ((F.col("o") != KINDS.index("opaque")) | mixed)
+    return found.withColumn("fine", fine).filter("fine").select("rid", "id", "owner", "o", "s", "e", "v")
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+    """One row per row of ``df``: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example (candidates that look live, and copied ones)."""
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"), text_or_empty(text).alias("t"))
+    every = F.flatten(F.array_compact(F.array(*[_matches(F.col("t"), o, *k[1:3]) for o, k in enumerate(BASE + ADDED)])))
+    rows = materialize(rows.select("id", "owner", every.alias("matches"), F.monotonically_increasing_id().alias("rid")), "matches")
+    each = materialize(candidates(rows).select("rid", "id", "owner", "o", "s", "e", F.md5("v").alias("hash")), "secrets")
+    repo = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    copied = each.groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct(repo).alias("repos")).filter((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos))
+    copied = materialize(copied.select("hash", F.lit(True).alias("copied")), "copied")
+    seen = each.join(small(copied, copied.count(), 48), "hash", "left").withColumn("copied", F.coalesce("copied", F.lit(False)))
+    span = F.struct("s", "o", "e")
+    n = lambda o: F.count_if(F.col("o") == o).alias(f"n_{KINDS[o]}")
+    kept = seen.groupBy("rid").agg(*[n(o) for o in range(BASE_KINDS)], F.count_if("copied").alias("n_example"), F.count_if(~F.col("copied")).alias("n_live"),
+                                   F.collect_list(F.when(F.col("o") < BASE_KINDS, span)).alias("base"), F.collect_list(F.when((F.col("o") < BASE_KINDS) | ~F.col("copied"), span)).alias("all"))
+    kept = kept.select("rid", *[f"n_{KINDS[o]}" for o in range(BASE_KINDS)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), "n_live", "n_example")
+    out = rows.select("rid", "id").join(kept, "rid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base_sha256", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
+    return out.select(F.col("id").alias(id_col), *[zero(f"n_{KINDS[o]}") for o in range(BASE_KINDS)], F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_example"))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
