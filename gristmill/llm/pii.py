@@ -6,9 +6,13 @@ written back in the same layout. A permutation keeps equal values equal and diff
 linked across documents without a table of values. Round function: SHA-256 over key, kind, round and half.
 
 Kinds: email (local part and host become a keyed digest under example.invalid), card (13-19 digits with a right
-check digit; the new number has one too), bare 16-digit account numbers whose check digit is wrong, phone, ssn (valid areas only), ip,
-date (ISO or d/m/y with /, . or -; must exist). What does not validate stays as it is. Null text stays null with zero counts; empty
-input gives an empty result; a column named like a count is replaced.
+check digit; the new number has one too), bare 16-digit account numbers whose check digit is wrong (it stays wrong), phone, ssn (valid
+areas only), ip, date (must exist): ISO, or day, month, year in one or two digits with /, . or -; where that is no date, month, day, year. Each of
+these is permuted among its like, so a pseudonym of one kind is none of another. Separators and missing leading zeros are kept.
+
+The key is the caller's; who has it can invert every pseudonym. What does not validate stays as it is. Null text stays null with zero
+counts; an empty text stays empty. Repeated rows are treated alike, very long texts whole. Empty input gives an empty result. A column
+named like a count is replaced; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ ROUNDS = 8
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 EDGE, END = r"(?<![A-Za-z0-9.@_+-])", r"(?![A-Za-z0-9_@-])"
 ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-DMY = r"[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}"
+DMY = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
@@ -81,7 +85,21 @@ def _card(m: Column, key: str) -> Column:
     head = F.substr(d, F.lit(1), F.length(d) - 1)
     new = _permute_digits(head, "card", key)
     good = F.pmod(10 - _luhn_sum(F.concat(new, F.lit("0"))) % 10, F.lit(10)).cast("string")
-    return F.when(_luhn_sum(d) % 10 == 0, _pour(m, F.concat(new, good))).when(m.rlike("^[0-9]{16}$"), _permute_digits(d, "account", key))
+    return F.when(_luhn_sum(d) % 10 == 0, _pour(m, F.concat(new, good))).when(m.rlike("^[0-9]{16}$"), _account(d, head, key))
+
+
+def _account(d: Column, head: Column, key: str) -> Column:
+    """16 digits with a wrong check digit to others: 15 free digits and one of the nine wrong ones, by rank."""
+    right = lambda h: F.pmod(10 - _luhn_sum(F.concat(h, F.lit("0"))) % 10, F.lit(10))
+    last = F.substr(d, F.lit(16), F.lit(1)).cast("int")
+    new = feistel(head.cast("long") * 9 + last - (last > right(head)).cast("int"), 10**8, 9 * 10**7, "account", key)
+
+    def written(n):
+        to = F.lpad(F.call_function("div", n, F.lit(9).cast("long")).cast("string"), 15, "0")
+        wrong = (n % 9).cast("int")
+        return F.concat(to, (wrong + (wrong >= right(to)).cast("int")).cast("string"))
+
+    return _let(new, written)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -107,20 +125,57 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(o, lambda x: x < 256), F.concat_ws(".", part(24), part(16), part(8), part(0)))
 
 
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once: expressions that name it many times do not grow with what it is made of."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _late(day: Column, start: Column) -> Column:
+    """Rank from the first of January of ``start`` on among the days after the 12th of a month."""
+    return (F.datediff(day, F.make_date(start, F.lit(1), F.lit(1))) - 12 * (12 * (F.year(day) - start) + F.month(day))).cast("long")
+
+
+def _late_day(rank: Column, start: Column, near: Column) -> Column:
+    """The day of a rank of :func:`_late`: 26550 such days fall on the 1440 months of 120 years, 88497 on the 4800 of 400."""
+    guess = F.floor(rank * F.when(near, 1440).otherwise(4800) / F.when(near, 26550).otherwise(88497)).cast("int")
+    months = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.add_months(F.make_date(start, F.lit(1), F.lit(1)), F.greatest(guess + k, F.lit(0))))
+    firsts = F.filter(months, lambda f: _late(F.date_add(f, 12), start) <= rank)
+    return _let(F.array_max(firsts), lambda f: F.date_add(f, (rank - _late(F.date_add(f, 12), start) + 12).cast("int")))
+
+
+def _moved(x: Column, key: str) -> Column:
+    """The pseudonym of x.day; x has american, near and start as well."""
+    pick = lambda a, b: F.when(x["near"], a).otherwise(b).cast("long")
+    base = F.make_date(x["start"], F.lit(1), F.lit(1))
+    # any 400 years have 146097 = 773 * 189 days, 88497 = 9 * 9833 of them after a 12th; 1920 to 2039 have 43830 = 487 * 90 and 26550 = 177 * 150
+    plain = F.date_add(base, feistel(F.datediff(x["day"], base).cast("long"), pick(487, 773), pick(90, 189), "date", key).cast("int"))
+    late = _let(feistel(_late(x["day"], x["start"]), pick(177, 9833), pick(150, 9), "late date", key), lambda r: _late_day(r, x["start"], x["near"]))
+    return F.when(x["american"], late).otherwise(plain)
+
+
 def _date(m: Column, key: str) -> Column:
-    iso = m.rlike(f"^{ISO}$")
-    text = F.when(iso, m).otherwise(F.concat_ws("-", F.substr(m, F.lit(7), F.lit(4)), F.substr(m, F.lit(4), F.lit(2)), F.substr(m, F.lit(1), F.lit(2))))
-    day = F.when(F.substr(text, F.lit(1), F.lit(4)) >= "0400", text.try_cast("date"))
-    y = F.year(day)
-    near = y.between(1920, 2039)
-    # any 400 years have 146097 = 773 * 189 days; 1920 to 2039 have 43830 = 487 * 90
-    first = F.when(near, 1920).when(y < 1920, 1920 - 400 * (1 + F.floor((1919 - y) / 400))).otherwise(2040 + 400 * F.floor((y - 2040) / 400)).cast("int")
-    base = F.make_date(first, F.lit(1), F.lit(1))
-    new = feistel(F.datediff(day, base).cast("long"), F.when(near, 487).otherwise(773).cast("long"), F.when(near, 90).otherwise(189).cast("long"), "date", key)
-    out = F.date_add(base, new.cast("int"))
-    sep = F.substr(m, F.lit(3), F.lit(1))
-    other = F.concat(F.date_format(out, "dd"), sep, F.date_format(out, "MM"), sep, F.date_format(out, "yyyy"))
-    return F.when(day.isNotNull() & (first >= 320) & (first + 400 <= 9999), F.when(iso, F.date_format(out, "yyyy-MM-dd")).otherwise(other))
+    part = lambda i: F.regexp_extract(m, r"^([0-9]{1,2})([/.-])([0-9]{1,2})([/.-])([0-9]{4})$", i)
+    when = lambda p, d, mo: F.concat_ws("-", p["y"], F.lpad(p[mo], 2, "0"), F.lpad(p[d], 2, "0")).try_cast("date")
+
+    def found(p):
+        first = F.when(p["iso"], m.try_cast("date")).otherwise(when(p, "a", "b"))
+        return F.struct(F.coalesce(first, F.when(~p["iso"], when(p, "b", "a"))).alias("day"), (~p["iso"] & first.isNull()).alias("american"))
+
+    def placed(x):
+        y = F.year(x["day"])
+        start = F.when(y.between(1920, 2039), 1920).when(y < 1920, 1920 - 400 * (1 + F.floor((1919 - y) / 400))).otherwise(2040 + 400 * F.floor((y - 2040) / 400)).cast("int")
+        return F.struct(x["day"].alias("day"), x["american"].alias("american"), y.between(1920, 2039).alias("near"), start.alias("start"))
+
+    def written(p, x, out):
+        short = (F.length(p["a"]) == 1) | (F.length(p["b"]) == 1)
+        number = lambda v: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
+        d, mo = number(F.dayofmonth(out)), number(F.month(out))
+        other = F.concat(F.when(x["american"], mo).otherwise(d), p["s"], F.when(x["american"], d).otherwise(mo), p["t"], F.date_format(out, "yyyy"))
+        fits = x["day"].isNotNull() & (F.year(x["day"]) >= 400) & (x["start"] >= 320) & (x["start"] + 400 <= 9999)
+        return F.when(fits, F.when(p["iso"], F.date_format(out, "yyyy-MM-dd")).otherwise(other))
+
+    parts = F.struct(m.rlike(f"^{ISO}$").alias("iso"), part(1).alias("a"), part(2).alias("s"), part(3).alias("b"), part(4).alias("t"), part(5).alias("y"))
+    return _let(parts, lambda p: _let(_let(found(p), placed), lambda x: _let(_moved(x, key), lambda out: written(p, x, out))))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -138,18 +193,19 @@ def pseudonym(m: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(df: DataFrame, text: str = "text", key: str = "gristmill") -> DataFrame:
+def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``df`` with its text pseudonymized and n_email, n_date, n_ssn, n_phone, n_card, n_ip."""
     t = text_or_empty(text)
     found = F.regexp_extract_all(t, F.lit(ALL), F.lit(0))
     made = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
-    df = df.withColumn("_p", F.when(t.rlike("[0-9@]") & t.rlike(ALL), made))
-    p = F.col("_p")
+    df = df.withColumn("_gm_found", F.when(t.rlike("[0-9@]") & t.rlike(ALL), made))
+    p = F.col("_gm_found")
     new = F.array_join(F.zip_with(F.split(t, ALL, -1), p, lambda g, x: F.concat(g, F.coalesce(x["p"]["new"], x["m"], F.lit("")))), "")
     count = lambda k: F.coalesce(F.size(F.filter(p, lambda x: (x["p"]["kind"] == k) & x["p"]["new"].isNotNull())), F.lit(0)).cast("long")
     counts = {f"n_{k}": F.when(p.isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS}
-    return df.withColumns(counts | {text: F.when(p.isNull(), F.col(text)).otherwise(new)}).drop("_p")
+    return df.withColumns(counts | {text: F.when(p.isNull(), F.col(text)).otherwise(new)}).drop("_gm_found")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    key = spark.conf.get("spark.gristmill.pii.key", "only for tests")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)

@@ -189,7 +189,7 @@ def luhn(d):
 
 def test_pseudonyms_keep_formats(spark):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("n_ip", F.lit("x"))
-    r = {x["doc_id"]: x for x in P.pseudonymize(df).collect()}
+    r = {x["doc_id"]: x for x in P.pseudonymize(df, "k").collect()}
     assert r[0]["text"] is None and r[1]["text"] == "" and r[8]["text"] == TEXTS[8][1]
     cards = re.findall(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", r[2]["text"])
     assert luhn(cards[0]) and luhn(cards[1]) and cards[0].replace(" ", "") == cards[1] != "4111111111111111" and cards[2] == "4111-1111-1111-1112" and r[2]["n_card"] == 2
@@ -201,7 +201,7 @@ def test_pseudonyms_keep_formats(spark):
     assert "97.51.17.173" not in r[6]["text"] and "300.1.1.1" in r[6]["text"] and r[6]["text"][3:].split(",")[0] in r[9]["text"]
     assert r[7]["text"].startswith("mail u") and r[7]["text"].endswith("@example.invalid.")
     assert re.fullmatch(r"acct \d{16}%%%", r[10]["text"]) and "9807915762804490" not in r[10]["text"]
-    assert P.pseudonymize(df.limit(0)).count() == 0
+    assert P.pseudonymize(df.limit(0), "k").count() == 0
     assert r[2]["text"] != {x["doc_id"]: x for x in P.pseudonymize(df, key="k2").collect()}[2]["text"]
 
 
