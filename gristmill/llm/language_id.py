@@ -6,13 +6,13 @@ bytes. Statistics are counted once, frozen, and turned into tables of exact code
 shortest code wins. A block of texts is coded once per distinct gram, not once per byte.
 
 The bytes are those of the lower-cased text, runs of ASCII characters that are no letters as one space. Contexts have up to
-``ORDER`` bytes; those seen once in the sample are left out, and the rarest too where all trees together have over
-``MAX_GRAMS`` edges, so a text there uses the shorter context. The model is fitted on a bounded sample: ``SAMPLE_DOCS``
-labelled rows per language are expected, chosen by a hash of id and text; its size does not grow with the input.
-Scoring covers every byte of every text.
+``ORDER`` bytes; those seen once in the sample are left out, as PPM keeps no statistics for them, and no others. The model is fitted on a
+bounded sample: ``SAMPLE_DOCS`` labelled rows per language are expected, chosen by a hash of id and text; its size does not grow with the
+input. Scoring covers every byte of every text, very long ones in pieces.
 
 Null texts and texts without a letter give ``und`` with score 0, as does everything when there is no labelled row. Ties
-go to the language first in code-point order. Rows with a null lang, or that ``train`` leaves out, teach nothing.
+go to the language first in code-point order. Rows with a null lang, or that ``train`` leaves out, teach nothing. Repeated rows teach
+and are judged each. Columns named lang_pred or score are replaced, others kept whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from gristmill.llm.common import crc_mod, small, table
 
-SAMPLE_DOCS, ORDER, MAX_GRAMS, BLOCK = 1500, 4, 400_000, 1 << 17
+SAMPLE_DOCS, ORDER, BLOCK = 1500, 4, 1 << 17
 
 
 @lru_cache(1)
@@ -88,7 +88,7 @@ def _find(keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Per order the known edges (context and byte) and contexts, with bits per language of each edge and each escape."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], max_grams: int = MAX_GRAMS):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         """counts: per language the grams and how often each was seen."""
         self.langs = sorted(counts, key=str.encode)
         self.edges: list[np.ndarray] = []
@@ -110,13 +110,10 @@ class Model:
             _, at = np.unique(edges >> 8, return_inverse=True)
             levels.append((edges, seen))
             totals.append(np.bincount(at, weights=seen.sum(axis=1))[at])
-        # a context is seen at least as often as any longer one that ends with it, so one bound keeps whole trees
-        room, often = min(max_grams, 12_000_000 // len(self.langs)), np.sort(np.concatenate(totals))[::-1]
-        least = max(2.0, often[room] + 1 if len(often) > room else 0)
         p = np.full((1, len(self.langs)), 1 / 256)
         for order, ((edges, seen), total) in enumerate(zip(levels, totals)):
             if order:
-                edges, seen = edges[total >= least], seen[total >= least]
+                edges, seen = edges[total >= 2], seen[total >= 2]
                 p = p[np.searchsorted(self.edges[-1], edges & self.mask(order - 1))]
             contexts, first, at = np.unique(edges >> 8, return_index=True, return_inverse=True)
             if len(edges):
@@ -198,7 +195,8 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         langs, score = held.value.predict(s.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
-    return df.withColumn("_l", run(F.col(text))).withColumns({"lang_pred": F.col("_l.lang_pred"), "score": F.col("_l.score")}).drop("_l")
+    out = df.withColumn("_gm_found", run(F.col(text)))
+    return out.withColumns({"lang_pred": F.col("_gm_found.lang_pred"), "score": F.col("_gm_found.score")}).drop("_gm_found")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
