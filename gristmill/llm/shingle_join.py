@@ -1,15 +1,20 @@
-"""Near copies by the exact Jaccard similarity of their sets of word shingles.
+"""Near copies of texts: SimHash trie self-join over five-word shingles, exact check, and an exact way for what SimHash cannot reach.
 
 Two texts link when the sets of their five-word shingles (ASCII-lower-cased; a shorter text is one shingle) have a
-similarity of 4/5 or more. The join is exact: with the shingles of every text in one global order, such a pair shares one
-among the first n - ceil(4n/5) + 1 of both, so only texts that share one of those are candidates, and every
+similarity of 4/5 or more. Candidates come first from the trie self-join of :mod:`gristmill.llm.simhash` over fingerprints of the same
+shingles, with an error budget of ``BITS`` bits. That budget is what a trie can prune with; pairs of similarity 0.8 differ in up to
+about 15 of 64 bits, so the rest is found by a join that misses none: with the shingles of every text in one global order, such a pair
+shares one among the first n - ceil(4n/5) + 1 of both, so only texts that share one of those are candidates. Every
 candidate is decided on the whole sets, after a bound that only drops pairs that cannot be similar (bits of a parity
 bitmap that differ are never more than the shingles that differ). The order puts shingles that are frequent in a sample last; the sample
 changes the cost, never the result.
 
-Distribution: equal sets are merged first (one class), then each class is compared with one hub per shared prefix
-shingle, and the components so found are left out of the join of all remaining pairs, so a dense group of near
-copies costs no quadratic output. Shingles and sets are compared as 64-bit hashes. Texts without a word are one class.
+Distribution: equal sets are merged first (one class). The links of the trie join are a forest, then each class is compared with one
+hub per shared prefix shingle, and the components so found are left out of the join of all remaining pairs, so a dense group of near
+copies costs no quadratic output. Shingles and sets are compared as 64-bit hashes.
+
+Texts without a word (null, empty) are one class. Rows with equal keys _h are one row of the result each time; ties do not matter, as
+components have no representative. Very long texts are shingled whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,34 +26,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import small
+from gristmill.llm.simhash import bits_of, near_links
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize, release
 
-#: Words of a shingle; the least similarity is PART / WHOLE. SAMPLE texts, of which HOT shingles in LEAST or more give the order. Sets leave Python by BLOCK rows.
-WIDTH, PART, WHOLE, SAMPLE, HOT, LEAST, MAP, BLOCK = 5, 4, 5, 8192, 1 << 16, 4, 1024, 256
+#: Words of a shingle, error budget of the trie; the least similarity is PART / WHOLE. SAMPLE texts, of which HOT shingles in LEAST or more give the order. Sets leave Python by BLOCK rows.
+WIDTH, BITS, PART, WHOLE, SAMPLE, HOT, LEAST, MAP, BLOCK = 5, 3, 4, 5, 8192, 1 << 16, 4, 1024, 256
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+    """Hashes of the text's shingles in their order."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     f = xxhash.xxh64_intdigest
     if len(words) <= WIDTH:
         return np.array([f(b" ".join(words), 42)] if words else [], dtype=np.uint64)
     flat, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     lo, hi = [0, *ends[:-WIDTH].tolist()], (ends[WIDTH - 1:] - 1).tolist()
-    return np.unique(np.fromiter((f(flat[a:b], 42) for a, b in zip(lo, hi)), dtype=np.uint64, count=len(hi)))
+    return np.fromiter((f(flat[a:b], 42) for a, b in zip(lo, hi)), dtype=np.uint64, count=len(hi))
 
 
 def _sets(df: DataFrame, text: str, hot: dict[int, int]) -> DataFrame:
-    """_h of each row, its class _k, its shingles, the hot ones last, and their parity bitmap."""
+    """_h of each row, its class _k, its fingerprint, its distinct shingles, the hot ones last, and their parity bitmap."""
     known = np.array(sorted(hot), dtype=np.int64)
     often = np.array([hot[x] for x in known.tolist()], dtype=np.int64)
 
     def run(it):
         for pdf in (whole.iloc[i:i + BLOCK] for whole in it for i in range(0, len(whole), BLOCK)):
-            keys, all_sets, maps = [], [], []
+            keys, fps, all_sets, maps = [], [], [], []
             for t in pdf[text]:
-                s = shingles(t)
+                s = np.unique(shingles(t))
+                fps.append(bits_of(s))
                 keys.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
                 odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % MAP, minlength=MAP) & 1
                 maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
@@ -57,9 +64,9 @@ def _sets(df: DataFrame, text: str, hot: dict[int, int]) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.lexsort((s, np.where(known[at] == s, often[at], 0)))]
                 all_sets.append(s)
-            yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": np.array(keys, dtype=np.uint64).view(np.int64), "toks": all_sets, "map": maps})
+            yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": np.array(keys, dtype=np.uint64).view(np.int64), "fp": np.array(fps, dtype=np.int64), "toks": all_sets, "map": maps})
 
-    return df.select("_h", text).mapInPandas(run, "_h long, _k long, toks array<long>, map array<long>")
+    return df.select("_h", text).mapInPandas(run, "_h long, _k long, fp long, toks array<long>, map array<long>")
 
 
 def _hot(df: DataFrame, text: str) -> dict[int, int]:
@@ -106,7 +113,14 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
 
     hub = entries.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "_k").alias("x"), "_k", "n")).alias("hub"))
     to_hub = entries.join(hub, "tok").filter((F.col("_k") != F.col("hub._k")) & _sizes(F.col("n"), F.col("hub.n")))
-    links = _verified(to_hub.select(F.col("_k").alias("a"), F.col("hub._k").alias("b")), one)
+    # the trie's forest of fingerprints, and classes of one fingerprint with the first of them
+    named = materialize(one.filter(n > 0).groupBy("fp").agg(F.min("_k").alias("k")), "fingerprints")
+    forest = near_links(named, BITS)
+    x, y = (named.select(F.col("fp").alias(f), F.col("k").alias(f"k{f}")) for f in "ab")
+    trie = forest.join(x, "a").join(y, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    same = one.filter(n > 0).select("_k", "fp").distinct().join(named, "fp").filter("_k != k").select(F.col("_k").alias("a"), F.col("k").alias("b"))
+    to_hub = to_hub.select(F.col("_k").alias("a"), F.col("hub._k").alias("b"))
+    links = _verified(trie.unionByName(same).unionByName(to_hub), one)
 
     comp = materialize(connected_components(links), "hubs")
     e = entries.join(comp, entries["_k"] == comp["node"], "left").select("tok", "_k", "n", "pos", F.coalesce("component", "_k").alias("c"))
@@ -120,7 +134,7 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     links = links.unionByName(_verified(rest.select(F.col("_k1").alias("a"), F.col("_k2").alias("b")), one))
 
     comp = connected_components(links)
-    for t in (one, entries, e):
+    for t in (one, entries, e, named):
         release(t)
     to = classes.join(comp, classes["_k"] == comp["node"], "left")
     return to.select("_h", F.coalesce("component", "_k").alias("component"))

@@ -42,6 +42,11 @@ def simhash(text: str | None, width: int = SHINGLE) -> int:
         flat, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
         lo, hi, f = [0, *ends[:-width].tolist()], (ends[width - 1:] - 1).tolist(), xxhash.xxh64_intdigest
         hs = np.fromiter((f(flat[a:b], 42) for a, b in zip(lo, hi)), dtype=np.uint64, count=len(hi))
+    return bits_of(hs)
+
+
+def bits_of(hs: np.ndarray) -> int:
+    """The fingerprint (signed) of some hashes: bits set in over half of them."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hs), 1 << 14):
         part = hs[i:i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8)
