@@ -2,6 +2,9 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again, and returns the columns of ``documents``
 (the last one: the shard table). Everything works on whole texts and whole tables.
+
+For all stages: extra columns are kept whatever their names, ties go by hashes and ids as the operators say, very long texts
+are whole rows like any other, and an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -11,14 +14,17 @@ from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, language_id, mixing, sharding, shingle_join
 from gristmill.llm.common import crc_mod, small, table
-from gristmill.sources.materialize import materialize
+from gristmill.sources.materialize import materialize, release
 
 #: The winning language's posterior below which a text is rejected.
 LEAST_SCORE = 0.5
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts that are null, have no letter, or that no language wins with ``LEAST_SCORE``."""
+    """Rejects texts that are null, have no letter, or that no language wins with ``LEAST_SCORE``.
+
+    Null lang, id or source does not matter; repeated rows are judged alike. Without any labelled row every text is rejected.
+    """
     model = language_id.fit(docs, crc_mod("doc_id", 4) != 2)
     return language_id.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
@@ -26,7 +32,8 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more, linked in chains).
 
-    The row with the smallest doc_id stays, one without a doc_id only where no row of the group has one; rows are told apart
+    Candidates come from the SimHash trie self-join first and from an exact shingle join for what its bits cannot reach. Null and
+    empty texts are one group, equal rows are one row. The row with the smallest doc_id stays, one without a doc_id only where no row of the group has one; rows are told apart
     by a hash of all their columns, so texts that share a doc_id or have none link like any other.
     """
     named = docs.withColumn("_h", F.xxhash64(*docs.columns))
@@ -41,17 +48,20 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that hold a benchmark passage."""
+    """Drops texts that hold a benchmark passage of five words or more. Null and empty texts and null ids stay, repeated rows go together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source to its target; rows repeat for further epochs."""
+    """Takes each source to its target; rows repeat for further epochs.
+
+    Rows without words (null, empty) add nothing and go. Null sources are one source; null ids are allowed; repeated rows share a key.
+    """
     return mixing.mixed_rows(docs)
 
 
 def stage_shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Assigns shards and slots."""
+    """Assigns shards and slots: equal texts share a shard, null texts count as empty, repeated rows get slots of their own."""
     return sharding.shard(docs)
 
 
@@ -63,7 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, name)
+            release(before)
     return docs
