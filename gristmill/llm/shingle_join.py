@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import small
+from gristmill.llm.common import arrow_rows, small
 from gristmill.llm.simhash import bits_of, near_links
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize, release
@@ -99,7 +99,8 @@ def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
 
 def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """(_h, component) for the rows of ``df``, which holds a key _h of its rows; equal keys have equal texts."""
-    rows = materialize(_sets(df, text, _hot(df, text)), "shingles")
+    with arrow_rows(df.sparkSession, BLOCK * 2):
+        rows = materialize(_sets(df, text, _hot(df, text)), "shingles")
     n = F.size("toks")
     # one row stands for each class
     first = materialize(rows.groupBy("_k").agg(F.min("_h").alias("_h")), "first")
