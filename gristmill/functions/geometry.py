@@ -48,3 +48,10 @@ def iou(a: Column, b: Column) -> Column:
     inter = side("x", "w") * side("y", "h")
     union = a["w"] * a["h"] + b["w"] * b["h"] - inter
     return F.when(union > 0, inter / union).otherwise(F.lit(0.0))
+
+
+def tile_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, size: int) -> Column:
+    """array(x1, y1, x2, y2) of a box once its image is scaled into a square tile of ``size`` and centred there."""
+    scale = F.least(size / width, size / height)
+    left, top = (F.floor((size - F.bround(side * scale)) / 2) for side in (width, height))
+    return F.array(left + x * scale, top + y * scale, left + (x + w) * scale, top + (y + h) * scale)

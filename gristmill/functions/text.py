@@ -45,6 +45,11 @@ def size_text(w: Column, h: Column) -> Column:
     return F.format_string("%dx%d", w, h)
 
 
+def quote_plus(text: Column) -> Column:
+    """Form encoding of UTF-8 bytes: letters, digits and _.-~ stay, spaces become +."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def average_ms(seconds: Column, batches: Column, batch: Column) -> Column:
     return F.when(batches * batch > 0, F.format_string("%.2f", 1000 * seconds / (batches * batch))).otherwise("0.00")
 

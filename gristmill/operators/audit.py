@@ -44,7 +44,7 @@ def selection_reason(instances: Column, selected: Column) -> Column:
     return F.when(instances == 0, "excluded_empty_label").when(selected, "selected").otherwise("omitted_correlated_eval_variant")
 
 
-def provenance_merge(df: DataFrame, key: str, source: str, order: str, sep: str = "; ") -> DataFrame:
-    """First row wins per key; its sources are joined, each once, in order of arrival."""
+def provenance_merge(df: DataFrame, key: str, source: str, order: str, sep: str = "; ", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the ``keep`` columns of its first row, and its sources, each once, joined in order of arrival."""
     seq = F.transform(F.array_sort(F.collect_list(F.struct(order, source))), lambda s: s[source])
-    return df.groupBy(key).agg(F.array_join(F.array_distinct(seq), sep).alias("provenance"), F.count("*").alias("n_rows"))
+    return df.groupBy(key).agg(*[F.min_by(c, order).alias(c) for c in keep], F.array_join(F.array_distinct(seq), sep).alias("provenance"), F.count("*").alias("n_rows"))

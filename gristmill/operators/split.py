@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.sources.materialize import materialize
 
+#: Attempts of the split search.
+ATTEMPTS = 512
 RATIOS = {"train": 0.70, "val": 0.15, "test": 0.15}
 
 
@@ -16,27 +18,45 @@ def class_presence(df: DataFrame, group: str, cls: str) -> DataFrame:
 
 def split_boundaries(groups: DataFrame, key: str, seed: str = "0") -> DataFrame:
     """Splits whole groups by position in a seeded md5 order: floor(n*.7+.5) train, floor(n*.15+.5) val, rest test."""
-    return split_candidates(groups, key, [seed]).drop("attempt")
+    keys = groups.select(key).distinct()
+    n = keys.count()
+    ranked = dense_ids(keys.withColumn("_h", _order(F.lit(seed), key)), ["_h", key], "_r")
+    return ranked.select(key, _split_at(n).alias("split"))
+
+
+def _order(attempt: Column, key: str) -> Column:
+    return F.md5(F.concat_ws("|", attempt, F.col(key).cast("string")).cast("binary"))
+
+
+def _split_at(n: int) -> Column:
+    a, b = int(n * 0.70 + 0.5), int(n * 0.15 + 0.5)
+    return F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "val").otherwise("test")
 
 
 def split_candidates(groups: DataFrame, key: str, attempts: list) -> DataFrame:
     """One assignment per attempt. Rows are ranked inside an attempt only, so attempts run in parallel."""
-    n = groups.select(key).distinct().count()
-    a, b = int(n * 0.70 + 0.5), int(n * 0.15 + 0.5)
-    cand = groups.select(key).distinct().withColumn("attempt", F.explode(F.array(*[F.lit(str(x)) for x in attempts])))
-    w = Window.partitionBy("attempt").orderBy(F.md5(F.concat_ws("|", "attempt", F.col(key).cast("string")).cast("binary")), key)
-    r = F.row_number().over(w)
-    return cand.withColumn("_r", r).select("attempt", key, F.when(F.col("_r") <= a, "train").when(F.col("_r") <= a + b, "val").otherwise("test").alias("split"))
+    keys = groups.select(key).distinct()
+    cand = keys.withColumn("attempt", F.explode(F.array(*[F.lit(str(x)) for x in attempts])))
+    w = Window.partitionBy("attempt").orderBy(_order(F.col("attempt"), key), key)
+    return cand.withColumn("_r", F.row_number().over(w)).select("attempt", key, _split_at(keys.count()).alias("split"))
 
 
-def split_scores(candidates: DataFrame, presence: DataFrame, group: str, cls: str) -> DataFrame:
-    """Mean absolute deviation of each class's split shares from the ratios, per attempt."""
-    total = presence.groupBy(cls).agg(F.count("*").alias("n"))
+def split_scores(candidates: DataFrame, presence: DataFrame, group: str, cls: str, least_groups: int = 6, excluded: tuple = ()) -> DataFrame:
+    """Mean absolute deviation of each class's split shares from the ratios, per attempt.
+
+    Classes in fewer than ``least_groups`` groups and the ``excluded`` ones do not count; without any class every score is 0.
+    """
+    total = presence.filter(~F.col(cls).isin(*excluded)) if excluded else presence
+    total = materialize(total.groupBy(cls).agg(F.count("*").alias("n")).filter(F.col("n") >= least_groups), "classes")
+    few = total.count() <= 100_000
+    total = F.broadcast(total) if few else total
+    presence = presence.join(total.select(cls), cls, "left_semi")
     got = candidates.join(presence, group).groupBy("attempt", cls, "split").agg(F.count("*").alias("c"))
     ratios = F.create_map(*[F.lit(x) for kv in RATIOS.items() for x in kv])
-    grid = candidates.select("attempt").distinct().join(F.broadcast(total), F.lit(True)).withColumn("split", F.explode(F.array(*[F.lit(s) for s in RATIOS])))
+    grid = candidates.select("attempt").distinct().join(total, F.lit(True)).withColumn("split", F.explode(F.array(*[F.lit(s) for s in RATIOS])))
     dev = F.abs(F.coalesce("c", F.lit(0)) / F.col("n") - ratios[F.col("split")])
-    return grid.join(got, ["attempt", cls, "split"], "left").groupBy("attempt").agg(F.round(F.avg(dev), 8).alias("score"))
+    scores = grid.join(got, ["attempt", cls, "split"], "left").groupBy("attempt").agg(F.round(F.avg(dev), 8).alias("score"))
+    return candidates.select("attempt").distinct().join(scores, "attempt", "left").na.fill(0.0, ["score"])
 
 
 def best_split(candidates: DataFrame, scores: DataFrame, key: str) -> DataFrame:

@@ -38,9 +38,10 @@ def pair_unlabeled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id)")
+@query("SELECT doc_id, quality FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id AND d.source <> 'src0')")
 def pair_orphan_labels(spark, d):
-    return table(spark, d, "labels").select("doc_id", "quality").join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti")
+    docs = table(spark, d, "documents").filter("source <> 'src0'").select("doc_id")  # without one source, so that labels are left over
+    return table(spark, d, "labels").select("doc_id", "quality").join(docs, "doc_id", "left_anti")
 
 
 @query("SELECT d.doc_id, lang, source, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
@@ -150,14 +151,17 @@ def component_ordinal(spark, d):
 
 def _split_search(spark, d):
     o = table(spark, d, "orders")
-    cand = split.split_candidates(o, "o_custkey", list(range(8)))
-    return cand, split.split_scores(cand, split.class_presence(o, "o_custkey", "o_orderstatus"), "o_custkey", "o_orderstatus")
+    cand = split.split_candidates(o, "o_custkey", list(range(split.ATTEMPTS)))
+    # two classes of a few groups each: one is too rare to count, one is excluded by name
+    rows = o.select("o_custkey", F.when(F.col("o_orderkey") <= 4, "rare").when(F.col("o_orderkey") % 11 == 0, "other").otherwise(F.col("o_orderstatus")).alias("class"))
+    return cand, split.split_scores(cand, split.class_presence(rows, "o_custkey", "class"), "o_custkey", "class", excluded=("other",))
 
 
-CAND = """g AS (SELECT DISTINCT o_custkey FROM orders), a AS (SELECT unnest(range(8))::varchar AS attempt), n AS (SELECT count(*) AS n FROM g),
+CAND = """g AS (SELECT DISTINCT o_custkey FROM orders), a AS (SELECT unnest(range(512))::varchar AS attempt), n AS (SELECT count(*) AS n FROM g),
 r AS (SELECT attempt, o_custkey, row_number() OVER (PARTITION BY attempt ORDER BY md5(attempt || '|' || o_custkey), o_custkey) AS r FROM g, a),
 c AS (SELECT attempt, o_custkey, CASE WHEN r <= floor(n * .7 + .5) THEN 'train' WHEN r <= floor(n * .7 + .5) + floor(n * .15 + .5) THEN 'val' ELSE 'test' END AS split FROM r, n),
-p AS (SELECT DISTINCT o_custkey, o_orderstatus FROM orders), t AS (SELECT o_orderstatus, count(*) AS n FROM p GROUP BY 1), k AS (SELECT * FROM (VALUES ('train', .7), ('val', .15), ('test', .15)) v(split, ratio)),
+p AS (SELECT DISTINCT o_custkey, CASE WHEN o_orderkey <= 4 THEN 'rare' WHEN o_orderkey % 11 = 0 THEN 'other' ELSE o_orderstatus END AS o_orderstatus FROM orders),
+t AS (SELECT o_orderstatus, count(*) AS n FROM p WHERE o_orderstatus <> 'other' GROUP BY 1 HAVING count(*) >= 6), k AS (SELECT * FROM (VALUES ('train', .7), ('val', .15), ('test', .15)) v(split, ratio)),
 s AS (SELECT a.attempt, round(avg(abs(coalesce(x.c, 0) / t.n - ratio::double)), 8) AS score FROM a CROSS JOIN t CROSS JOIN k LEFT JOIN
 (SELECT attempt, o_orderstatus, split, count(*) AS c FROM c JOIN p ON c.o_custkey = p.o_custkey GROUP BY 1, 2, 3) x ON x.attempt = a.attempt AND x.o_orderstatus = t.o_orderstatus AND x.split = k.split GROUP BY 1)"""
 
@@ -263,9 +267,9 @@ def page_text(spark, d):
     return p.select("page_id", "title", "credit", "page_text", "date", "status")
 
 
-@query("SELECT conv_id, array_to_string(list(role ORDER BY t), '; ') AS provenance, (SELECT count(*) FROM conversations c WHERE c.conv_id = q.conv_id) AS n_rows FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) q GROUP BY 1")
+@query("SELECT conv_id, array_to_string(list(role ORDER BY t), '; ') AS provenance, (SELECT count(*) FROM conversations c WHERE c.conv_id = q.conv_id) AS n_rows, (SELECT arg_min(text, turn) FROM conversations c WHERE c.conv_id = q.conv_id) AS text FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) q GROUP BY 1")
 def provenance_merge(spark, d):
-    return audit.provenance_merge(table(spark, d, "conversations"), "conv_id", "role", "turn")
+    return audit.provenance_merge(table(spark, d, "conversations"), "conv_id", "role", "turn", keep=("text",))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -273,11 +277,12 @@ def props_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT NULL::varchar AS name, NULL::bigint AS actual, NULL::bigint AS expected WHERE false")
+@query("""WITH a AS (SELECT o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT * FROM (VALUES ('1-URGENT', 7::bigint), ('9-NEVER', 5)) v(name, n) UNION ALL SELECT name, n FROM a WHERE name = '5-LOW')
+SELECT coalesce(a.name, e.name) AS name, a.n AS actual, e.n AS expected FROM a FULL JOIN e ON a.name = e.name WHERE a.n IS DISTINCT FROM e.n""")
 def reconcile_counts(spark, d):
-    t = table(spark, d, "lineitem")
-    a = t.groupBy(F.col("l_returnflag").alias("name")).agg(F.count("*").alias("n"))
-    e = t.select("l_returnflag").groupBy(F.col("l_returnflag").alias("name")).count().select("name", F.col("count").alias("n"))
+    """Counts against expectations of which one is wrong, one names nothing, one is right and the others are missing."""
+    a = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("n"))
+    e = spark.createDataFrame([("1-URGENT", 7), ("9-NEVER", 5)], "name string, n long").unionByName(a.filter("name = '5-LOW'"))
     return validate.reconcile(a, e, ["name"], "n")
 
 
@@ -302,14 +307,21 @@ def batches(spark, d):
     return split.batches(table(spark, d, "part").select("p_partkey"), ["p_partkey"], 24)
 
 
-@query("SELECT item_id AS doc_id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT l_orderkey, l_linenumber, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def required_join(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    return curate.required_join(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), orders, "l_orderkey")
+
+
+@query("SELECT 5 * doc_id AS doc_id FROM documents WHERE 5 * doc_id NOT IN (SELECT doc_id FROM documents)")
 def required_join_gap(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")).join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_anti")
+    docs = table(spark, d, "documents").select("doc_id")
+    return curate.not_in_manifest(docs.select((5 * F.col("doc_id")).alias("doc_id")), docs, "doc_id")
 
 
-@query("SELECT doc_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT lang, source, n_chars, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1")
 def name_collisions(spark, d):
-    return validate.collisions(table(spark, d, "documents"), ["doc_id"]).withColumnRenamed("count", "copies")
+    return validate.collisions(table(spark, d, "documents").select("lang", "source", "n_chars"), ["lang", "source", "n_chars"]).withColumnRenamed("count", "copies")
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -395,9 +407,13 @@ def select_records(spark, d):
     return split.select_records(rows, "l_orderkey", "l_quantity", "l_linenumber").drop("l_quantity")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'none' ORDER BY 1 LIMIT 1")
+@query("""SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 1000 ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)
+UNION ALL SELECT * FROM (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'none' ORDER BY o_totalprice DESC, o_orderkey LIMIT 1)""")
 def first_or_empty(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'none'").select("o_orderkey", "o_orderdate").orderBy("o_orderkey").limit(1)
+    """The first of the matching rows, once with matches and once without any."""
+    o = table(spark, d, "orders")
+    first = lambda where: o.filter(where).select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(1)
+    return first("o_totalprice > 1000").unionByName(first("o_orderstatus = 'none'"))
 
 
 @query("SELECT conv_id, array_to_string(list(role ORDER BY t), ',') AS roles FROM (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2) GROUP BY 1")
@@ -451,3 +467,17 @@ def union_append(spark, d):
 @query("SELECT n_nationkey + 1 AS id, n_name AS name, 'nation' AS supercategory FROM nation")
 def category_dimension(spark, d):
     return table(spark, d, "nation").select((F.col("n_nationkey") + 1).alias("id"), F.col("n_name").alias("name"), F.lit("nation").alias("supercategory"))
+
+
+@query("SELECT page_id, replace(url_encode(url || ' * ~ ' || substr(html, 60, 40)), '%20', '+') AS quoted FROM pages")
+def url_quote(spark, d):
+    return table(spark, d, "pages").select("page_id", X.quote_plus(F.concat("url", F.lit(" * ~ "), F.substring("html", 60, 40))).alias("quoted"))
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size AS x, p_size / 2 AS y, 100 + p_size AS w, 50 AS h, 300 + p_partkey % 400 AS width, 200 + p_partkey % 90 AS height FROM part),
+s AS (SELECT *, least(320 / width, 320 / height) AS k FROM b), o AS (SELECT *, floor((320 - round_even(width * k, 0)) / 2) AS l, floor((320 - round_even(height * k, 0)) / 2) AS t FROM s)
+SELECT p_partkey, round(l + x * k, 6) AS x1, round(t + y * k, 6) AS y1, round(l + (x + w) * k, 6) AS x2, round(t + (y + h) * k, 6) AS y2 FROM o""")
+def tile_scaling(spark, d):
+    c = F.col
+    box = G.tile_box(c("p_size"), c("p_size") / 2, c("p_size") + 100, F.lit(50), 300 + c("p_partkey") % 400, 200 + c("p_partkey") % 90, 320)
+    return table(spark, d, "part").select("p_partkey", box.alias("b")).select("p_partkey", *[F.round(F.get("b", F.lit(i)), 6).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
