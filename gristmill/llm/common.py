@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,16 @@ def arrow_rows(spark: SparkSession, rows: int):
         spark.conf.set(name, old)
 
 
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system; idle workers would hold it while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # not a glibc
+
+
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     """Hint a broadcast if the counted rows fit the bound; otherwise leave the join to Catalyst."""
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import crc_mod, small, table
+from gristmill.llm.common import crc_mod, give_back, small, table
 
 SAMPLE_DOCS, ORDER, BLOCK = 1500, 4, 1 << 17
 
@@ -193,6 +193,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.pandas_udf("struct<lang_pred:string,score:double>")
     def run(s: pd.Series) -> pd.DataFrame:
         langs, score = held.value.predict(s.tolist())
+        give_back()
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
     out = df.withColumn("_gm_found", run(F.col(text)))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import arrow_rows, small
+from gristmill.llm.common import arrow_rows, give_back, small
 from gristmill.llm.simhash import bits_of, near_links
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize, release
@@ -65,6 +65,7 @@ def _sets(df: DataFrame, text: str, hot: dict[int, int]) -> DataFrame:
                     s = s[np.lexsort((s, np.where(known[at] == s, often[at], 0)))]
                 all_sets.append(s)
             yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": np.array(keys, dtype=np.uint64).view(np.int64), "fp": np.array(fps, dtype=np.int64), "toks": all_sets, "map": maps})
+        give_back()
 
     return df.select("_h", text).mapInPandas(run, "_h long, _k long, fp long, toks array<long>, map array<long>")
 
