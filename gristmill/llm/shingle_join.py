@@ -113,16 +113,19 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     shared = materialize(entries.groupBy("tok").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").select("tok"), "shared")
     entries = materialize(entries.join(small(shared, shared.count(), 32), "tok").groupBy("tok", "_k").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
 
-    hub = entries.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "_k").alias("x"), "_k", "n")).alias("hub"))
-    to_hub = entries.join(hub, "tok").filter((F.col("_k") != F.col("hub._k")) & _sizes(F.col("n"), F.col("hub.n")))
     # the trie's forest of fingerprints, and classes of one fingerprint with the first of them
     named = materialize(one.filter(n > 0).groupBy("fp").agg(F.min("_k").alias("k")), "fingerprints")
-    forest = near_links(named, BITS)
     x, y = (named.select(F.col("fp").alias(f), F.col("k").alias(f"k{f}")) for f in "ab")
-    trie = forest.join(x, "a").join(y, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    trie = near_links(named, BITS).join(x, "a").join(y, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     same = one.filter(n > 0).select("_k", "fp").distinct().join(named, "fp").filter("_k != k").select(F.col("_k").alias("a"), F.col("k").alias("b"))
-    to_hub = to_hub.select(F.col("_k").alias("a"), F.col("hub._k").alias("b"))
-    links = _verified(trie.unionByName(same).unionByName(to_hub), one)
+    links = _verified(trie.unionByName(same), one)
+
+    # hubs of shared prefix shingles, for what the trie left apart
+    comp = materialize(connected_components(links), "trie")
+    e = entries.join(comp, entries["_k"] == comp["node"], "left").select("tok", "_k", "n", F.coalesce("component", "_k").alias("c"))
+    hub = e.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "c").alias("x"), "_k", "n", "c")).alias("hub"))
+    to_hub = e.join(hub, "tok").filter((F.col("c") != F.col("hub.c")) & _sizes(F.col("n"), F.col("hub.n")))
+    links = links.unionByName(_verified(to_hub.select(F.col("_k").alias("a"), F.col("hub._k").alias("b")), one))
 
     comp = materialize(connected_components(links), "hubs")
     e = entries.join(comp, entries["_k"] == comp["node"], "left").select("tok", "_k", "n", "pos", F.coalesce("component", "_k").alias("c"))
