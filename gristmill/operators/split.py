@@ -80,14 +80,15 @@ def select_records(df: DataFrame, group: str, count: str, name: str) -> DataFram
 def dense_ids(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """1-based consecutive ids in a total order without pulling all rows into one task.
 
-    A range sort deals the rows out, each partition numbers its own, and the partitions' counts (one row each)
-    give the offsets.
+    A range sort deals the rows out and sorts them, each partition numbers its own, and the partitions' counts (one row
+    each) give the offsets. Rows are shuffled once.
     """
-    w = Window.partitionBy("_pid").orderBy(*order)
-    held = materialize(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "dense")
-    counts = held.groupBy("_pid").agg(F.count("*").alias("_n"))
-    offs = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).select("_pid", "_off")
-    return held.withColumn("_k", F.row_number().over(w)).join(F.broadcast(offs), "_pid").withColumn(name, F.col("_k") + F.col("_off")).drop("_pid", "_k", "_off")
+    place = F.monotonically_increasing_id()  # partition and position in it
+    held = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", place), "dense")
+    part = F.shiftright("_m", 33)
+    counts = held.groupBy(part.alias("_pid")).agg(F.count("*").alias("_n"))
+    offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    return held.join(F.broadcast(offs), part == F.col("_pid")).withColumn(name, F.col("_m").bitwiseAND((1 << 33) - 1) + F.col("_off") + 1).drop("_m", "_pid", "_off")
 
 
 def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
