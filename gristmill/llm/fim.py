@@ -56,7 +56,7 @@ def fill_in_middle(df: DataFrame, id_col: str = "doc_id", text: str = "text", pa
     """
     p, s, m = sentinels
     held = df.select(*[df[c].alias(f"_in{i}") for i, c in enumerate(df.columns)], df[id_col].alias("_fid"), text_or_empty(df[text].cast("string")).alias("_ft"))
-    held = held.withColumn("_fk", F.md5(F.concat_ws(":", F.coalesce(F.col("_fid").cast("string"), F.lit("")), F.col("_ft"))))
+    held = held.withColumn("_fk", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("_fid").cast("string"), F.lit("")), F.col("_ft")))))  # 16 bytes
     n = F.regexp_count("_ft", F.lit(pattern)).cast("long")
     plain = (F.col("_ft") == "") | F.contains("_ft", F.lit(p)) | F.contains("_ft", F.lit(s)) | F.contains("_ft", F.lit(m)) | (_draw(F.col("_fid"), seed, 3) % 100 >= rate)
     form = F.when(plain, "plain").when(_draw(F.col("_fid"), seed, 4) % 100 < spm, "spm").otherwise("psm")

@@ -44,4 +44,4 @@ def test_stages_on_nulls_ties_and_empty(spark):
 
 
 def test_registry():
-    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 14))
