@@ -23,11 +23,19 @@ def full_instances(instances: DataFrame) -> DataFrame:
                             F.array(F.transform("segmentation", r)).alias("segmentation"), r(F.col("area")).alias("area"), F.lit(0).alias("iscrowd"))
 
 
-def union_instances(instances: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Remap classes by a caller's (class_id, category_id) table; one union box per image and category, areas summed."""
+def remapped(instances: DataFrame, mapping: DataFrame, pass_through: bool = False) -> DataFrame:
+    """Adds category_id by a caller's (class_id, category_id) table; classes it does not name go, or keep class + 1 with ``pass_through``."""
+    out = instances.join(mapping.select("class_id", F.col("category_id").alias("_to")), "class_id", "left" if pass_through else "inner")
+    return out.withColumn("category_id", F.coalesce("_to", F.col("class_id") + 1) if pass_through else F.col("_to")).drop("_to")
+
+
+def union_instances(instances: DataFrame, mapping: DataFrame, pass_through: bool = False, whole_image: int | None = None) -> DataFrame:
+    """One union box per image and category after :func:`remapped`, areas summed; with ``whole_image`` one per image, of that category."""
     b = F.col("bbox")
     x1, y1 = F.min(b["x"]), F.min(b["y"])
-    return (instances.join(mapping, "class_id").groupBy("file_name", "category_id")
+    rows = remapped(instances, mapping, pass_through)
+    rows = rows if whole_image is None else rows.withColumn("category_id", F.lit(whole_image))
+    return (rows.groupBy("file_name", "category_id")
             .agg(F.min("line_no").alias("line_no"), F.array(x1, y1, F.max(b["x"] + b["w"]) - x1, F.max(b["y"] + b["h"]) - y1).alias("bbox"),
                  F.transform(F.array_sort(F.collect_list(F.struct("line_no", "segmentation"))), lambda s: s["segmentation"]).alias("segmentation"),
                  F.sum("area").alias("area"), F.lit(0).alias("iscrowd")))

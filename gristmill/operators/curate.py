@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.operators.validate import require_empty
+from gristmill.operators.validate import checked
 
 
 def not_in_manifest(df: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
@@ -13,8 +13,9 @@ def not_in_manifest(df: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
 
 
 def required_join(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    require_empty(df.join(other, key, "left_anti"), f"{key} missing on the right")
-    return df.join(other, key)
+    """Inner join that aborts, with the count, if a row of ``df`` has no partner; both sides are read once, by a left join."""
+    both = df.join(other.withColumn("_there", F.lit(True)), key, "left")
+    return checked(both, {"n": F.col("_there").isNull()}, f"{key} missing on the right: {{n}}").drop("_there")
 
 
 def first_choice(df: DataFrame, key: str, value: str, preference: list[str]) -> DataFrame:

@@ -2,18 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions.geometry import cosine
+from gristmill.functions.geometry import dot
+from gristmill.operators.split import dense_ids
 from gristmill.sources.materialize import materialize, release
 
+#: Rows of a tile; a task compares two tiles. A table is broadcast only if its counted rows fit these bytes.
+TILE_ROWS, BROADCAST_BYTES = 2048, 32 << 20
+
+
+def tile_plan(df: DataFrame, block: str, key: str, angle: Column | None = None, width: float = 0.0, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Deals the rows of each block to tiles and gives every row once for each pair of tiles it is part of.
+
+    Adds tile_a <= tile_b (the pair, a task) and side (0: the row is of tile_a, 1: of tile_b). A block of any size becomes tiles of
+    about ``tile_rows`` rows, so no task holds a block, and all pairs of rows meet in exactly one task. With ``angle`` (radians to some pivot of the block) only
+    tiles that may hold rows nearer than ``width`` are paired: angles to the pivot differ by no more than the rows do.
+    """
+    zone = F.lit(0) if angle is None else F.floor(angle / width).cast("int")
+    held = df.withColumn("_zone", zone)
+    counts = held.groupBy(F.col(block).alias("_block"), "_zone").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("_tiles"))
+    counts = materialize(counts, "tiles")
+    n = counts.count()
+    side = lambda c: F.broadcast(c) if n * 64 <= BROADCAST_BYTES else c  # noqa: E731  a row per block and zone, counted
+    own = held.join(side(counts), F.col(block).eqNullSafe(F.col("_block")) & (held["_zone"] == counts["_zone"])).drop("_block", counts["_zone"])
+    own = own.withColumn("_own", F.struct("_zone", F.pmod(F.xxhash64(key), F.col("_tiles")).cast("int").alias("t"))).drop("_tiles")
+    near = F.array(F.lit(0)) if angle is None else F.array(F.lit(-1), F.lit(0), F.lit(1))
+    there = counts.select(F.col("_block").alias("_b2"), F.col("_zone").alias("_z2"), "_tiles")
+    met = own.withColumn("_z", F.explode(F.transform(near, lambda x: x + F.col("_zone")))).join(side(there), F.col(block).eqNullSafe(F.col("_b2")) & (F.col("_z") == F.col("_z2")))
+    met = met.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))).withColumn("_other", F.struct(F.col("_z").alias("_zone"), F.col("_t").alias("t")))
+    return (met.withColumns({"tile_a": F.least("_own", "_other"), "tile_b": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")})
+            .drop("_zone", "_own", "_z", "_b2", "_z2", "_tiles", "_t", "_other"))
+
+
+def tiled_scores(plan: DataFrame, block: str, key: str, vector: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray], threshold: float | None) -> DataFrame:
+    """(block, key_a < key_b, score) of the row pairs of each pair of tiles; with a ``threshold`` only those that reach it.
+
+    ``score(first, second)`` gives the matrix of scores of two stacks of vectors; for each pair the row of the smaller key is in ``first``.
+    """
+    types = {f.name: f.dataType.simpleString() for f in plan.schema}
+    schema = f"{block} {types[block]}, {key}_a {types[key]}, {key}_b {types[key]}, score double"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, kind="stable")
+        a, b = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        same = pdf["tile_a"].iloc[0] == pdf["tile_b"].iloc[0]
+        parts = [(a, a)] if same else [(a, b), (b, a)]
+        out = []
+        for x, y in parts:
+            if not len(x) or not len(y):
+                continue
+            kx, ky = x[key].to_numpy(), y[key].to_numpy()
+            first = kx[:, None] < ky[None, :]
+            if not first.any():
+                continue
+            s = score(np.stack(x[vector]).astype(np.float64), np.stack(y[vector]).astype(np.float64))
+            i, j = np.nonzero(first if threshold is None else first & (s >= threshold))
+            out.append(pd.DataFrame({block: x[block].iloc[0], f"{key}_a": kx[i], f"{key}_b": ky[j], "score": s[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({block: [], f"{key}_a": [], f"{key}_b": [], "score": []})
 
-def block_pairs(df: DataFrame, block: str, key: str, vector: str) -> DataFrame:
-    """Pairs a < b inside a block with their score; an equi-join, so Catalyst hashes or sorts on the block."""
-    side = lambda n: df.select(F.col(block), F.col(key).alias(f"{key}_{n}"), F.col(vector).cast("array<double>").alias(f"v_{n}"))
-    return (side("a").join(side("b"), block).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
-            .select(block, f"{key}_a", f"{key}_b", cosine(F.col("v_a"), F.col("v_b")).alias("score")))
+    return plan.select(block, key, vector, "tile_a", "tile_b", "side").groupBy(block, "tile_a", "tile_b").applyInPandas(run, schema)
+
+
+def unit_vectors(df: DataFrame, block: str, key: str, vector: str) -> DataFrame:
+    """block, key, unit: each vector divided by its norm, once a row. Null, zero and non-finite vectors, and null keys, are left out."""
+    v = df.select(block, key, F.col(vector).cast("array<double>").alias("v")).filter(F.col(key).isNotNull())
+    v = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    return v.select(block, key, F.transform("v", lambda x: x / F.col("norm")).alias("unit"))
+
+
+def block_pairs(df: DataFrame, block: str, key: str, vector: str, threshold: float | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Pairs key_a < key_b inside a block with their cosine: all of them, or with a ``threshold`` above 0 the edges that reach it.
+
+    Pairs of tiles are the tasks, so a label with a third of all rows is many tasks; with a threshold, tiles whose angles to the block's
+    pivot (its first vector) are too far apart are not compared, and only edges leave a task.
+    """
+    unit = unit_vectors(df, block, key, vector)
+    if threshold is None or threshold <= 0:
+        return tiled_scores(tile_plan(unit, block, key, tile_rows=tile_rows), block, key, "unit", _products, threshold)
+    pivots = unit.groupBy(F.col(block).alias("_p")).agg(F.min_by("unit", key).alias("pivot"))
+    unit = unit.join(pivots, F.col(block).eqNullSafe(F.col("_p"))).drop("_p")
+    angle = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot(F.col("unit"), F.col("pivot")))))
+    # the small margin covers rounding at the edge of a zone
+    return tiled_scores(tile_plan(unit.withColumn("angle", angle).drop("pivot"), block, key, F.col("angle"), math.acos(threshold) + 1e-6, tile_rows), block, key, "unit", _products, threshold)
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a @ b.T
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -50,13 +131,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def component_keys(df: DataFrame, prefix: str, component: str, order: str) -> DataFrame:
-    """``{prefix}__visual_{NN}`` with NN the component's ordinal in its prefix by first ``order`` value."""
-    first = df.groupBy(prefix, component).agg(F.min(order).alias("_first"))
-    rank = first.withColumn("_nn", F.dense_rank().over(Window.partitionBy(prefix).orderBy("_first")) - 1)
-    return df.join(rank.drop("_first"), [prefix, component]).withColumn("group_key", F.format_string("%s__visual_%02d", F.col(prefix), F.col("_nn"))).drop("_nn")
+    """``{prefix}__visual_{NN}`` with NN the component's ordinal in its prefix by first ``order`` value.
+
+    First values are numbered by one range sort over all prefixes; the least number of a prefix is its start, so no task holds a prefix.
+    """
+    first = materialize(df.groupBy(prefix, component).agg(F.min(order).alias("_first")), "first")
+    ids = materialize(dense_ids(first.select(prefix, "_first").distinct(), [prefix, "_first"], "_id"), "ordinals")
+    start = ids.groupBy(prefix).agg(F.min("_id").alias("_start"))
+    rank = first.join(ids, [prefix, "_first"]).join(start, prefix).select(prefix, component, (F.col("_id") - F.col("_start")).cast("int").alias("_nn"))
+    return df.join(rank, [prefix, component]).withColumn("group_key", F.format_string("%s__visual_%02d", F.col(prefix), F.col("_nn"))).drop("_nn")
 
 
-def grouping_profile(pairs: DataFrame, components: DataFrame, block: str, threshold: float) -> DataFrame:
-    p = pairs.agg(F.count("*").alias("pair_count"), F.count_if(F.col("score") >= threshold).alias("matched_edges"))
+def grouping_profile(blocks: DataFrame, edges: DataFrame, components: DataFrame, block: str) -> DataFrame:
+    """Compared pairs (from the blocks' sizes), matched edges, prefix groups and refined groups. ``blocks`` has the compared rows."""
+    n = F.col("n").cast("decimal(38,0)")
+    p = blocks.groupBy(block).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0)).cast("long").alias("pair_count"))
+    e = edges.agg(F.count("*").alias("matched_edges"))
     c = components.agg(F.count_distinct(block).alias("prefix_groups"), F.count_distinct("component").alias("refined_groups"))
-    return p.join(c, F.lit(True))
+    return p.join(e, F.lit(True)).join(c, F.lit(True))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gristmill.functions import geometry as G
+from gristmill.sources.materialize import materialize, release
 
 TOLERANCE = 1e-6
 
@@ -53,6 +54,11 @@ def image_records(images: DataFrame, good: DataFrame, keys: list[str]) -> DataFr
     return images.join(inst, keys, "left").withColumn("instances", F.coalesce("instances", empty))
 
 
+def usable(records: DataFrame) -> DataFrame:
+    """Records with at least one instance."""
+    return records.filter(F.size("instances") > 0)
+
+
 def require_empty(df: DataFrame, message: str) -> None:
     """Raises with the count if any row is left."""
     n = df.count()
@@ -60,17 +66,29 @@ def require_empty(df: DataFrame, message: str) -> None:
         raise ContractError(f"{message}: {n}")
 
 
+def checked(df: DataFrame, faults: dict[str, Column], message: str) -> DataFrame:
+    """``df`` as a table, written by one pass that also counts the rows with each fault; raises with the counts if there are any.
+
+    ``message`` names the faults in braces. What is returned is read from the table, so nothing is evaluated a second time.
+    """
+    seen = Observation()
+    out = materialize(df.observe(seen, *[F.count_if(c).alias(n) for n, c in faults.items()]), "checked")
+    counts = {n: seen.get.get(n) or 0 for n in faults}
+    if any(counts.values()):
+        release(out)
+        raise ContractError(message.format(**counts))
+    return out
+
+
 def require_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join that aborts, with both counts, if either side has an unmatched row."""
-    a, b = left.join(right, keys, "left_anti").count(), right.join(left, keys, "left_anti").count()
-    if a or b:
-        raise ContractError(f"unpaired rows: {a} left, {b} right")
-    return left.join(right, keys)
+    """Inner join that aborts, with both counts, if either side has an unmatched row. Each side is read once, by a full join."""
+    a, b = left.withColumn("_in_a", F.lit(True)), right.withColumn("_in_b", F.lit(True))
+    both = a.join(b, keys, "full")
+    return checked(both, {"a": F.col("_in_b").isNull(), "b": F.col("_in_a").isNull()}, "unpaired rows: {a} left, {b} right").drop("_in_a", "_in_b")
 
 
 def require_status(df: DataFrame, column: str, value: str) -> DataFrame:
-    require_empty(df.filter(~F.col(column).eqNullSafe(value)), f"{column} is not {value}")
-    return df
+    return checked(df, {"n": ~F.col(column).eqNullSafe(value)}, f"{column} is not {value}: {{n}}")
 
 
 def collisions(df: DataFrame, keys: list[str]) -> DataFrame:

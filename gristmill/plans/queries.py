@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import geometry as G
 from gristmill.functions import text as X
-from gristmill.operators import audit, curate, grouping, metrics, split, validate
+from gristmill.operators import audit, curate, grouping, images, metrics, split, validate
 from gristmill.operators import html as H
+from gristmill.sources.materialize import materialize
 from gristmill.sources.readers import keyed_last, table
 
 QUERIES: dict = {}
@@ -69,6 +70,10 @@ def _pairs(spark, d):
     return grouping.block_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
+def _edges(spark, d):
+    return grouping.block_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.30)
+
+
 @query(f"SELECT label, vec_id_a, vec_id_b, round(score, 6) AS score FROM ({PAIRS})")
 def block_pairs(spark, d):
     return _pairs(spark, d).withColumn("score", F.round("score", 6))
@@ -82,15 +87,15 @@ def score_quantiles(spark, d):
 
 @query(f"SELECT vec_id_a, vec_id_b, round(score, 6) AS score FROM ({PAIRS}) WHERE score >= 0.30")
 def edges_threshold(spark, d):
-    return _pairs(spark, d).filter("score >= 0.30").select("vec_id_a", "vec_id_b", F.round("score", 6).alias("score"))
+    return _edges(spark, d).select("vec_id_a", "vec_id_b", F.round("score", 6).alias("score"))
 
 
 COMP = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT vec_id_a AS a, vec_id_b AS b FROM ({PAIRS}) WHERE score >= 0.30), s AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r(a, b) AS (SELECT a, a FROM s UNION SELECT r.a, s.b FROM r JOIN s ON r.b = s.a)"""
 
 
-def _components(spark, d):
-    e = _pairs(spark, d).filter("score >= 0.30").select("vec_id_a", "vec_id_b")
+def _components(spark, d, edges=None):
+    e = (edges if edges is not None else _edges(spark, d)).select("vec_id_a", "vec_id_b")
     c = grouping.connected_components(e)
     return (table(spark, d, "embeddings").select("vec_id", "label").join(c, F.col("vec_id") == F.col("node"), "left")
             .select("vec_id", "label", F.coalesce("component", "vec_id").alias("component")))
@@ -151,24 +156,27 @@ def component_ordinal(spark, d):
 
 def _split_search(spark, d):
     o = table(spark, d, "orders")
-    cand = split.split_candidates(o, "o_custkey", list(range(split.ATTEMPTS)))
+    cuts = split.split_cuts(o, "o_custkey")
     # two classes of a few groups each: one is too rare to count, one is excluded by name
     rows = o.select("o_custkey", F.when(F.col("o_orderkey") <= 4, "rare").when(F.col("o_orderkey") % 11 == 0, "other").otherwise(F.col("o_orderstatus")).alias("class"))
-    return cand, split.split_scores(cand, split.class_presence(rows, "o_custkey", "class"), "o_custkey", "class", excluded=("other",))
+    return cuts, split.split_scores(cuts, split.class_presence(rows, "o_custkey", "class"), "o_custkey", "class", excluded=("other",))
 
 
-CAND = """g AS (SELECT DISTINCT o_custkey FROM orders), a AS (SELECT unnest(range(512))::varchar AS attempt), n AS (SELECT count(*) AS n FROM g),
-r AS (SELECT attempt, o_custkey, row_number() OVER (PARTITION BY attempt ORDER BY md5(attempt || '|' || o_custkey), o_custkey) AS r FROM g, a),
-c AS (SELECT attempt, o_custkey, CASE WHEN r <= floor(n * .7 + .5) THEN 'train' WHEN r <= floor(n * .7 + .5) + floor(n * .15 + .5) THEN 'val' ELSE 'test' END AS split FROM r, n),
+CUT = "CASE WHEN r <= round_even(n * 0.7::double, 0) THEN 'train' WHEN r <= round_even(n * 0.7::double, 0) + round_even(n * 0.15::double, 0) THEN 'val' ELSE 'test' END"
+CAND = f"""g AS (SELECT o_custkey, ('0x' || substr(md5(o_custkey::varchar), 1, 13))::bigint AS h1, ('0x' || substr(md5(o_custkey::varchar), 14, 13))::bigint AS h2 FROM (SELECT DISTINCT o_custkey FROM orders)),
+a AS (SELECT unnest(range(512))::int AS attempt), n AS (SELECT count(*) AS n FROM g),
+r AS (SELECT attempt, o_custkey, row_number() OVER (PARTITION BY attempt ORDER BY (h1 + attempt * h2) % 4503599627370449, o_custkey) AS r FROM g, a),
+c AS MATERIALIZED (SELECT attempt, o_custkey, {CUT} AS split FROM r, n),
 p AS (SELECT DISTINCT o_custkey, CASE WHEN o_orderkey <= 4 THEN 'rare' WHEN o_orderkey % 11 = 0 THEN 'other' ELSE o_orderstatus END AS o_orderstatus FROM orders),
 t AS (SELECT o_orderstatus, count(*) AS n FROM p WHERE o_orderstatus <> 'other' GROUP BY 1 HAVING count(*) >= 6), k AS (SELECT * FROM (VALUES ('train', .7), ('val', .15), ('test', .15)) v(split, ratio)),
-s AS (SELECT a.attempt, round(avg(abs(coalesce(x.c, 0) / t.n - ratio::double)), 8) AS score FROM a CROSS JOIN t CROSS JOIN k LEFT JOIN
+s AS MATERIALIZED (SELECT a.attempt, round(avg(abs(coalesce(x.c, 0) / t.n - ratio::double)), 8) AS score FROM a CROSS JOIN t CROSS JOIN k LEFT JOIN
 (SELECT attempt, o_orderstatus, split, count(*) AS c FROM c JOIN p ON c.o_custkey = p.o_custkey GROUP BY 1, 2, 3) x ON x.attempt = a.attempt AND x.o_orderstatus = t.o_orderstatus AND x.split = k.split GROUP BY 1)"""
 
 
-@query(f"WITH {CAND} SELECT o_custkey, split FROM c WHERE attempt = (SELECT attempt FROM s ORDER BY score, attempt::int LIMIT 1)")
+@query(f"WITH {CAND} SELECT o_custkey, split FROM c WHERE attempt = (SELECT attempt FROM s ORDER BY score, attempt LIMIT 1)")
 def split_search(spark, d):
-    return split.best_split(*_split_search(spark, d), "o_custkey")
+    cuts, scores = _split_search(spark, d)
+    return split.best_split(table(spark, d, "orders"), "o_custkey", cuts, scores)
 
 
 @query(f"WITH {CAND} SELECT attempt, score FROM s")
@@ -245,7 +253,8 @@ def component_update(spark, d):
 @query(COMP + f""", c AS (SELECT label, coalesce((SELECT min(b) FROM r WHERE r.a = vec_id), vec_id) AS component FROM embeddings)
 SELECT (SELECT count(*) FROM ({PAIRS})) AS pair_count, (SELECT count(*) FROM p) AS matched_edges, count(DISTINCT label) AS prefix_groups, count(DISTINCT component) AS refined_groups FROM c""")
 def grouping_profile(spark, d):
-    return grouping.grouping_profile(_pairs(spark, d), _components(spark, d), "label", 0.30)
+    edges = materialize(_edges(spark, d), "edges")
+    return grouping.grouping_profile(table(spark, d, "embeddings").select("label"), edges, _components(spark, d, edges), "label")
 
 
 # strings, JSON, HTML -----------------------------------------------------------------------------------------------
@@ -371,22 +380,31 @@ def sparse_class_count(spark, d):
     return dims.join(got, "l_returnflag", "left").na.fill(0)
 
 
-REPORT = [("c0", 0.40, 0.55, 0.60), ("c1", 0.41, 0.405, 0.5), ("c2", 0.1, 0.3, None), ("c3", 0.33, 0.47, 0.51)]
-REPORT_SQL = "(SELECT * FROM (VALUES ('c0', 0.40::double, 0.55::double, 0.60::double), ('c1', 0.41, 0.405, 0.5), ('c2', 0.1, 0.3, NULL), ('c3', 0.33, 0.47, 0.51)) v(class, s, p, t))"
+# a class table: one row per brand, three shares of its lines, the last one missing for brands with few of them
+REPORT_SQL = """(SELECT p_brand AS class, round(avg(CASE WHEN l_discount > 0.04 THEN 1.0 ELSE 0.0 END), 4) AS s, round(avg(CASE WHEN l_tax > 0.03 THEN 1.0 ELSE 0.0 END), 4) AS p,
+CASE WHEN count(*) FILTER (l_quantity > 48) >= 5 AND p_brand <> 'Brand#11' THEN round(avg(CASE WHEN l_quantity > 20 THEN 1.0 ELSE 0.0 END), 4) END AS t FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1)"""
 
 
-def _report(spark):
-    return spark.createDataFrame(REPORT, "class string, scratch_val_ap double, pretrained_val_ap double, test_ap double")
+def _report(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 4)
+    return rows.groupBy("p_brand").agg(share(F.col("l_discount") > 0.04).alias("scratch_val_ap"), share(F.col("l_tax") > 0.03).alias("pretrained_val_ap"), share(F.col("l_quantity") > 20).alias("t"), F.count_if(F.col("l_quantity") > 48).alias("n")).select(
+        F.col("p_brand").alias("class"), "scratch_val_ap", "pretrained_val_ap", F.when((F.col("n") >= 5) & (F.col("p_brand") != "Brand#11"), F.col("t")).alias("test_ap"))
 
 
 @query(f"""SELECT class, round(p - s, 3) AS val_delta, round(p - s, 3) > 0 AS improved, t AS test_ap FROM {REPORT_SQL}""")
 def eval_report(spark, d):
-    return metrics.class_report(_report(spark)).orderBy(F.desc("pretrained_val_ap")).select("class", "val_delta", "improved", "test_ap")
+    return metrics.class_report(_report(spark, d)).orderBy(F.desc("pretrained_val_ap")).select("class", "val_delta", "improved", "test_ap")
 
 
 @query(f"""SELECT count(*) AS classes, count(t) AS measurable_test_classes, sum(CASE WHEN round(p - s, 3) > 0 THEN 1 ELSE 0 END)::bigint AS improved_classes, round(avg(s), 4) AS mean_scratch_ap, round(avg(p), 4) AS mean_pretrained_ap, round(avg(t), 4) AS mean_test_ap FROM {REPORT_SQL}""")
 def eval_report_summary(spark, d):
-    return metrics.class_report_summary(_report(spark))
+    return metrics.class_report_summary(_report(spark, d))
+
+
+@query(f"SELECT class, t AS test_ap FROM {REPORT_SQL} WHERE t IS NOT NULL")
+def measurable_classes(spark, d):
+    return _report(spark, d).filter("test_ap IS NOT NULL").select("class", "test_ap")
 
 
 @query("""SELECT p_brand, p_partkey, p_size FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part WHERE p_size >= 2) WHERE r = 1 ORDER BY p_size DESC, p_partkey LIMIT 6""")
@@ -395,8 +413,8 @@ def group_first_six(spark, d):
     return curate.first_per_group(p, "p_brand", [F.desc("p_size"), F.col("p_partkey")], 6)
 
 
-@query("""WITH g AS (SELECT DISTINCT c_custkey FROM customer), n AS (SELECT count(*) AS n FROM g), r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('0|' || c_custkey), c_custkey) AS r FROM g)
-SELECT c_custkey, CASE WHEN r <= floor(n * .7 + .5) THEN 'train' WHEN r <= floor(n * .7 + .5) + floor(n * .15 + .5) THEN 'val' ELSE 'test' END AS split FROM r, n""")
+@query(f"""WITH g AS (SELECT DISTINCT c_custkey FROM customer), n AS (SELECT count(*) AS n FROM g), r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('0|' || c_custkey), c_custkey) AS r FROM g)
+SELECT c_custkey, {CUT} AS split FROM r, n""")
 def split_boundaries(spark, d):
     return split.split_boundaries(table(spark, d, "customer"), "c_custkey")
 
@@ -433,15 +451,95 @@ def scalar_pack(spark, d):
         X.average_ms(c("p_size"), F.lit(10), F.lit(8)).alias("avg_ms"), F.coalesce("p_name", F.lit("")).alias("wanted"), F.when(c("p_size") != 10, F.concat(F.lit("size "), "p_size")).otherwise("").alias("note"))
 
 
-TAXONOMY = {"front": ["hood", "bumper"], "side": ["door", "mirror", "wheel"], "rear": ["trunk"]}
-
-
-@query("SELECT * FROM (VALUES ('front', 0, 'hood'), ('front', 1, 'bumper'), ('side', 0, 'door'), ('side', 1, 'mirror'), ('side', 2, 'wheel'), ('rear', 0, 'trunk')) v(group_name, position, class)")
+@query("""SELECT r_name AS group_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS position, n_name AS class FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def taxonomy_explode(spark, d):
-    m = spark.createDataFrame([(TAXONOMY,)], "t map<string,array<string>>")
+    """A map of lists, made from two dimension tables, back to rows."""
+    names = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_sort(F.collect_list("n_name")).alias("c"))
+    m = names.agg(F.map_from_entries(F.collect_list(F.struct("r_name", "c"))).alias("t"))
     return m.select(F.explode("t").alias("group_name", "c")).select("group_name", F.posexplode("c").alias("position", "class"))
 
 
+# images, boxes, documents ------------------------------------------------------------------------------------------
+
+_MASK = "list_filter(range(64), lambda p: (p // 8 - 3.5) ** 2 + (p % 8 - 3.5) ** 2 < (8 * 0.42) ** 2)"
+_TURNED = {0: "p", 90: "(p % 8) * 8 + 7 - p // 8", 180: "63 - p", 270: "(7 - p % 8) * 8 + p // 8"}
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, {EMB} AS e FROM embeddings), t AS (SELECT vec_id, label, angle, [e[q + 1] FOR q IN [CASE angle WHEN 0 THEN {_TURNED[0]} WHEN 90 THEN {_TURNED[90]} WHEN 180 THEN {_TURNED[180]} ELSE {_TURNED[270]} END FOR p IN {_MASK}]] AS x
+FROM v, (SELECT unnest([0, 90, 180, 270]) AS angle)), c AS (SELECT vec_id, label, angle, [y - list_avg(x) FOR y IN x] AS x FROM t), n AS (SELECT *, sqrt(list_dot_product(x, x)) AS n FROM c)
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(max(list_dot_product(a.x, b.x) / (a.n * b.n + 1e-8)), 6) AS score FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id AND a.angle = 0 GROUP BY 1, 2""")
+def rotated_pairs(spark, d):
+    """Each vector as an 8 x 8 image; right angles only, as SQL can express those."""
+    p = images.rotated_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", angles=(0, 90, 180, 270))
+    return p.select("vec_id_a", "vec_id_b", F.round("score", 6).alias("score"))
+
+
+@query()
+def rotated_edges(spark, d):
+    """Pairs that reach 0.5 at any of the 64 angles."""
+    p = images.rotated_pairs(table(spark, d, "embeddings"), "label", "vec_id", "embedding", 0.5)
+    return p.select("vec_id_a", "vec_id_b", F.round("score", 6).alias("score"))
+
+
+def boxes(spark, d):
+    """Ground truth and detections over parts: 25 parts an image, four categories, boxes from sizes and prices, detections shifted copies."""
+    c = F.col
+    p = table(spark, d, "part").select("p_partkey", "p_size", F.floor("p_retailprice").cast("long").alias("m"))
+    box = lambda dx, dy, dw: F.struct(((c("m") * 7) % 400 + dx).cast("double").alias("x"), ((c("m") * 3 + c("p_size") * 11) % 300 + dy).cast("double").alias("y"),
+                                      (8 + c("p_size") * 3 + dw).cast("double").alias("w"), (8 + c("p_partkey") % 120 + dw).cast("double").alias("h"))
+    image, category = F.floor(c("p_partkey") / 25).alias("image_id"), (c("p_size") % 4).alias("category_id")
+    truth = p.select(c("p_partkey").alias("gt_id"), image, category, box(F.lit(0), F.lit(0), F.lit(0)).alias("box"), (c("p_partkey") % 17 == 0).cast("int").alias("iscrowd"))
+    shift = lambda k: (c("p_partkey") * k) % 9 - 4
+    dets = p.filter("p_partkey % 10 <> 3").select(c("p_partkey").alias("det_id"), image, category, (((c("p_partkey") * 37) % 101) / 101.0).alias("score"), box(shift(2), shift(5), shift(7)).alias("box"))
+    return truth, dets
+
+
+@query()
+def coco_eval(spark, d):
+    """Average precision and greatest recall per category, size range, detection limit and threshold."""
+    e = metrics.evaluate(*boxes(spark, d))
+    return e.select("category_id", "area", "max_dets", "threshold", F.round("ap", 9).alias("ap"), F.round("recall", 9).alias("recall"))
+
+
+@query()
+def coco_report(spark, d):
+    return metrics.report(metrics.evaluate(*boxes(spark, d))).select("metric", F.round("value", 9).alias("value"))
+
+
+_XY = "list_transform(e[1:8], lambda x: round((x + 1) / 2, 4))"
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, {_XY} AS q FROM (SELECT vec_id, label, {EMB} AS e FROM embeddings)),
+b AS (SELECT vec_id, label, [least(greatest(q[2 * i + 1], 0), 1) * 640 FOR i IN range(4)] AS x, [least(greatest(q[2 * i + 2], 0), 1) * 480 FOR i IN range(4)] AS y,
+len(list_filter(q, lambda z: z < -0.000001 OR z > 1.000001)) AS off FROM v), g AS (SELECT *, abs(list_sum([x[i + 1] * y[(i + 1) % 4 + 1] - x[(i + 1) % 4 + 1] * y[i + 1] FOR i IN range(4)])) / 2 AS area FROM b),
+r AS (SELECT *, CASE WHEN label > 7 THEN 'class' WHEN off > 0 THEN 'range' WHEN list_max(x) <= list_min(x) OR list_max(y) <= list_min(y) OR area <= 0 THEN 'degenerate' END AS reason FROM g)
+SELECT vec_id, 2 AS line_no, reason, CASE WHEN reason IS NULL THEN round(area, 4) END AS area FROM r""")
+def label_text(spark, d):
+    """Label files as text, two lines and a blank one each, written from vectors and parsed again."""
+    xy = F.concat_ws(" ", F.transform(F.slice(F.col("embedding").cast("array<double>"), 1, 8), lambda x: F.round((x + 1) / 2, 4).cast("string")))
+    files = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit(" \t\n "), F.col("label").cast("string"), F.lit(" "), xy, F.lit("\r\n\n")).alias("text"), F.lit(640.0).alias("width"), F.lit(480.0).alias("height"))
+    p = validate.parse_polygons(validate.label_lines(files), 8)
+    return p.select("vec_id", "line_no", "reason", F.when(F.col("reason").isNull(), F.round("area", 4)).alias("area"))
+
+
+@query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS instances FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def usable_records(spark, d):
+    line = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("line_no"), F.lit(0).alias("class_id"), F.array().cast("array<double>").alias("segmentation"), F.lit(0).alias("bbox"), F.lit(0).alias("area"))
+    records = validate.image_records(table(spark, d, "orders").select("o_orderkey"), line, ["o_orderkey"])
+    return validate.usable(records).select("o_orderkey", F.size("instances").cast("bigint").alias("instances"))
+
+
+@query("SELECT p_partkey, to_json({'key': p_partkey, 'name': p_name, 'sizes': [p_size, p_size + 1], 'brand': {'id': p_brand}}) AS j FROM part")
+def json_encode(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.to_json(F.struct(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.array("p_size", F.col("p_size") + 1).alias("sizes"), F.struct(F.col("p_brand").alias("id")).alias("brand"))).alias("j"))
+
+
+@query("SELECT doc_id, md5(replace(text, ' ', chr(10))) AS m FROM documents")
+def newlines(spark, d):
+    t = F.replace(F.replace("text", F.lit(". "), F.lit(".\r")), F.lit(" "), F.lit("\r\n"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.normalize_newlines(t).cast("binary")).alias("m"))
+
+
 @query("""SELECT doc_id, i AS line_no, length(l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(l) <> '' AND NOT starts_with(l, '#')""")
 def line_filter(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "l"))

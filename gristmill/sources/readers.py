@@ -55,9 +55,9 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str | None =
 
 
 def read_line_list(spark: SparkSession, path: str) -> DataFrame:
-    """Stripped lines without blank and ``#`` lines."""
-    line = F.trim("value")
-    return spark.read.text(path).select(line.alias("value")).filter((F.col("value") != "") & ~F.col("value").startswith("#"))
+    """Lines without blank ones and those that begin with ``#``; white space at both ends is stripped after that test."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    return spark.read.text(path).filter(~F.col("value").startswith("#")).select(line.alias("value")).filter("value != ''")
 
 
 def keyed_last(df: DataFrame, key: str, order: str) -> DataFrame:

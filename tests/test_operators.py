@@ -1,5 +1,6 @@
 """Small literal frames: rejects, ties, empty input, nulls, sinks and evaluation."""
 
+import hashlib
 import json
 
 import pytest
@@ -79,10 +80,41 @@ def test_provenance_and_keys(spark):
     assert curate.wanted(df, ["s", "zz"]).columns == ["s", "zz"]
 
 
-def test_grouped_split_is_disjoint(spark):
-    g = spark.range(20).select(F.col("id").alias("g"))
+@pytest.mark.parametrize("n", [0, 1, 3, 10, 15, 20, 30, 45])
+def test_split_counts_round_half_to_even(spark, n):
+    g = spark.range(n).select(F.col("id").alias("g"))
+    train, val = round(n * 0.70), round(n * 0.15)
+    want = {k: v for k, v in (("train", train), ("val", val), ("test", n - train - val)) if v}
     got = split.split_boundaries(g, "g").groupBy("split").count().collect()
-    assert {r["split"]: r["count"] for r in got} == {"train": 14, "val": 3, "test": 3}
+    assert {r["split"]: r["count"] for r in got} == want
+    cuts = split.split_cuts(g, "g", 4)
+    scores = split.split_scores(cuts, g.withColumn("c", F.col("g") % 2), "g", "c")
+    got = split.best_split(g, "g", cuts, scores).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == want
+
+
+def test_split_search_matches_ranking(spark, monkeypatch):
+    n, attempts = 200, 30
+    g = [(i, c) for i in range(n) for c in range(9) if (i * 7 + c * c) % (c + 2) == 0] + [(0, 99), (1, 99)]
+    df = spark.createDataFrame(g, "g int, c int")
+    place = lambda i, a: ((h := hashlib.md5(str(i).encode()).hexdigest()) and (int(h[:13], 16) + a * int(h[13:26], 16)) % split.PRIME, i)
+    best, ids = None, {i for i, _ in g}
+    n = len(ids)
+    for a in range(attempts):
+        order = sorted(ids, key=lambda i: place(i, a))
+        where = {i: "train" if k < round(n * 0.7) else "val" if k < round(n * 0.7) + round(n * 0.15) else "test" for k, i in enumerate(order)}
+        dev = []
+        for c in range(9):
+            own = [where[i] for i, x in g if x == c]
+            dev += [abs(own.count(s) / len(own) - r) for s, r in split.RATIOS.items() if c != 3 and len(own) >= 6]
+        score = round(sum(dev) / len(dev), 8)
+        best = (score, a, where) if best is None or score < best[0] else best
+    for cells in (1, 64, 4096):
+        monkeypatch.setattr(split, "CELLS", cells)
+        cuts = split.split_cuts(df, "g", attempts)
+        scores = split.split_scores(cuts, split.class_presence(df, "g", "c"), "g", "c", excluded=(3,))
+        assert scores.count() == attempts and scores.orderBy("score", "attempt").first()[:] == (best[1], pytest.approx(best[0]))
+        assert {r["g"]: r["split"] for r in split.best_split(df, "g", cuts, scores).collect()} == best[2]
 
 
 def test_files_csv_json_sinks(spark, tmp_path):
@@ -144,16 +176,22 @@ def test_average_precision(spark):
     dt = spark.createDataFrame([(1, 1, 1, 0.9, (0.0, 0.0, 10.0, 10.0)), (2, 1, 1, 0.8, (50.0, 0.0, 10.0, 10.0)), (3, 1, 1, 0.7, (20.0, 0.0, 10.0, 10.0))], f"det_id long, image_id long, category_id long, score double, box {box}")
     ap = metrics.average_precision(gt, dt)
     got = {(r["category_id"], r["threshold"]): r["ap"] for r in ap.collect()}
+    assert metrics.report(metrics.evaluate(gt.limit(0), dt)).filter("value <> -1").count() == 0
     assert abs(got[(1, 0.5)] - (51 + 50 * 2 / 3) / 101) < 1e-9 and got[(2, 0.5)] == 0.0
     assert metrics.summary(ap.limit(0)) == (0.0, 0.0)
 
 
 def test_html_cards_and_page(spark):
-    h = '<article class="x card"><a href="/image/77" title=""></a><article></article><img alt="A &amp; B" src="s.jpg"></article><h1>T</h1><h3>Photo by P</h3>'
-    df = spark.createDataFrame([(1, h)], "page_id int, html string")
-    assert tuple(html.cards(df, token="card").first()) == (1, "77", "A & B", "A & B", "s.jpg")
-    r = html.page_fields(df).first()
-    assert (r["title"], r["credit"]) == ("T", "Photo by P")
+    h = """<article class="x card"><a id="images_7_7" title="">t</a><article class="inner"><img alt="old" src="o.jpg"></article><img alt="A &amp; B" src="s.jpg"></article>
+    <article class="card"><img alt="second" src="/photos/12/345/x.jpg"><p id="images_" title="Given"></p></article><article class="card"><img alt="no id" src="/other/9/"></article><article><a id="images_1"></a></article>
+    <h1>First</h1><h1> T <b>two</b>
+    three</h1><h3>Photo by P</h3><h3>By nobody</h3><h3>Photo by <i>Q</i></h3><script>var x</script><p>Date Taken: 01.02.2003 Location: ROME, IT  Web Views: 3 Resolution: 10x20 Public Domain</p>"""
+    df = spark.createDataFrame([(1, h), (2, None)], "page_id int, html string")
+    assert [tuple(r) for r in html.cards(df, token="card").collect()] == [(1, "7_7", "A & B", "A & B", "s.jpg"), (1, "345", "Given", "second", "/photos/12/345/x.jpg")]
+    r = html.page_metadata(html.page_fields(df)).orderBy("page_id").collect()
+    assert (r[0]["title"], r[0]["credit"]) == ("T two three", "Photo by Q") and "var x Date Taken: 01.02.2003 Location: ROME, IT" in r[0]["page_text"]
+    assert [r[0][k] for k in ("date", "location", "resolution", "status")] == ["01.02.2003", "ROME, IT", "10x20", "PUBLIC DOMAIN"]
+    assert [r[1][k] for k in ("title", "credit", "page_text", "date", "location", "status")] == ["", "", "", "", "", "UNVERIFIED"]
 
 
 def test_label_stream(spark, tmp_path):
