@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
             def run(it, state=state):
                 def out():
                     at = np.flatnonzero((zs != state.value[0]) | (ns != state.value[1]))
-                    return pd.DataFrame({"shard": [shard], "at": [at], "z": [zs[at]], "n": [ns[at]]})
+                    return pd.DataFrame({"shard": [shard], "at": [at.tobytes()], "z": [zs[at].tobytes()], "n": [ns[at].tobytes()]})
 
                 shard, last = None, None
                 for pdf in it:
@@ -185,14 +185,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
                     yield out()
 
             dealt = rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", order, "u")
-            got = sorted(dealt.mapInPandas(run, "shard long, at array<long>, z array<double>, n array<double>").collect(), key=lambda g: g["shard"])  # one row per shard
+            got = sorted(dealt.mapInPandas(run, "shard long, at binary, z binary, n binary").collect(), key=lambda g: g["shard"])  # one row per shard
             if not got:
                 break
             dz, dn = np.zeros_like(z), np.zeros_like(n)
             for g in got:
-                at = np.array(g["at"], dtype=np.int64)
-                dz[at] += np.array(g["z"]) - z[at]
-                dn[at] += np.array(g["n"]) - n[at]
+                at = np.frombuffer(g["at"], dtype=np.int64)
+                dz[at] += np.frombuffer(g["z"]) - z[at]
+                dn[at] += np.frombuffer(g["n"]) - n[at]
             z, n = z + dz / len(got), n + dn / len(got)
             state.unpersist()
     release(rows)
