@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm import decontaminate, language_id, mixing, sharding, shingle_join
-from gristmill.llm.common import crc_mod, small, table
+from gristmill.llm.common import crc_mod, free, small, table
 from gristmill.sources.materialize import materialize, release
 
 #: The winning language's posterior below which a text is rejected.
@@ -26,25 +26,29 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null lang, id or source does not matter; repeated rows are judged alike. Without any labelled row every text is rejected.
     """
     model = language_id.fit(docs, crc_mod("doc_id", 4) != 2)
-    return language_id.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free(docs, "lang_pred", "score")
+    return language_id.identify(docs, model, names=(lang, score)).filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more, linked in chains).
 
-    Candidates come from the SimHash trie self-join first and from an exact shingle join for what its bits cannot reach. Null and
-    empty texts are one group, equal rows are one row. The row with the smallest doc_id stays, one without a doc_id only where no row of the group has one; rows are told apart
-    by a hash of all their columns, so texts that share a doc_id or have none link like any other.
+    Candidates come from the SimHash trie and, for what its bits cannot reach, from MinHash bands; all are checked exactly. Null and
+    empty texts are one group, equal rows are one row. The row with the smallest doc_id stays, one without a doc_id only where no row of
+    the group has one; rows are told apart by a hash of all their columns, so texts that share a doc_id or have none link like any other.
     """
-    named = docs.withColumn("_h", F.xxhash64(*docs.columns))
-    found = shingle_join.near_classes(named).groupBy("_h").agg(F.min("component").alias("component"), F.count("*").alias("_n"))
-    ids = named.select("_h", "doc_id").distinct()
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_h", "_n")
-    keep = materialize(found.join(ids, "_h").groupBy("component").agg(F.min(order).alias("r")).select("r._h", "r._n"), "keep")
-    kept = named.join(small(keep, keep.count(), 32), "_h")
+    (h,) = free(docs, "_h")
+    named = docs.withColumn(h, F.xxhash64(*docs.columns))
+    slim = named.select(F.col(h).alias("_h"), "doc_id", "text")
+    found = shingle_join.near_classes(slim).groupBy("_h").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    rows = materialize(found.join(slim.select("_h", "doc_id").distinct(), "_h"), "groups")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_h")).alias("r")).select("component", F.col("r._h").alias("best"))
+    drop = materialize(rows.join(best, "component").select(F.col("_h").alias("_gone"), (F.col("_h") == F.col("best")).alias("_stays"), "n").filter("NOT _stays OR n > 1"), "drop")
+    many = materialize(drop.filter("_stays").select("_gone"), "many")
+    out = named.join(small(drop, drop.count(), 32), named[h] == drop["_gone"], "left_anti")
     # equal rows are reduced to one
-    once = kept.filter("_n = 1").select(*docs.columns)
-    return once.unionByName(kept.filter("_n > 1").groupBy("_h").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
+    again = named.join(small(many, many.count(), 16), named[h] == many["_gone"], "left_semi").groupBy(h).agg(F.min(F.struct(*docs.columns)).alias(h + "r")).select(h + "r.*")
+    return out.select(*docs.columns).unionByName(again)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,17 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them; for columns that live beside those of a caller."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def crc_mod(key: str, m: int) -> Column:
     """crc32 of the id as text, modulo m; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % m

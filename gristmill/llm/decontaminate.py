@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import BROADCAST_BYTES, small, table, text_or_empty
+from gristmill.llm.common import BROADCAST_BYTES, free, small, table, text_or_empty
 from gristmill.sources.materialize import materialize
 
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
@@ -122,8 +122,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words
 
     Items of fewer than ``least_words`` words are no passage: single common words would empty the corpus. Null texts stay.
     """
-    bad = materialize(contamination(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), benchmark, least_words=least_words).select(F.col("text_hash").alias("_gm_hash")).distinct(), "bad")
-    return docs.join(small(bad, bad.count(), 16), F.xxhash64(docs[text]) == F.col("_gm_hash"), "left_anti")
+    (key,) = free(docs, "text_hash")
+    bad = materialize(contamination(docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), benchmark, least_words=least_words).select(F.col("text_hash").alias(key)).distinct(), "bad")
+    return docs.join(small(bad, bad.count(), 16), F.xxhash64(docs[text]) == F.col(key), "left_anti")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

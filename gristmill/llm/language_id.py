@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import crc_mod, give_back, small, table
+from gristmill.llm.common import crc_mod, free, give_back, small, table
 
 SAMPLE_DOCS, ORDER, BLOCK = 1500, 4, 1 << 17
 
@@ -186,8 +186,8 @@ def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text
     return Model({g: (x["k"].to_numpy(), x["c"].to_numpy(dtype=np.float64)) for g, x in got.groupby("lang")})
 
 
-def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (the posterior under equal priors)."""
+def identify(df: DataFrame, model: Model, text: str = "text", names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score (the posterior under equal priors) as ``names``, which replace columns of those names."""
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
@@ -196,8 +196,9 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         give_back()
         return pd.DataFrame({"lang_pred": langs, "score": score})
 
-    out = df.withColumn("_gm_found", run(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_gm_found.lang_pred"), "score": F.col("_gm_found.score")}).drop("_gm_found")
+    (found,) = free(df, "found")
+    out = df.withColumn(found, run(F.col(text)))
+    return out.select(*[c for c in df.columns if c.lower() not in [n.lower() for n in names]], F.col(f"{found}.lang_pred").alias(names[0]), F.col(f"{found}.score").alias(names[1]))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,16 @@
-"""Near copies of texts: SimHash trie self-join over five-word shingles, exact check, and an exact way for what SimHash cannot reach.
+"""Near copies of texts: SimHash trie self-join over five-word shingles, exact check, and MinHash bands for what SimHash cannot reach.
 
 Two texts link when the sets of their five-word shingles (ASCII-lower-cased; a shorter text is one shingle) have a
 similarity of 4/5 or more. Candidates come first from the trie self-join of :mod:`gristmill.llm.simhash` over fingerprints of the same
-shingles, with an error budget of ``BITS`` bits. That budget is what a trie can prune with; pairs of similarity 0.8 differ in up to
-about 15 of 64 bits, so the rest is found by a join that misses none: with the shingles of every text in one global order, such a pair
-shares one among the first n - ceil(4n/5) + 1 of both, so only texts that share one of those are candidates. Every
-candidate is decided on the whole sets, after a bound that only drops pairs that cannot be similar (bits of a parity
-bitmap that differ are never more than the shingles that differ). The order puts shingles that are frequent in a sample last; the sample
-changes the cost, never the result.
+shingles, with an error budget of ``BITS`` bits. That is what a trie can prune with; pairs of similarity 0.8 differ in up to
+about 15 of 64 bits, so the others come from ``BANDS`` bands of ``DEPTH`` minimum hashes each. Every candidate is decided on the whole
+sets. A pair at exactly 0.8 shares no band with probability (1 - 0.8^3)^24 = 3e-8, and agrees in under half of its minimum hashes,
+where a candidate is dropped unread, with about 1e-8; more similar pairs are missed less often still.
 
-Distribution: equal sets are merged first (one class). The links of the trie join are a forest, then each class is compared with one
-hub per shared prefix shingle, and the components so found are left out of the join of all remaining pairs, so a dense group of near
-copies costs no quadratic output. Shingles and sets are compared as 64-bit hashes.
+Distribution: equal sets are merged first (one class, told by a 64-bit hash). No set is stored: a row keeps its bands and a byte per minimum
+hash, and sets are made again from the texts of the classes that have candidates. A band's classes are compared with one hub, components of
+the trie's and hubs' links are contracted, and only classes of one band in different components are compared with each other, so
+a dense group of near copies costs no quadratic output. A pair's sets meet by one shuffle of the smaller side of the star.
 
 Texts without a word (null, empty) are one class. Rows with equal keys _h are one row of the result each time; ties do not matter, as
 components have no representative. Very long texts are shingled whole. An empty table gives an empty result.
@@ -24,14 +23,16 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from gristmill.llm.common import arrow_rows, give_back, small
 from gristmill.llm.simhash import bits_of, near_links
 from gristmill.operators.grouping import connected_components
 from gristmill.sources.materialize import materialize, release
 
-#: Words of a shingle, error budget of the trie; the least similarity is PART / WHOLE. SAMPLE texts, of which HOT shingles in LEAST or more give the order. Sets leave Python by BLOCK rows.
-WIDTH, BITS, PART, WHOLE, SAMPLE, HOT, LEAST, MAP, BLOCK = 5, 3, 4, 5, 8192, 1 << 16, 4, 1024, 256
+#: Words of a shingle, error budget of the trie; the least similarity is PART / WHOLE. Bands, minimum hashes of a band; texts are worked on by BLOCK rows.
+WIDTH, BITS, PART, WHOLE, BANDS, DEPTH, BLOCK = 5, 3, 4, 5, 24, 3, 256
+_MULT = np.random.default_rng(42).integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -45,55 +46,89 @@ def shingles(text: str | None) -> np.ndarray:
     return np.fromiter((f(flat[a:b], 42) for a, b in zip(lo, hi)), dtype=np.uint64, count=len(hi))
 
 
-def _sets(df: DataFrame, text: str, hot: dict[int, int]) -> DataFrame:
-    """_h of each row, its class _k, its fingerprint, its distinct shingles, the hot ones last, and their parity bitmap."""
-    known = np.array(sorted(hot), dtype=np.int64)
-    often = np.array([hot[x] for x in known.tolist()], dtype=np.int64)
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """Least hash of each set (none empty) under each of the BANDS * DEPTH hash functions."""
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    out = np.empty((len(sets), len(_MULT)), dtype=np.uint64)
+    for j, m in enumerate(_MULT):
+        out[:, j] = np.minimum.reduceat((flat ^ (flat >> np.uint64(31))) * m, starts)
+    return out
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[list[bytes], list[list[int]]]:
+    """A byte per minimum hash, and a key per band, of each set; nothing for empty ones."""
+    full = [i for i, s in enumerate(sets) if len(s)]
+    sig, keys = [b""] * len(sets), [[] for _ in sets]
+    if full:
+        least = minima([sets[i] for i in full])
+        short = (least >> np.uint64(40)).astype(np.uint8)
+        band = np.zeros((len(full), BANDS), dtype=np.uint64)
+        for d in range(DEPTH):
+            band = (band ^ least[:, d::DEPTH]) * np.uint64(0x9E3779B97F4A7C15)
+        band += np.arange(BANDS, dtype=np.uint64)
+        for i, s, b in zip(full, short, band.view(np.int64).tolist()):
+            sig[i], keys[i] = s.tobytes(), b
+    return sig, keys
+
+
+def _classes(df: DataFrame, text: str) -> DataFrame:
+    """_h of each row, its class _k, number of shingles n, fingerprint fp, sig and bands."""
+
+    def run(it):
+        for pdf in (whole.iloc[i:i + BLOCK] for whole in it for i in range(0, len(whole), BLOCK)):
+            sets = [np.unique(shingles(t)) for t in pdf[text]]
+            sig, bands = signatures(sets)
+            keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": keys, "n": [len(s) for s in sets], "fp": np.array([bits_of(s) for s in sets], dtype=np.int64), "sig": sig, "bands": bands})
+        give_back()
+
+    return df.select("_h", text).mapInPandas(run, "_h long, _k long, n long, fp long, sig binary, bands array<long>")
+
+
+def _sets(df: DataFrame, text: str) -> DataFrame:
+    """_k and its distinct shingles, of rows that have _h and _k."""
 
     def run(it):
         for pdf in (whole.iloc[i:i + BLOCK] for whole in it for i in range(0, len(whole), BLOCK)):
-            keys, fps, all_sets, maps = [], [], [], []
-            for t in pdf[text]:
-                s = np.unique(shingles(t))
-                fps.append(bits_of(s))
-                keys.append(xxhash.xxh64_intdigest(s.tobytes(), 42))
-                odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % MAP, minlength=MAP) & 1
-                maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                s = s.view(np.int64)
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    s = s[np.lexsort((s, np.where(known[at] == s, often[at], 0)))]
-                all_sets.append(s)
-            yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": np.array(keys, dtype=np.uint64).view(np.int64), "fp": np.array(fps, dtype=np.int64), "toks": all_sets, "map": maps})
+            yield pd.DataFrame({"_k": pdf["_k"].to_numpy(), "toks": [np.unique(shingles(t)).view(np.int64) for t in pdf[text]]})
         give_back()
 
-    return df.select("_h", text).mapInPandas(run, "_h long, _k long, fp long, toks array<long>, map array<long>")
+    return df.select("_k", text).mapInPandas(run, "_k long, toks array<long>")
 
 
-def _hot(df: DataFrame, text: str) -> dict[int, int]:
-    m = df.count() // SAMPLE + 1
-    some = _sets(df.filter(F.pmod("_h", F.lit(m)) == 0), text, {})
-    many = some.select(F.explode("toks").alias("tok")).groupBy("tok").count().filter(F.col("count") >= LEAST)
-    return {r["tok"]: r["count"] for r in many.orderBy(F.desc("count"), "tok").limit(HOT).collect()}
+@F.pandas_udf(IntegerType())
+def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How many minimum hashes are equal."""
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1).astype(np.int32))
 
 
 def _sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
-def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough; ``one`` has a row or equal rows for each class."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    maps = one.select("_k", F.size("toks").alias("n"), "map").groupBy("_k").agg(F.first("n").alias("n"), F.first("map").alias("map"))
-    x, y = (maps.select(F.col("_k").alias(k), F.col("n").alias(f"n{k}"), F.col("map").alias(f"m{k}")) for k in "ab")
-    differ = F.aggregate(F.zip_with("ma", "mb", lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, v: s + v)
-    pairs = materialize(pairs.join(x, "a").join(y, "b").filter(differ * (PART + WHOLE) <= F.col("na") + F.col("nb")).select("a", "b"), "pairs")
-    used = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct(), "used")
-    sets = materialize(one.select("_k", "toks").join(small(used, used.count(), 16), "_k").groupBy("_k").agg(F.first("toks").alias("toks")), "sets")
-    x, y = (sets.select(F.col("_k").alias(k), F.col("toks").alias(f"t{k}")) for k in "ab")
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("both"))
+def _verified(pairs: DataFrame, one: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough; ``one`` has one row for each class, ``df`` the texts."""
+    x, y = (one.select(F.col("_k").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", "sig")]) for k in "ab")
+    near = pairs.distinct().join(x, "a").join(y, "b").filter(_sizes(F.col("na"), F.col("nb")))
+    near = materialize(near.withColumn("agree", _agree("siga", "sigb")).filter(F.col("agree") * 2 >= BANDS * DEPTH).select("a", "b"), "pairs")
+    m = near.count()
+    used = near.select(F.explode(F.array("a", "b")).alias("_k")).distinct().join(one.select("_k", "_h"), "_k")
+    used = materialize(used, "used")
+    # equal rows have equal texts: one of them is enough, and which one does not matter
+    texts = df.select("_h", text).join(small(used, used.count(), 32), "_h")
+    with arrow_rows(df.sparkSession, BLOCK * 2):
+        sets = materialize(_sets(texts, text), "sets")
+    many = materialize(sets.groupBy("_k").agg(F.count("*").alias("n")).filter("n > 1").select("_k"), "equal")
+    once = sets if many.isEmpty() else sets.join(small(many, many.count(), 16), "_k", "left_anti").unionByName(sets.join(small(many, many.count(), 16), "_k").groupBy("_k").agg(F.any_value("toks").alias("toks")))
+    left = once.withColumnsRenamed({"_k": "a", "toks": "ta"}).join(small(near, m, 32), "a")
+    hubs = materialize(near.select(F.col("b").alias("_k")).distinct(), "hubs")
+    right = once.join(small(hubs, hubs.count(), 16), "_k").withColumnsRenamed({"_k": "b", "toks": "tb"})
+    both = left.join(right, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("both"))
     links = materialize(both.filter(F.col("both") * (PART + WHOLE) >= F.col("n") * PART).select("a", "b"), "links")
-    for t in (pairs, used, sets):
+    for t in (near, used, sets, many, hubs):
         release(t)
     return links
 
@@ -101,45 +136,38 @@ def _verified(pairs: DataFrame, one: DataFrame) -> DataFrame:
 def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """(_h, component) for the rows of ``df``, which holds a key _h of its rows; equal keys have equal texts."""
     with arrow_rows(df.sparkSession, BLOCK * 2):
-        rows = materialize(_sets(df, text, _hot(df, text)), "shingles")
-    n = F.size("toks")
+        rows = materialize(_classes(df, text), "classes")
     # one row stands for each class
     first = materialize(rows.groupBy("_k").agg(F.min("_h").alias("_h")), "first")
-    one = materialize(rows.join(small(first, first.count(), 32), ["_k", "_h"]), "one")
-    classes = materialize(rows.select("_h", "_k"), "classes")
+    one = rows.filter("n > 0").join(small(first, first.count(), 32), ["_k", "_h"])
+    one = materialize(one.groupBy("_k", "_h").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "sig", "bands")]), "one")
+    held = materialize(rows.select("_h", "_k"), "keys")
     release(rows)
-    prefix = F.slice("toks", 1, n - F.ceil(n * PART / WHOLE).cast("int") + 1)
-    entries = one.filter(n > 0).select("_k", n.alias("n"), F.posexplode(prefix).alias("pos", "tok"))
-    shared = materialize(entries.groupBy("tok").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").select("tok"), "shared")
-    entries = materialize(entries.join(small(shared, shared.count(), 32), "tok").groupBy("tok", "_k").agg(F.min("n").alias("n"), F.min("pos").alias("pos")), "entries")
+    release(first)
 
     # the trie's forest of fingerprints, and classes of one fingerprint with the first of them
-    named = materialize(one.filter(n > 0).groupBy("fp").agg(F.min("_k").alias("k")), "fingerprints")
+    named = materialize(one.groupBy("fp").agg(F.min("_k").alias("k")), "fingerprints")
     x, y = (named.select(F.col("fp").alias(f), F.col("k").alias(f"k{f}")) for f in "ab")
     trie = near_links(named, BITS).join(x, "a").join(y, "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
-    same = one.filter(n > 0).select("_k", "fp").distinct().join(named, "fp").filter("_k != k").select(F.col("_k").alias("a"), F.col("k").alias("b"))
-    links = _verified(trie.unionByName(same), one)
-
-    # hubs of shared prefix shingles, for what the trie left apart
-    comp = materialize(connected_components(links), "trie")
-    e = entries.join(comp, entries["_k"] == comp["node"], "left").select("tok", "_k", "n", F.coalesce("component", "_k").alias("c"))
-    hub = e.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "c").alias("x"), "_k", "n", "c")).alias("hub"))
-    to_hub = e.join(hub, "tok").filter((F.col("c") != F.col("hub.c")) & _sizes(F.col("n"), F.col("hub.n")))
-    links = links.unionByName(_verified(to_hub.select(F.col("_k").alias("a"), F.col("hub._k").alias("b")), one))
-
-    comp = materialize(connected_components(links), "hubs")
-    e = entries.join(comp, entries["_k"] == comp["node"], "left").select("tok", "_k", "n", "pos", F.coalesce("component", "_k").alias("c"))
-    e = materialize(e, "open")
-    live = e.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("tok")
-    e = materialize(e.join(live, "tok", "left_semi"), "open")
-    l, r = (e.select("tok", *[F.col(k).alias(f"{k}{i}") for k in ("_k", "n", "pos", "c")]) for i in (1, 2))
-    # the first shingle that a pair shares leaves enough after it on both sides
-    left = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (PART + WHOLE) >= (F.col("n1") + F.col("n2")) * PART
-    rest = l.join(r, (l["tok"] == r["tok"]) & (F.col("c1") < F.col("c2")) & _sizes(F.col("n1"), F.col("n2")) & left)
-    links = links.unionByName(_verified(rest.select(F.col("_k1").alias("a"), F.col("_k2").alias("b")), one))
-
-    comp = connected_components(links)
-    for t in (one, entries, e, named):
+    same = one.join(named, "fp").filter("_k != k").select(F.col("_k").alias("a"), F.col("k").alias("b"))
+
+    # each class with the hub of each band it shares: its least class
+    entries = one.select("_k", F.explode("bands").alias("band"))
+    shared = materialize(entries.groupBy("band").agg(F.min("_k").alias("hub"), F.max("_k").alias("hi")).filter("hub < hi").select("band", "hub"), "bands")
+    entries = materialize(entries.join(small(shared, shared.count(), 32), "band"), "entries")
+    hubs = entries.filter("_k != hub").select(F.col("_k").alias("a"), F.col("hub").alias("b"))
+    links = _verified(trie.unionByName(same).unionByName(hubs), one, df, text)
+
+    # what is left: classes of one band in different components, but for hubs, which have been compared
+    comp = materialize(connected_components(links), "components")
+    e = materialize(entries.join(comp, entries["_k"] == comp["node"], "left").select("band", "hub", "_k", F.coalesce("component", "_k").alias("c")), "open")
+    live = e.filter("_k != hub").groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
+    e2 = materialize(e.filter("_k != hub").join(live, "band", "left_semi"), "open")
+    l, r = (e2.select("band", F.col("_k").alias(f"k{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
+    rest = l.join(r, "band").filter("c1 < c2").select(F.greatest("k1", "k2").alias("a"), F.least("k1", "k2").alias("b"))
+    links2 = _verified(rest, one, df, text)
+    comp2 = connected_components(links.unionByName(links2))
+    for t in (one, named, shared, entries, e, e2, comp, links, links2):
         release(t)
-    to = classes.join(comp, classes["_k"] == comp["node"], "left")
+    to = held.join(comp2, held["_k"] == comp2["node"], "left")
     return to.select("_h", F.coalesce("component", "_k").alias("component"))

@@ -43,5 +43,29 @@ def test_stages_on_nulls_ties_and_empty(spark):
                 assert n == len(rows)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    """Values of columns that bear names the operators use themselves come out as they went in."""
+    names = ["score", "lang_pred", "found", "fp", "_h", "_n", "_k", "n", "component", "_gm_hash", "_gm_found", "size", "text_hash", "best", "_gone", "_stays", "c", "hub", "taken", "_extra"]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(60)
+    docs = C.materialize(docs.unionByName(docs.limit(3)).select("*", *[C.F.concat(C.F.lit(n + ":"), C.F.col("doc_id")).alias(n) for n in names]), "in")
+    at = docs
+    for name, stage in C.STAGES[:4]:
+        before = {tuple(r) for r in at.collect()}
+        at = C.materialize(stage(spark, at, DIR), name)
+        after = at.collect()
+        assert at.columns == docs.columns and after and all(tuple(r) in before for r in after)
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in after for n in names)
+    assert C.stage_shard(spark, at, DIR).count() == at.count()
+
+
+def test_stages_on_a_very_long_text(spark):
+    words = " ".join(f"word{i % 977} the and of" for i in range(60_000))
+    rows = [(1, words, "en", "s"), (2, words + " tail", "en", "s"), (3, "the quick brown fox jumps over the lazy dog again and again", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in C.stage_near_duplicates(spark, docs, DIR).collect()) == [1, 3]
+    for name, stage in C.STAGES:
+        assert stage(spark, docs, DIR).count() == (2 if name == "simhash_dedup" else 3)
+
+
 def test_registry():
     assert [int(k[2:].split("_")[0]) for k in registry.QUERIES] == list(range(1, 14))

@@ -39,11 +39,25 @@ def test_stage_matches_all_pairs(spark, monkeypatch):
     comp = brute_components([t for _, t in rows])
     assert 20 < len(set(comp)) < len(rows) - 10
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sample in (8192, 1):  # the order of the shingles does not change the result
-        monkeypatch.setattr(J, "SAMPLE", sample)
+    for bits in (3, 0):  # how many pairs the trie finds does not change the result
+        monkeypatch.setattr(J, "BITS", bits)
         assert sorted(r["doc_id"] for r in C.stage_near_duplicates(spark, df, "").collect()) == sorted(set(comp))
 
 
+def test_bands_find_pairs_at_the_threshold():
+    """Of 2,000 pairs at exactly 0.8 none shares no band or agrees in under half of the minimum hashes."""
+    r = np.random.default_rng(5)
+    sets = []
+    for _ in range(2000):
+        both, rest = r.integers(0, 1 << 63, 80, dtype=np.uint64), r.integers(0, 1 << 63, 20, dtype=np.uint64)
+        sets += [np.unique(np.concatenate([both, rest[:10]])), np.unique(np.concatenate([both, rest[10:]]))]
+    sig, bands = J.signatures(sets)
+    assert all(set(bands[i]) & set(bands[i + 1]) for i in range(0, len(sets), 2))
+    agree = [sum(x == y for x, y in zip(sig[i], sig[i + 1])) for i in range(0, len(sets), 2)]
+    assert min(agree) * 2 >= J.BANDS * J.DEPTH and abs(np.mean(agree) / (J.BANDS * J.DEPTH) - 0.8) < 0.01
+    assert sum(bool(set(bands[i]) & set(bands[i + 2])) for i in range(0, len(sets) - 2, 2)) < 3
+
+
 def test_near_copies_of_a_few_changed_words_go(spark):
     base = [f"w{i}" for i in range(100)]
     near = list(base)
