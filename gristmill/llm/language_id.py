@@ -6,7 +6,7 @@ bytes. Statistics are counted once, frozen, and turned into tables of exact code
 shortest code wins. A block of texts is coded once per distinct gram, not once per byte.
 
 The bytes are those of the lower-cased text, runs of ASCII characters that are no letters as one space. Contexts have up to
-``ORDER`` bytes; those seen once in the sample are left out, as PPM keeps no statistics for them, and no others. The model is fitted on a
+``ORDER`` bytes and none is left out unless ``LEAST_SEEN`` is raised, which smaller tables pay with code lengths that are a little off. The model is fitted on a
 bounded sample: ``SAMPLE_DOCS`` labelled rows per language are expected, chosen by a hash of id and text; its size does not grow with the
 input. Scoring covers every byte of every text, very long ones in pieces.
 
@@ -26,8 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.llm.common import crc_mod, free, give_back, small, table
+from gristmill.sources.materialize import materialize, release
 
-SAMPLE_DOCS, ORDER, BLOCK = 1500, 4, 1 << 17
+SAMPLE_DOCS, ORDER, LEAST_SEEN, BLOCK = 1500, 4, 1, 1 << 17
+#: Distinct grams of the sample over all languages, 24 bytes each, that a model may be made of.
+MOST_GRAMS = 20_000_000
 
 
 @lru_cache(1)
@@ -88,8 +91,8 @@ def _find(keys: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Per order the known edges (context and byte) and contexts, with bits per language of each edge and each escape."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        """counts: per language the grams and how often each was seen."""
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], least_seen: int = LEAST_SEEN):
+        """counts: per language the grams and how often each was seen; contexts seen fewer than ``least_seen`` times are left out."""
         self.langs = sorted(counts, key=str.encode)
         self.edges: list[np.ndarray] = []
         self.bits: list[np.ndarray] = []
@@ -113,7 +116,7 @@ class Model:
         p = np.full((1, len(self.langs)), 1 / 256)
         for order, ((edges, seen), total) in enumerate(zip(levels, totals)):
             if order:
-                edges, seen = edges[total >= 2], seen[total >= 2]
+                edges, seen = edges[total >= least_seen], seen[total >= least_seen]
                 p = p[np.searchsorted(self.edges[-1], edges & self.mask(order - 1))]
             contexts, first, at = np.unique(edges >> 8, return_index=True, return_inverse=True)
             if len(edges):
@@ -175,15 +178,20 @@ def _count(it):
                 yield pd.DataFrame({"lang": lang, "k": k, "c": c})
 
 
-def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(df: DataFrame, train: Column | None = None, id_col: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, least_seen: int = LEAST_SEEN) -> Model:
     """A model from about ``sample_docs`` rows per language (all of them if there are fewer)."""
     ok = F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = df.filter(ok if train is None else ok & train).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_col, text), F.lit(1 << 40)).alias("u"))
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
     share = df.sparkSession.createDataFrame([(r["lang"], int(min(1.0, sample_docs / r["n"]) * (1 << 40))) for r in sizes], "lang string, cut long")
     got = rows.join(small(share, len(sizes), 64), "lang").filter("u < cut").select("lang", "text").mapInPandas(_count, "lang string, k long, c long")
-    got = got.groupBy("lang", "k").agg(F.sum("c").alias("c")).toArrow().to_pandas()  # bounded by the sample
-    return Model({g: (x["k"].to_numpy(), x["c"].to_numpy(dtype=np.float64)) for g, x in got.groupby("lang")})
+    got = materialize(got.groupBy("lang", "k").agg(F.sum("c").alias("c")), "grams")
+    n = got.count()
+    if n > MOST_GRAMS:  # one text of the sample may be of any length
+        raise ValueError(f"the sample has {n} grams, more than a driver and workers should hold: lower sample_docs")
+    held, got = got, got.toArrow().to_pandas()
+    release(held)
+    return Model({g: (x["k"].to_numpy(), x["c"].to_numpy(dtype=np.float64)) for g, x in got.groupby("lang")}, least_seen)
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:

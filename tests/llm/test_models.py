@@ -19,8 +19,8 @@ def texts():
     return [(i, " ".join(r.choice(WORDS[g], 12)), g) for i in range(120) for g in (["aa", "bb"][i % 2],)]
 
 
-def ppm_bits(counts, context, x):
-    """Code length by definition: blended PPM, method C, over the contexts seen at least twice."""
+def ppm_bits(counts, context, x, least=2):
+    """Code length by definition: blended PPM, method C, over the contexts seen at least ``least`` times."""
     p = 1 / 256
     for order in range(L.ORDER + 1):
         c = {}
@@ -28,26 +28,27 @@ def ppm_bits(counts, context, x):
             if g[L.ORDER - order:-1] == context[L.ORDER - order:]:
                 c[g[-1]] = c.get(g[-1], 0) + n
         n, d = sum(c.values()), len(c)
-        if n < 2 and order:
+        if n < least and order:
             break
         p = (c.get(x, 0) + d * p) / (n + d)
     return -math.log2(p)
 
 
-def test_code_lengths_are_exact():
+@pytest.mark.parametrize("least", [1, 2])
+def test_code_lengths_are_exact(least):
     s = L.symbols("The Häuser 12 und")
     assert bytes(s).decode() == "    the häuser und"
     train = "the häuser und the haus unter dem haus, die häuser"
     k, c = np.unique(L.grams(L.symbols(train)), return_counts=True)
-    m = L.Model({"aa": (k, c)})
+    m = L.Model({"aa": (k, c)}, least)
     counts = {int(g).to_bytes(L.ORDER + 1, "big"): int(n) for g, n in zip(k, c)}
     for context in (b"    ", b"haus", b" hau", b"zzha", b"zzzz"):
         bits = m.gram_bits(np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256)]))[:, 0]
         assert math.isclose(np.exp2(-bits.astype(float)).sum(), 1, rel_tol=1e-4)  # every context is a distribution
-        assert np.allclose(bits, [ppm_bits(counts, context, x) for x in range(256)], atol=1e-3)
+        assert np.allclose(bits, [ppm_bits(counts, context, x, least) for x in range(256)], atol=1e-3)
     text = "das haus unten"
     t = bytes(L.symbols(text))
-    want = sum(ppm_bits(counts, t[i - L.ORDER:i], t[i]) for i in range(L.ORDER, len(t)))
+    want = sum(ppm_bits(counts, t[i - L.ORDER:i], t[i], least) for i in range(L.ORDER, len(t)))
     assert np.allclose(m.code_lengths([text, "", text]), [[want], [0], [want]], atol=1e-2)
 
 
