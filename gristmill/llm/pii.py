@@ -7,7 +7,7 @@ linked across documents without a table of values. Round function: SHA-256 over
 
 Kinds: email (local part and host become a keyed digest under example.invalid), card (13-19 digits with a right
 check digit; the new number has one too), bare 16-digit account numbers whose check digit is wrong (it stays wrong), phone, ssn (valid
-areas only), ip, date (must exist): ISO, or day, month, year in one or two digits with /, . or -; where that is no date, month, day, year. Each of
+areas only), ip, date (must exist, years 1 to 9999): year, month, day, or day, month, year in one or two digits with /, . or -; where that is no date, month, day, year. Each of
 these is permuted among its like, so a pseudonym of one kind is none of another. Separators and missing leading zeros are kept.
 
 The key is the caller's; who has it can invert every pseudonym. What does not validate stays as it is. Null text stays null with zero
@@ -17,15 +17,17 @@ named like a count is replaced; other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import table, text_or_empty
+from gristmill.llm.common import free, table, text_or_empty
 
 ROUNDS = 8
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 EDGE, END = r"(?<![A-Za-z0-9.@_+-])", r"(?![A-Za-z0-9_@-])"
-ISO = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+ISO = r"[0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}"
 DMY = r"[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
@@ -135,46 +137,56 @@ def _late(day: Column, start: Column) -> Column:
     return (F.datediff(day, F.make_date(start, F.lit(1), F.lit(1))) - 12 * (12 * (F.year(day) - start) + F.month(day))).cast("long")
 
 
-def _late_day(rank: Column, start: Column, near: Column) -> Column:
-    """The day of a rank of :func:`_late`: 26550 such days fall on the 1440 months of 120 years, 88497 on the 4800 of 400."""
-    guess = F.floor(rank * F.when(near, 1440).otherwise(4800) / F.when(near, 26550).otherwise(88497)).cast("int")
-    months = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.add_months(F.make_date(start, F.lit(1), F.lit(1)), F.greatest(guess + k, F.lit(0))))
-    firsts = F.filter(months, lambda f: _late(F.date_add(f, 12), start) <= rank)
+#: Spans of years; their days and their days after a 12th, each as a product. Spans of 400 years lie between the first and the last.
+NEAR, FIRST, LAST, OTHER = (1920, 2039, 487, 90, 177, 150), (1, 319, 213, 547, 75, 941), (9640, 9999, 123, 1069, 417, 191), (0, 399, 773, 189, 9833, 9)
+
+
+def _pick(x: Column, of) -> Column:
+    """The value ``of`` gives for the span of years that x.start begins."""
+    out = F.when(x["start"] == NEAR[0], of(NEAR)).when(x["start"] == FIRST[0], of(FIRST)).when(x["start"] == LAST[0], of(LAST))
+    return out.otherwise(of(OTHER)).cast("long")
+
+
+def _late_day(rank: Column, x: Column) -> Column:
+    """The day of a rank of :func:`_late`, by a guess of its month."""
+    start, months, late = x["start"], _pick(x, lambda v: 12 * (v[1] - v[0] + 1)), _pick(x, lambda v: v[4] * v[5])
+    guess = F.floor(rank * months / late).cast("int")
+    near = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda k: F.add_months(F.make_date(start, F.lit(1), F.lit(1)), F.greatest(guess + k, F.lit(0))))
+    firsts = F.filter(near, lambda f: _late(F.date_add(f, 12), start) <= rank)
     return _let(F.array_max(firsts), lambda f: F.date_add(f, (rank - _late(F.date_add(f, 12), start) + 12).cast("int")))
 
 
 def _moved(x: Column, key: str) -> Column:
-    """The pseudonym of x.day; x has american, near and start as well."""
-    pick = lambda a, b: F.when(x["near"], a).otherwise(b).cast("long")
+    """The pseudonym of x.day, inside its span of years; x has american and start as well."""
     base = F.make_date(x["start"], F.lit(1), F.lit(1))
-    # any 400 years have 146097 = 773 * 189 days, 88497 = 9 * 9833 of them after a 12th; 1920 to 2039 have 43830 = 487 * 90 and 26550 = 177 * 150
-    plain = F.date_add(base, feistel(F.datediff(x["day"], base).cast("long"), pick(487, 773), pick(90, 189), "date", key).cast("int"))
-    late = _let(feistel(_late(x["day"], x["start"]), pick(177, 9833), pick(150, 9), "late date", key), lambda r: _late_day(r, x["start"], x["near"]))
+    plain = F.date_add(base, feistel(F.datediff(x["day"], base).cast("long"), _pick(x, lambda v: v[2]), _pick(x, lambda v: v[3]), "date", key).cast("int"))
+    late = _let(feistel(_late(x["day"], x["start"]), _pick(x, lambda v: v[4]), _pick(x, lambda v: v[5]), "late date", key), lambda r: _late_day(r, x))
     return F.when(x["american"], late).otherwise(plain)
 
 
 def _date(m: Column, key: str) -> Column:
-    part = lambda i: F.regexp_extract(m, r"^([0-9]{1,2})([/.-])([0-9]{1,2})([/.-])([0-9]{4})$", i)
-    when = lambda p, d, mo: F.concat_ws("-", p["y"], F.lpad(p[mo], 2, "0"), F.lpad(p[d], 2, "0")).try_cast("date")
+    part = lambda i: F.regexp_extract(m, r"^([0-9]{1,4})([/.-])([0-9]{1,2})([/.-])([0-9]{1,4})$", i)
+    when = lambda y, mo, d: F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
 
     def found(p):
-        first = F.when(p["iso"], m.try_cast("date")).otherwise(when(p, "a", "b"))
-        return F.struct(F.coalesce(first, F.when(~p["iso"], when(p, "b", "a"))).alias("day"), (~p["iso"] & first.isNull()).alias("american"))
+        first = F.when(p["iso"], when(p["a"], p["b"], p["c"])).otherwise(when(p["c"], p["b"], p["a"]))
+        return F.struct(F.coalesce(first, F.when(~p["iso"], when(p["c"], p["a"], p["b"]))).alias("day"), (~p["iso"] & first.isNull()).alias("american"))
 
     def placed(x):
         y = F.year(x["day"])
-        start = F.when(y.between(1920, 2039), 1920).when(y < 1920, 1920 - 400 * (1 + F.floor((1919 - y) / 400))).otherwise(2040 + 400 * F.floor((y - 2040) / 400)).cast("int")
-        return F.struct(x["day"].alias("day"), x["american"].alias("american"), y.between(1920, 2039).alias("near"), start.alias("start"))
+        start = (F.when(y.between(1920, 2039), 1920).when(y < 320, 1).when(y >= 9640, 9640)
+                 .when(y < 1920, 1920 - 400 * (1 + F.floor((1919 - y) / 400))).otherwise(2040 + 400 * F.floor((y - 2040) / 400)).cast("int"))
+        return F.struct(x["day"].alias("day"), x["american"].alias("american"), start.alias("start"))
 
     def written(p, x, out):
-        short = (F.length(p["a"]) == 1) | (F.length(p["b"]) == 1)
-        number = lambda v: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
-        d, mo = number(F.dayofmonth(out)), number(F.month(out))
-        other = F.concat(F.when(x["american"], mo).otherwise(d), p["s"], F.when(x["american"], d).otherwise(mo), p["t"], F.date_format(out, "yyyy"))
-        fits = x["day"].isNotNull() & (F.year(x["day"]) >= 400) & (x["start"] >= 320) & (x["start"] + 400 <= 9999)
-        return F.when(fits, F.when(p["iso"], F.date_format(out, "yyyy-MM-dd")).otherwise(other))
-
-    parts = F.struct(m.rlike(f"^{ISO}$").alias("iso"), part(1).alias("a"), part(2).alias("s"), part(3).alias("b"), part(4).alias("t"), part(5).alias("y"))
+        number = lambda v, short: F.when(short, v.cast("string")).otherwise(F.lpad(v.cast("string"), 2, "0"))
+        y, mo, d = F.lpad(F.year(out).cast("string"), 4, "0"), F.month(out), F.dayofmonth(out)
+        iso_short, short = (F.length(p["b"]) == 1) | (F.length(p["c"]) == 1), (F.length(p["a"]) == 1) | (F.length(p["b"]) == 1)
+        one, two = F.when(x["american"], mo).otherwise(d), F.when(x["american"], d).otherwise(mo)
+        iso = F.concat(y, p["s"], number(mo, iso_short), p["t"], number(d, iso_short))
+        return F.when(x["day"].isNotNull() & (F.year(x["day"]) >= 1), F.when(p["iso"], iso).otherwise(F.concat(number(one, short), p["s"], number(two, short), p["t"], y)))
+
+    parts = F.struct(m.rlike(f"^{ISO}$").alias("iso"), part(1).alias("a"), part(2).alias("s"), part(3).alias("b"), part(4).alias("t"), part(5).alias("c"))
     return _let(parts, lambda p: _let(_let(found(p), placed), lambda x: _let(_moved(x, key), lambda out: written(p, x, out))))
 
 
@@ -198,14 +210,19 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     t = text_or_empty(text)
     found = F.regexp_extract_all(t, F.lit(ALL), F.lit(0))
     made = F.transform(found, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
-    df = df.withColumn("_gm_found", F.when(t.rlike("[0-9@]") & t.rlike(ALL), made))
-    p = F.col("_gm_found")
+    (name,) = free(df, "found")
+    df = df.withColumn(name, F.when(t.rlike("[0-9@]") & t.rlike(ALL), made))
+    p = F.col(name)
     new = F.array_join(F.zip_with(F.split(t, ALL, -1), p, lambda g, x: F.concat(g, F.coalesce(x["p"]["new"], x["m"], F.lit("")))), "")
     count = lambda k: F.coalesce(F.size(F.filter(p, lambda x: (x["p"]["kind"] == k) & x["p"]["new"].isNotNull())), F.lit(0)).cast("long")
     counts = {f"n_{k}": F.when(p.isNull(), F.lit(0).cast("long")).otherwise(count(k)) for k in KINDS}
-    return df.withColumns(counts | {text: F.when(p.isNull(), F.col(text)).otherwise(new)}).drop("_gm_found")
+    return df.withColumns(counts | {text: F.when(p.isNull(), F.col(text)).otherwise(new)}).drop(name)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.gristmill.pii.key", "only for tests")
+    """Takes its key from the session; where none is set, a random one is set for the session, so nobody can invert its pseudonyms."""
+    key = spark.conf.get("spark.gristmill.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.gristmill.pii.key", key)
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
