@@ -3,7 +3,7 @@
 Candidates are found in whole texts, their values hashed, and each hash is aggregated over the corpus: distinct owners
 (``source``) and repositories (``doc_id``). A value seen with ``EXAMPLE_OWNERS`` owners or in ``EXAMPLE_REPOS`` repositories or more is a
 copied example, otherwise it looks live. Base kinds are always reported; vendor formats and opaque mixed strings that neither hold nor lie in a
-base span are added to them where they look live.
+base span are added to them where they look live; an opaque string is also kept clear of vendor formats, so a secret is reported once.
 
 Positions are code points, end exclusive. They come from splitting the text at the matches: each match becomes a row with the length
 of the gap before it, and a running sum over a text's matches gives its place, so the work is linear in the length of a text. Owners
@@ -59,12 +59,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("rid", "o").orderBy("i"))
     found = found.withColumn("e", end.cast("int")).withColumn("s", F.col("e") - F.col("size")).filter(F.length("v") >= least[F.col("o")])
     # of the base spans that start no later, the furthest end; of those that start no earlier, the nearest end
-    base_end = F.when(F.col("o") < BASE_KINDS, F.col("e"))
-    before = F.max(base_end).over(Window.partitionBy("rid").orderBy("s").rangeBetween(Window.unboundedPreceding, 0))
-    after = F.min(base_end).over(Window.partitionBy("rid").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))
-    clear = ~(F.coalesce(before >= F.col("e"), F.lit(False)) | F.coalesce(after <= F.col("e"), F.lit(False)))
+    up, down = (Window.partitionBy("rid").orderBy(c).rangeBetween(Window.unboundedPreceding, 0) for c in ("s", F.desc("s")))
+
+    def clear_of(kinds: int) -> Column:
+        """Whether a span neither holds nor lies in one of the first ``kinds`` kinds."""
+        end = F.when(F.col("o") < kinds, F.col("e"))
+        return ~(F.coalesce(F.max(end).over(up) >= F.col("e"), F.lit(False)) | F.coalesce(F.min(end).over(down) <= F.col("e"), F.lit(False)))
+
+    opaque = KINDS.index("opaque")
+    clear = F.when(F.col("o") == opaque, clear_of(opaque)).otherwise(clear_of(BASE_KINDS))
     mixed = F.col("v").rlike("[0-9]") & F.col("v").rlike("[a-z]") & F.col("v").rlike("[A-Z]")
-    fine = (F.col("o") < BASE_KINDS) | clear & ((F.col("o") != KINDS.index("opaque")) | mixed)
+    fine = (F.col("o") < BASE_KINDS) | clear & ((F.col("o") != opaque) | mixed)
     return found.withColumn("fine", fine).filter("fine").select("rid", "id", "owner", "o", "s", "e", "v")
 
 

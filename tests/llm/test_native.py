@@ -142,8 +142,11 @@ def brute_scan(rows):
         value = {(s, k): re.search(r"[A-Za-z0-9+/_.=-]+$", t[s:e])[0] if k == "assign" else t[s:e] for s, _, k, e in base}
         got = [(s, o, k, e, value[s, k], True) for s, o, k, e in base]
         for o, (k, rx, _, _) in enumerate(S.ADDED):
+            assert k != "opaque" or o == len(S.ADDED) - 1
             for m in re.finditer(rx, t):
-                if not overlaps(m, base) and (k != "opaque" or all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))):
+                # an opaque string is also clear of vendor spans: one secret is one span
+                other = [(x[0], 0, x[2], x[3]) for x in got if not x[5]] if k == "opaque" else []
+                if not overlaps(m, base + other) and (k != "opaque" or all(re.search(c, m[0]) for c in ("[0-9]", "[a-z]", "[A-Z]"))):
                     got.append((m.start(), o + 3, k, m.end(), m[0], False))
         every.append((d, owner or "", sorted(got)))
     owners, repos = {}, {}
