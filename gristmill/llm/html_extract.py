@@ -9,7 +9,8 @@ block of every page has a slot of its host, and all statistics are counted over
 What decides, per host:
 
 - constant nodes: a text that at least ``LEAST_PAGES`` different pages, and ``SHARE`` of those with the slot, repeat in one slot is template
-  (``SHARE_MAIN`` of them inside an article or main element);
+  (``SHARE_MAIN`` of them inside an article or main element, where headings and labels that stand before varying text are kept however often
+  they are repeated: they are the article's own);
 - varying slots become content where the varying text of the host is: in its article or main elements, else in the
   smallest element that holds ``MASS`` of it with the headings beside it;
 - slots whose text is links on all pages are menus;
@@ -42,6 +43,7 @@ from gristmill.sources.materialize import materialize, release
 
 SHAPES, SALTS, LEAST_PAGES, SHARE, SHARE_MAIN, MASS, LINKS = 32, 16, 5, 0.1, 0.5, 0.6, 0.9
 MAIN = frozenset(("article", "main"))
+HEADING = frozenset("h1 h2 h3 h4 h5 h6 dt th caption figcaption summary".split())
 SKIP_TAG = frozenset("head nav footer aside form button fieldset dialog menu search".split())
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 HEADER = frozenset("header masthead topbar".split())
@@ -94,7 +96,8 @@ def locate(kids: list[list[int]], labels: list[str], shape: tuple[list[int], lis
 
 
 def decide(ids: list[int], parents: list[int], labels: list[str], varying: list[int], links: list[int], pages: list[int]) -> dict[int, int]:
-    """Role of each slot of a host: 0 none, 1 content of an article, 2 other content, 3 content only where a page has no other.
+    """Role of each slot of a host: 0 none, 1 content of an article, 2 other content, 3 content only where a page has no other,
+    4 a heading or label of an article before varying text of it, which no repetition makes template.
 
     varying, links: characters (in links) of the texts of a slot that are not constant; ids hold 0, the root.
     """
@@ -168,6 +171,19 @@ def decide(ids: list[int], parents: list[int], labels: list[str], varying: list[
         roles[k] = 0 if gone[k] or menu else role if within[k] else 3
         for c in kids[k]:
             within[c] = within[c] or within[k]
+    for k in mains if role == 1 else []:
+        # slots of the article in page order, backwards: siblings are numbered from left to right
+        todo, page = [k], []
+        while todo:
+            j = todo.pop()
+            page.append(j)
+            todo += sorted(kids[j], key=lambda c: ids[c], reverse=True)
+        later = False
+        for j in reversed(page):
+            up = at[parents[j]] if ids[j] else j
+            if later and roles[j] == 1 and tag[j] == "#" and tag[up] in HEADING:
+                roles[j] = 4
+            later = later or roles[j] == 1 and tag[up] not in HEADING and varying[j] > links[j]
     return {x: r for x, r in zip(ids, roles)}
 
 
@@ -270,7 +286,7 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url: str = "url", html
         return pd.DataFrame({"host": pdf["host"], "id": pdf["id"], "role": [roles[x] for x in pdf["id"]]})
 
     roles = materialize(nodes.join(own, ["host", "id"], "left").groupBy("host").applyInPandas(judge, "host string, id long, role int"), "roles")
-    fixed = each.filter(often).join(_hinted(roles.filter("role > 0"), F.lit(24)), ["host", "id"]).filter((F.col("role") != 1) | (F.col("n") >= SHARE_MAIN * F.col("pages")))
+    fixed = each.filter(often).join(_hinted(roles.filter("role > 0"), F.lit(24)), ["host", "id"]).filter((F.col("role") != 4) & ((F.col("role") != 1) | (F.col("n") >= SHARE_MAIN * F.col("pages"))))
     fixed = materialize(fixed.groupBy("host").agg(F.collect_set(F.xxhash64("id", "h")).alias("fixed")), "fixed")
     flags = located.select("host", "shape", F.posexplode("ids").alias("k", "id")).join(_hinted(roles, F.lit(24)), ["host", "id"])
     flags = flags.groupBy("host", "shape").agg(F.array_sort(F.collect_list(F.struct("k", "id", "role"))).alias("slot_of"))
@@ -279,8 +295,8 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url: str = "url", html
     block = F.transform(F.arrays_zip("slots", "texts"), lambda x: F.struct(F.get(F.col("slot_of"), x["slots"]).alias("s"), x["texts"].alias("t")))
     j = j.select("id", "url", "fixed", block.alias("b"))
     role = lambda x: x["s"]["role"]
-    some = F.exists("b", lambda x: role(x).isin(1, 2))
-    keep = F.filter("b", lambda x: F.when(some, role(x).isin(1, 2)).otherwise(role(x) == 3) & ~F.coalesce(F.array_contains("fixed", F.xxhash64(x["s"]["id"], F.xxhash64(x["t"]))), F.lit(False)))
+    some = F.exists("b", lambda x: role(x).isin(1, 2, 4))
+    keep = F.filter("b", lambda x: F.when(some, role(x).isin(1, 2, 4)).otherwise(role(x) == 3) & ~F.coalesce(F.array_contains("fixed", F.xxhash64(x["s"]["id"], F.xxhash64(x["t"]))), F.lit(False)))
     out = j.select(F.col("id").alias(id_col), F.col("url").alias(url), F.coalesce(F.array_join(F.transform(keep, lambda x: x["t"]), "\n"), F.lit("")).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
