@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,27 @@ def document_rows(images: DataFrame, annotations: DataFrame) -> tuple[DataFrame,
     return img, dense_ids(ann.drop("file_name"), ["image_id", "line_no", "category_id"], "id").drop("line_no")
 
 
+def document_lines(images: DataFrame, annotations: DataFrame, cats: DataFrame, annotation_set: str = "full") -> DataFrame:
+    """section, pos and value: the document as lines, a row's JSON each; in that order they are one JSON object of any size.
+
+    Rows of a section end with a comma but for the last one, which its id tells, so no task sees more than its own rows.
+    """
+    if annotation_set not in SETS:
+        raise ContractError(f"unknown annotation set {annotation_set}")
+    spark, (img, ann) = images.sparkSession, document_rows(images, annotations)
+    parts = []
+    for k, (name, df) in enumerate((("images", img), ("annotations", ann), ("categories", cats))):
+        df = df.select("id", *[c for c in df.columns if c != "id"])
+        last = df.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+        line = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        rows = df.select(F.col("id").cast("long").alias("pos"), line.alias("line")).join(F.broadcast(last), F.lit(True))
+        parts.append(rows.select(F.lit(k).alias("section"), "pos", F.concat("line", F.when(F.col("pos") < F.col("_last"), ",").otherwise("")).alias("value")))
+        start = ("{" + f'"info":{{"description":"{annotation_set}"}},' if k == 0 else "],") + f'"{name}":['
+        parts.append(spark.createDataFrame([(k, -1, start)], "section int, pos long, value string"))
+    parts.append(spark.createDataFrame([(3, -1, "]}")], "section int, pos long, value string"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def coco_document(images: DataFrame, annotations: DataFrame, cats: DataFrame, annotation_set: str = "full") -> DataFrame:
     """One nested row per split. Meant for one document that fits an executor; use the rows for larger sets."""
     if annotation_set not in SETS:

@@ -33,6 +33,12 @@ def write_manifest(df: DataFrame, path: str, column: str) -> None:
     df.select(F.col(column).cast("string").alias("value")).orderBy("value").write.mode("errorifexists").text(path)
 
 
+def write_lines(df: DataFrame, path: str, order: list[str], value: str = "value") -> None:
+    """Lines in a total order: part files by name hold consecutive ranges, so joined together they are the whole text. All or nothing."""
+    build = lambda staging: df.orderBy(*order).select(F.col(value).alias("value")).write.text(staging)
+    install(df.sparkSession, path, build)
+
+
 def append_manifest(df: DataFrame, path: str) -> None:
     df.write.mode("append").csv(path, header=True)
 

@@ -1,5 +1,6 @@
 """Tiled pairs, rotated images, order statistics, running sums, observed contracts and detection evaluation against plain versions."""
 
+import json
 import math
 
 import numpy as np
@@ -7,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions.geometry import image_size
-from gristmill.operators import audit, curate, grouping, images, metrics, split, validate
-from gristmill.sources import readers
+from gristmill.operators import annotate, audit, curate, grouping, images, metrics, split, validate
+from gristmill.sources import readers, sinks
 
 
 # pairs ---------------------------------------------------------------------------------------------------------------
@@ -271,3 +272,31 @@ def test_image_sizes(spark, tmp_path):
     files = readers.scan_files(spark, str(tmp_path), ["train"], readers.IMAGE_SUFFIXES, content=True)
     got = {r["path"].rsplit("/", 1)[1]: r["s"] and tuple(r["s"]) for r in files.select("path", image_size(F.col("content")).alias("s")).collect()}
     assert {k: v if v is None or None not in v else None for k, v in got.items()} == {k: v for k, (_, v) in cases.items()}
+
+
+# documents of any size -----------------------------------------------------------------------------------------------
+
+def test_document_in_parts_is_the_small_document(spark, tmp_path):
+    img = spark.createDataFrame([(f"f{k:03d}", 4, k % 5) for k in range(300)], "file_name string, width int, height int")
+    inst = spark.createDataFrame([(f"f{k % 300:03d}", k, k % 2, [0.0, 0.0, 1.0, k / 3], (0.0, 0.0, 1.0, float(k)), None if k % 7 == 0 else float(k)) for k in range(700)],
+                                 "file_name string, line_no int, class_id int, segmentation array<double>, bbox struct<x:double,y:double,w:double,h:double>, area double")
+    cats = annotate.categories(spark, ["a", "b"])
+    for images_, ann in ((img, annotate.full_instances(inst)), (img.limit(0), annotate.full_instances(inst).limit(0))):
+        path = str(tmp_path / f"doc{images_.count()}")
+        sinks.write_lines(annotate.document_lines(images_, ann, cats), path, ["section", "pos"])
+        text = "".join(p.read_text() for p in sorted((tmp_path / path).glob("part-*")))
+        small = annotate.coco_document(images_, ann, cats).select(F.to_json(F.struct("info", "images", "annotations", "categories"), {"ignoreNullFields": "false"})).first()[0]
+        assert json.loads(text) == json.loads(small) and len(json.loads(text)["images"]) == images_.count()
+    with pytest.raises(FileExistsError):
+        sinks.write_lines(cats.select(F.col("id").alias("value")), path, ["value"])
+
+
+def test_remap_and_union(spark):
+    rows = [("f", 1, 0, (0.0, 0.0, 2.0, 2.0), 4.0), ("f", 2, 1, (1.0, 1.0, 4.0, 1.0), 4.0), ("f", 3, 5, (9.0, 9.0, 1.0, 1.0), 1.0), ("g", 1, 5, (0.0, 0.0, 1.0, 1.0), 1.0)]
+    df = spark.createDataFrame([(f, n, c, [float(n)], b, a) for f, n, c, b, a in rows], "file_name string, line_no int, class_id int, segmentation array<double>, bbox struct<x:double,y:double,w:double,h:double>, area double")
+    to = spark.createDataFrame([(0, 3), (1, 3)], "class_id int, category_id int")
+    get = lambda d: sorted((r["file_name"], r["category_id"], tuple(r["bbox"]), r["area"], len(r["segmentation"])) for r in d.collect())
+    assert get(annotate.union_instances(df, to)) == [("f", 3, (0.0, 0.0, 5.0, 2.0), 8.0, 2)]
+    assert get(annotate.union_instances(df, to, pass_through=True)) == [("f", 3, (0.0, 0.0, 5.0, 2.0), 8.0, 2), ("f", 6, (9.0, 9.0, 1.0, 1.0), 1.0, 1), ("g", 6, (0.0, 0.0, 1.0, 1.0), 1.0, 1)]
+    assert get(annotate.union_instances(df, to, pass_through=True, whole_image=1)) == [("f", 1, (0.0, 0.0, 10.0, 10.0), 9.0, 3), ("g", 1, (0.0, 0.0, 1.0, 1.0), 1.0, 1)]
+    assert sorted((r["line_no"], r["category_id"]) for r in annotate.remapped(df, to, True).filter("file_name = 'f'").collect()) == [(1, 3), (2, 3), (3, 6)]
