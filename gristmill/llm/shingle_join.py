@@ -9,8 +9,9 @@ where a candidate is dropped unread, with about 1e-8; more similar pairs are mis
 
 Distribution: equal sets are merged first (one class, told by a 64-bit hash). No set is stored: a row keeps its bands and a byte per minimum
 hash, and sets are made again from the texts of the classes that have candidates. A band's classes are compared with one hub, components of
-the trie's and hubs' links are contracted, and only classes of one band in different components are compared with each other, so
-a dense group of near copies costs no quadratic output. A pair's sets meet by one shuffle of the smaller side of the star.
+the trie's and hubs' links are contracted, and classes of one band in different components are compared with each other inside pairs of tiles by sizes, minimum hashes
+and parity bitmaps (a bound that drops no similar pair); only what passes leaves a task. Of the pairs that pass, the likeliest of each two components is checked
+first. So a dense group of near copies costs no quadratic output. A pair's sets meet by one shuffle of the smaller side of the star.
 
 Texts without a word (null, empty) are one class. Rows with equal keys _h are one row of the result each time; ties do not matter, as
 components have no representative. Very long texts are shingled whole. An empty table gives an empty result.
@@ -27,11 +28,13 @@ from pyspark.sql.types import IntegerType
 
 from gristmill.llm.common import arrow_rows, give_back, small
 from gristmill.llm.simhash import bits_of, near_links
-from gristmill.operators.grouping import connected_components
+from gristmill.operators.grouping import connected_components, tile_plan
 from gristmill.sources.materialize import materialize, release
 
 #: Words of a shingle, error budget of the trie; the least similarity is PART / WHOLE. Bands, minimum hashes of a band; texts are worked on by BLOCK rows.
 WIDTH, BITS, PART, WHOLE, BANDS, DEPTH, BLOCK = 5, 3, 4, 5, 24, 3, 256
+#: Bits of a parity bitmap, classes of a tile.
+MAP, TILE = 1024, 1024
 _MULT = np.random.default_rng(42).integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,18 +74,24 @@ def signatures(sets: list[np.ndarray]) -> tuple[list[bytes], list[list[int]]]:
     return sig, keys
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap of odd and even counts: two sets differ in at least as many shingles as their bitmaps in bits."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % MAP, minlength=MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _classes(df: DataFrame, text: str) -> DataFrame:
-    """_h of each row, its class _k, number of shingles n, fingerprint fp, sig and bands."""
+    """_h of each row, its class _k, number of shingles n, fingerprint fp, sig, map and bands."""
 
     def run(it):
         for pdf in (whole.iloc[i:i + BLOCK] for whole in it for i in range(0, len(whole), BLOCK)):
             sets = [np.unique(shingles(t)) for t in pdf[text]]
             sig, bands = signatures(sets)
             keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": keys, "n": [len(s) for s in sets], "fp": np.array([bits_of(s) for s in sets], dtype=np.int64), "sig": sig, "bands": bands})
+            yield pd.DataFrame({"_h": pdf["_h"].to_numpy(), "_k": keys, "n": [len(s) for s in sets], "fp": np.array([bits_of(s) for s in sets], dtype=np.int64), "sig": sig, "map": [parity(s) for s in sets], "bands": bands})
         give_back()
 
-    return df.select("_h", text).mapInPandas(run, "_h long, _k long, n long, fp long, sig binary, bands array<long>")
+    return df.select("_h", text).mapInPandas(run, "_h long, _k long, n long, fp long, sig binary, map binary, bands array<long>")
 
 
 def _sets(df: DataFrame, text: str) -> DataFrame:
@@ -109,11 +118,70 @@ def _sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
-def _verified(pairs: DataFrame, one: DataFrame, df: DataFrame, text: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough; ``one`` has one row for each class, ``df`` the texts."""
+def _pruned(pairs: DataFrame, one: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that may be similar enough by their sizes and minimum hashes."""
     x, y = (one.select(F.col("_k").alias(k), *[F.col(c).alias(f"{c}{k}") for c in ("n", "sig")]) for k in "ab")
     near = pairs.distinct().join(x, "a").join(y, "b").filter(_sizes(F.col("na"), F.col("nb")))
-    near = materialize(near.withColumn("agree", _agree("siga", "sigb")).filter(F.col("agree") * 2 >= BANDS * DEPTH).select("a", "b"), "pairs")
+    return near.withColumn("agree", _agree("siga", "sigb")).filter(F.col("agree") * 2 >= BANDS * DEPTH).select("a", "b")
+
+
+def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """a, b, ca, cb, agree of the pairs of one pair of tiles that are of different components and may be similar enough.
+
+    Sizes, minimum hashes and parity bitmaps decide, all pairs at once; only the pairs that pass leave the task.
+    """
+    one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+    same = pdf["tile_a"].iloc[0] == pdf["tile_b"].iloc[0]
+    two = one if same else two
+    if not len(one) or not len(two):
+        return pd.DataFrame()
+    cols = lambda d: (d["_k"].to_numpy(), d["c"].to_numpy(), d["n"].to_numpy(), *(np.frombuffer(b"".join(d[c]), dtype=t).reshape(len(d), -1) for c, t in (("sig", np.uint8), ("map", np.uint64))))
+    (ka, ca, na, sa, ma), (kb, cb, nb, sb, mb) = cols(one), cols(two)
+    out = []
+    for i in range(len(ka)):
+        ok = (ca[i] != cb) & (np.minimum(na[i], nb) * WHOLE >= np.maximum(na[i], nb) * PART)
+        ok[:i + 1] &= not same
+        j = np.flatnonzero(ok)
+        j = j[np.bitwise_count(ma[i] ^ mb[j]).sum(axis=1) * (PART + WHOLE) <= na[i] + nb[j]]
+        agree = (sa[i] == sb[j]).sum(axis=1)
+        j, agree = j[agree * 2 >= BANDS * DEPTH], agree[agree * 2 >= BANDS * DEPTH]
+        out += list(zip(np.maximum(ka[i], kb[j]), np.minimum(ka[i], kb[j]), [ca[i]] * len(j), cb[j], agree))
+    return pd.DataFrame(out, columns=["a", "b", "ca", "cb", "agree"])
+
+
+def _rest(entries: DataFrame, comp: DataFrame, one: DataFrame) -> DataFrame:
+    """a, b, agree of classes that share a band, are of different components and may be similar enough; hubs have been compared."""
+    e = entries.join(comp, entries["_k"] == comp["node"], "left").select("band", "hub", "_k", F.coalesce("component", "_k").alias("c")).filter("_k != hub")
+    live = e.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
+    e = materialize(e.join(live, "band", "left_semi").join(one.select("_k", "n", "sig", "map"), "_k"), "open")
+    plan = tile_plan(e.select("band", "_k", "c", "n", "sig", "map"), "band", "_k", tile_rows=TILE)
+    keys = ["band", "tile_a", "tile_b"]
+
+    def run(it):
+        held = None
+        for pdf in it:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            ends = [0, *(np.flatnonzero(pdf["pair"].to_numpy()[1:] != pdf["pair"].to_numpy()[:-1]) + 1).tolist(), len(pdf)]
+            for lo, hi in zip(ends[:-2], ends[1:-1]):
+                got = compared(pdf.iloc[lo:hi])
+                if len(got):
+                    yield got[["a", "b", "agree"]]
+            held = pdf.iloc[ends[-2]:]
+        if held is not None and len(held):
+            got = compared(held)
+            if len(got):
+                yield got[["a", "b", "agree"]]
+
+    plan = plan.select(F.xxhash64(*keys).alias("pair"), "band", F.xxhash64("tile_a").alias("tile_a"), F.xxhash64("tile_b").alias("tile_b"), "side", "_k", "c", "n", "sig", "map")
+    dealt = plan.repartition("pair").sortWithinPartitions("pair")
+    out = materialize(dealt.mapInPandas(run, "a long, b long, agree long").distinct(), "rest")
+    release(e)
+    return out
+
+
+def _verified(pairs: DataFrame, one: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough; ``one`` has one row for each class, ``df`` the texts."""
+    near = materialize(pairs, "pairs")
     m = near.count()
     used = near.select(F.explode(F.array("a", "b")).alias("_k")).distinct().join(one.select("_k", "_h"), "_k")
     used = materialize(used, "used")
@@ -133,6 +201,13 @@ def _verified(pairs: DataFrame, one: DataFrame, df: DataFrame, text: str) -> Dat
     return links
 
 
+def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose classes are of different components, with the components lo < hi."""
+    x, y = (comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
+    j = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    return j.filter("ca != cb").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
+
+
 def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """(_h, component) for the rows of ``df``, which holds a key _h of its rows; equal keys have equal texts."""
     with arrow_rows(df.sparkSession, BLOCK * 2):
@@ -140,7 +215,7 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     # one row stands for each class
     first = materialize(rows.groupBy("_k").agg(F.min("_h").alias("_h")), "first")
     one = rows.filter("n > 0").join(small(first, first.count(), 32), ["_k", "_h"])
-    one = materialize(one.groupBy("_k", "_h").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "sig", "bands")]), "one")
+    one = materialize(one.groupBy("_k", "_h").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "sig", "map", "bands")]), "one")
     held = materialize(rows.select("_h", "_k"), "keys")
     release(rows)
     release(first)
@@ -156,18 +231,24 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     shared = materialize(entries.groupBy("band").agg(F.min("_k").alias("hub"), F.max("_k").alias("hi")).filter("hub < hi").select("band", "hub"), "bands")
     entries = materialize(entries.join(small(shared, shared.count(), 32), "band"), "entries")
     hubs = entries.filter("_k != hub").select(F.col("_k").alias("a"), F.col("hub").alias("b"))
-    links = _verified(trie.unionByName(same).unionByName(hubs), one, df, text)
+    links = _verified(_pruned(trie.unionByName(same).unionByName(hubs), one), one, df, text)
 
-    # what is left: classes of one band in different components, but for hubs, which have been compared
+    # what is left: of each two components the likeliest pair first, which mostly joins them, then all pairs still between components
     comp = materialize(connected_components(links), "components")
-    e = materialize(entries.join(comp, entries["_k"] == comp["node"], "left").select("band", "hub", "_k", F.coalesce("component", "_k").alias("c")), "open")
-    live = e.filter("_k != hub").groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    e2 = materialize(e.filter("_k != hub").join(live, "band", "left_semi"), "open")
-    l, r = (e2.select("band", F.col("_k").alias(f"k{i}"), F.col("c").alias(f"c{i}")) for i in (1, 2))
-    rest = l.join(r, "band").filter("c1 < c2").select(F.greatest("k1", "k2").alias("a"), F.least("k1", "k2").alias("b"))
-    links2 = _verified(rest, one, df, text)
-    comp2 = connected_components(links.unionByName(links2))
-    for t in (one, named, shared, entries, e, e2, comp, links, links2):
+    rest = _rest(entries, comp, one)
+    for last in (False, True):
+        open_ = _between(rest, comp)
+        if not last:
+            open_ = open_.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.*")
+        open_ = materialize(open_.select("a", "b"), "between")
+        if not open_.isEmpty():
+            more = _verified(open_, one, df, text)
+            links = materialize(links.unionByName(more), "links")
+            release(comp)
+            comp = materialize(connected_components(links), "components")
+        release(open_)
+    for t in (one, named, shared, entries, rest, links):
         release(t)
+    comp2 = comp
     to = held.join(comp2, held["_k"] == comp2["node"], "left")
     return to.select("_h", F.coalesce("component", "_k").alias("component"))

@@ -39,8 +39,9 @@ def test_stage_matches_all_pairs(spark, monkeypatch):
     comp = brute_components([t for _, t in rows])
     assert 20 < len(set(comp)) < len(rows) - 10
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for bits in (3, 0):  # how many pairs the trie finds does not change the result
+    for bits, tile in ((3, 1024), (0, 2)):  # what the trie finds, and how bands are dealt to tasks, does not change the result
         monkeypatch.setattr(J, "BITS", bits)
+        monkeypatch.setattr(J, "TILE", tile)
         assert sorted(r["doc_id"] for r in C.stage_near_duplicates(spark, df, "").collect()) == sorted(set(comp))
 
 
@@ -55,6 +56,9 @@ def test_bands_find_pairs_at_the_threshold():
     assert all(set(bands[i]) & set(bands[i + 1]) for i in range(0, len(sets), 2))
     agree = [sum(x == y for x, y in zip(sig[i], sig[i + 1])) for i in range(0, len(sets), 2)]
     assert min(agree) * 2 >= J.BANDS * J.DEPTH and abs(np.mean(agree) / (J.BANDS * J.DEPTH) - 0.8) < 0.01
+    # the bound of the bitmaps holds for every pair, similar or not
+    maps = [int.from_bytes(J.parity(s)) for s in sets]
+    assert all((maps[i] ^ maps[j]).bit_count() <= len(np.setxor1d(sets[i], sets[j])) for i in range(0, 400, 2) for j in (i + 1, i + 2))
     assert sum(bool(set(bands[i]) & set(bands[i + 2])) for i in range(0, len(sets) - 2, 2)) < 3
 
 
