@@ -4,10 +4,11 @@ import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions.geometry import image_size
+from gristmill.functions.geometry import image_size, rounded
 from gristmill.operators import annotate, audit, curate, grouping, images, metrics, split, validate
 from gristmill.sources import readers, sinks
 
@@ -41,6 +42,26 @@ def test_a_large_block_is_many_tasks(spark):
     assert grouping.block_pairs(df.limit(0), "b", "id", "v", 0.5).count() == 0
 
 
+def test_a_pair_of_tiles_computes_each_pair_once():
+    r = np.random.default_rng(6)
+    n, cells, got = 600, 0, set()
+    side = r.integers(0, 2, n).astype(np.int32)
+    rows = pa.table({"k": r.permutation(n), "v": list(r.normal(size=(n, 4))), "side": side, "tile_a": [0] * n, "tile_b": [1] * n})
+    key = rows["k"].to_numpy()
+    for i, j, first, s in grouping.scored(rows, "k", "v", lambda a, b: a @ b.T):
+        cells += s.size
+        got |= {(int(key[x]), int(key[y])) for x, y in zip(i[np.nonzero(first)[0]], j[np.nonzero(first)[1]])}
+    of = dict(zip(key.tolist(), side.tolist()))
+    assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if of[a] != of[b]} and cells < 1.2 * len(got)
+
+
+def test_rounding_is_that_of_spark(spark):
+    c = F.col("id")
+    df = spark.range(-3000, 3000).select(F.explode(F.array(c * 5e-7, c / 7e3, F.rand(1) * 2 - 1, c * -1e-9, c * 1.5e-6 + 1e-13)).alias("s"))
+    got = df.select(F.round("s", 6).alias("want"), rounded(F.col("s")).alias("got")).filter(F.xxhash64("want") != F.xxhash64("got")).collect()
+    assert got == []
+
+
 def test_ordinals(spark):
     r = np.random.default_rng(3)
     rows = [(f"p{r.integers(4)}", int(r.integers(9)), int(k)) for k in range(200)]
@@ -111,6 +132,15 @@ def test_rotated_pairs(spark, threshold):
     assert {(r["id_a"], r["id_b"]): pytest.approx(r["score"], abs=1e-6) for r in got} == {k: v for k, v in want.items() if threshold is None or v >= threshold}
 
 
+def test_small_images_meet_in_few_large_tiles(spark, monkeypatch):
+    """A row is shuffled once for each tile of its block, so these are as large as memory allows."""
+    monkeypatch.setattr(images, "tiled_scores", lambda plan, *a: plan)
+    df = spark.range(3000).select(F.lit(1).alias("b"), "id", F.array_repeat(F.rand(1), 64).alias("f"))
+    assert images.rotated_pairs(df, "b", "id", "f", 0.5).count() == 3000
+    monkeypatch.setattr(grouping, "TILE_BYTES", 1000 * 64 * 8)
+    assert images.rotated_pairs(df, "b", "id", "f", 0.5).count() == 9000
+
+
 def test_thumbnail(spark):
     r = np.random.default_rng(4)
     flat = images.thumbnail(np.full((30, 70), 9.0))
