@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.operators.grouping import pair_order_statistics
 from gristmill.sources.materialize import materialize, release
 
 QUANTILES = (0.0, 0.25, 0.5, 0.75, 0.9, 1.0)
@@ -81,6 +82,13 @@ def quantiles(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataF
     return df.sparkSession.createDataFrame(rows, "q double, value double").select("q", F.round("value", 6).alias("value"))
 
 
+def pair_quantiles(df: DataFrame, block: str, key: str, vector: str, exact_rows: int = EXACT_ROWS, tile_rows: int | None = None) -> DataFrame:
+    """As :func:`quantiles`, of the cosines of all pairs inside blocks, none of which is stored."""
+    got = pair_order_statistics(df, block, key, vector, QUANTILES, exact_rows, tile_rows)
+    rows = [(q, lo + (hi - lo) * (x - math.floor(x))) for q, x, lo, hi in got]
+    return df.sparkSession.createDataFrame(rows, "q double, value double").select("q", F.round("value", 6).alias("value"))
+
+
 def overlap(df: DataFrame, group: str, split: str, pairs: list[tuple[str, str]]) -> DataFrame:
     """Number of groups that two splits share, for each pair of splits; one pass."""
     g = df.groupBy(group).agg(F.collect_set(split).alias("s"))

@@ -17,6 +17,8 @@ from gristmill.sources.materialize import materialize, release
 
 #: Most rows and bytes of a tile; a task compares two tiles, by so many scores at once. A table is broadcast only if its counted rows fit these bytes.
 TILE_ROWS, TILE_BYTES, SCORES, BROADCAST_BYTES = 4096, 16 << 20, 1 << 20, 32 << 20
+#: Bins that a task counts scores in.
+BINS = 4096
 
 
 def rows_of_tile(df: DataFrame, vector: str) -> int:
@@ -126,6 +128,97 @@ def block_pairs(df: DataFrame, block: str, key: str, vector: str, threshold: flo
     return tiled_scores(tile_plan(unit.withColumn("angle", angle).drop("pivot"), block, key, F.col("angle"), math.acos(threshold) + 1e-6, tile_rows), block, key, "unit", _products, threshold)
 
 
+def _bins(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    """Number of each value's bin among BINS of one width from lo to hi; values beyond them are in the first and the last."""
+    hi = max(hi, np.nextafter(lo, np.inf))
+    return np.clip((v - lo) * (BINS / (hi - lo)), 0, BINS - 1).astype(np.int32)
+
+
+def pair_order_statistics(df: DataFrame, block: str, key: str, vector: str, quantiles: tuple[float, ...], exact_rows: int = 20_000, tile_rows: int | None = None) -> list[tuple[float, float, float, float]]:
+    """(q, x, below, above): linear position x of each quantile among the cosines of all pairs inside blocks, and the two scores around it.
+
+    No score is stored: each round scores all pairs again and a task gives counts of bins alone. A bracket is a chain of (lo, hi, bin); those
+    that hold a position are split into bins again, and once one holds at most ``exact_rows`` scores, these are read. A bracket whose
+    least and greatest score are equal is done, so ties do not matter. Nothing for an input without pairs.
+    """
+    unit = materialize(unit_vectors(df, block, key, vector), "units")
+    plan = dealt_tiles(tile_plan(unit, block, key, tile_rows=tile_rows or rows_of_tile(df, vector)), block, key, "unit")
+
+    def scan(chains: list[tuple], read: bool) -> list:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros((len(chains), BINS), dtype=np.int64)
+            ends, held = [(np.inf, -np.inf)] * len(chains), [[np.empty(0)] for _ in chains]
+            for _, _, first, s in scored(pa.Table.from_batches(batches), key, "unit", _products):
+                s = s[first]
+                top = _bins(s, *chains[0][0][:2])
+                for c, chain in enumerate(chains):
+                    v = s if chain[0][2] is None else s[top == chain[0][2]]
+                    for lo, hi, b in chain[1:]:
+                        v = v if b is None else v[_bins(v, lo, hi) == b]
+                    if read:
+                        held[c].append(v)
+                    elif len(v):
+                        n[c] += np.bincount(_bins(v, *chain[-1][:2]), minlength=BINS)
+                        ends[c] = min(ends[c][0], v.min()), max(ends[c][1], v.max())
+            if read:
+                c, v = np.repeat(np.arange(len(chains)), [sum(map(len, x)) for x in held]), np.concatenate([y for x in held for y in x])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, np.zeros(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int64), v, v)], names=["c", "bin", "n", "lo", "hi"])
+            else:
+                c, b = np.nonzero(n)
+                e = np.array(ends).reshape(-1, 2)[c]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c, b, n[c, b], e[:, 0], e[:, 1])], names=["c", "bin", "n", "lo", "hi"])
+
+        run.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+        found = plan.applyInArrow(run, "c long, bin long, n long, lo double, hi double")
+        if read:
+            return found.select("c", "lo").collect()  # exact_rows of each bracket at most
+        return found.groupBy("c", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+
+    out: dict[int, float] = {}
+    # (chain, scores below it, its scores, ranks in it); cosines lie between -1 and 1, but for rounding
+    todo = [(((-1.0, 1.0, None),), 0, None, None)]
+    at: list[tuple[float, float]] = []
+    while todo:
+        got: dict[int, list] = {}
+        for r in scan([t[0] for t in todo], False):
+            got.setdefault(r["c"], []).append(r)
+        nxt = []
+        for c, (chain, below, n, ranks) in enumerate(todo):
+            rows = sorted(got.get(c, []), key=lambda r: r["bin"])
+            total = sum(r["n"] for r in rows)
+            if n is None:
+                n, at = total, [(q, q * (total - 1)) for q in quantiles] if total else []
+                ranks = sorted({r for _, x in at for r in (math.floor(x), math.ceil(x))})
+            if total != n:
+                raise RuntimeError("scores changed between two rounds")
+            if not n:
+                continue
+            lo, hi = min(r["lo"] for r in rows), max(r["hi"] for r in rows)
+            if lo == hi:
+                out |= dict.fromkeys(ranks, lo)
+                continue
+            for r in rows:
+                if inside := [x for x in ranks if below <= x < below + r["n"]]:
+                    a, b, _ = chain[-1]
+                    w = (b - a) / BINS
+                    # the first and last bin reach to what lies beyond
+                    edge = (min(lo, a) if r["bin"] == 0 else a + r["bin"] * w), (max(hi, b) if r["bin"] == BINS - 1 else a + (r["bin"] + 1) * w)
+                    nxt.append(((*chain[:-1], (a, b, r["bin"]), (max(lo, edge[0]), min(hi, edge[1]), None)), below, r["n"], inside))
+                below += r["n"]
+        few = [t for t in nxt if t[2] <= exact_rows]
+        values: dict[int, list] = {}
+        for r in scan([t[0] for t in few], True) if few else []:
+            values.setdefault(r["c"], []).append(r["lo"])
+        for c, (_, below, n, ranks) in enumerate(few):
+            v = sorted(values.get(c, []))
+            if len(v) != n:
+                raise RuntimeError("scores changed between two rounds")
+            out |= {x: v[x - below] for x in ranks}
+        todo = [t for t in nxt if t[2] > exact_rows]
+    release(unit)
+    return [(q, x, out[math.floor(x)], out[math.ceil(x)]) for q, x in at]
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 

@@ -82,7 +82,7 @@ def block_pairs(spark, d):
 @query(f"""WITH p AS ({PAIRS}), q AS (SELECT unnest([0.0, 0.25, 0.5, 0.75, 0.9, 1.0])::double AS q)
 SELECT q, round((SELECT quantile_cont(score, [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]) FROM p)[CASE q WHEN 0 THEN 1 WHEN 0.25 THEN 2 WHEN 0.5 THEN 3 WHEN 0.75 THEN 4 WHEN 0.9 THEN 5 ELSE 6 END], 6) AS value FROM q""")
 def score_quantiles(spark, d):
-    return audit.quantiles(_pairs(spark, d), "score")
+    return audit.pair_quantiles(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query(f"SELECT vec_id_a, vec_id_b, round(score, 6) AS score FROM ({PAIRS}) WHERE score >= 0.30")

@@ -55,6 +55,19 @@ def test_a_pair_of_tiles_computes_each_pair_once():
     assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if of[a] != of[b]} and cells < 1.2 * len(got)
 
 
+@pytest.mark.parametrize("exact_rows", [1, 20_000])
+def test_quantiles_of_pairs_store_no_pair(spark, monkeypatch, exact_rows):
+    written = []
+    monkeypatch.setattr(grouping, "materialize", lambda df, name="t": written.append(df.count()) or df)
+    rows = vectors(n=120) + [(k, 0, [1.0] * 8) for k in range(1000, 1030)]  # many equal scores
+    df = spark.createDataFrame(rows, "id long, b int, v array<double>")
+    pairs = [r["score"] for r in grouping.block_pairs(df, "b", "id", "v").collect()]
+    got = audit.pair_quantiles(df, "b", "id", "v", exact_rows, tile_rows=16).collect()
+    assert [(r["q"], r["value"]) for r in got] == [(q, pytest.approx(np.quantile(pairs, q), abs=1e-6)) for q in audit.QUANTILES]
+    assert max(written) <= len(rows) < len(pairs)
+    assert audit.pair_quantiles(df.limit(0), "b", "id", "v").collect() == [] and audit.pair_quantiles(df.limit(1), "b", "id", "v").collect() == []
+
+
 def test_rounding_is_that_of_spark(spark):
     c = F.col("id")
     df = spark.range(-3000, 3000).select(F.explode(F.array(c * 5e-7, c / 7e3, F.rand(1) * 2 - 1, c * -1e-9, c * 1.5e-6 + 1e-13)).alias("s"))
