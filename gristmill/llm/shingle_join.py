@@ -7,11 +7,11 @@ about 15 of 64 bits, so the others come from ``BANDS`` bands of ``DEPTH`` minimu
 sets. A pair at exactly 0.8 shares no band with probability (1 - 0.8^3)^24 = 3e-8, and agrees in under half of its minimum hashes,
 where a candidate is dropped unread, with about 1e-8; more similar pairs are missed less often still.
 
-Distribution: equal sets are merged first (one class, told by a 64-bit hash). No set is stored: a row keeps its bands and a byte per minimum
+Distribution: equal sets are merged first (one class, told by a 64-bit hash). A row keeps its bands and a byte per minimum
 hash, and sets are made again from the texts of the classes that have candidates. A band's classes are compared with one hub, components of
 the trie's and hubs' links are contracted, and classes of one band in different components are compared with each other inside pairs of tiles by sizes, minimum hashes
-and parity bitmaps (a bound that drops no similar pair); only what passes leaves a task. Of the pairs that pass, the likeliest of each two components is checked
-first. So a dense group of near copies costs no quadratic output. A pair's sets meet by one shuffle of the smaller side of the star.
+and parity bitmaps (a bound that drops no similar pair), then on whole sets; a task joins components as it goes, so only links that join two of them leave it:
+fewer than its rows, however dense the group. Pairs with a hub or of the trie meet by one shuffle of the smaller side of the star.
 
 Texts without a word (null, empty) are one class. Rows with equal keys _h are one row of the result each time; ties do not matter, as
 components have no representative. Very long texts are shingled whole. An empty table gives an empty result.
@@ -33,8 +33,8 @@ from gristmill.sources.materialize import materialize, release
 
 #: Words of a shingle, error budget of the trie; the least similarity is PART / WHOLE. Bands, minimum hashes of a band; texts are worked on by BLOCK rows.
 WIDTH, BITS, PART, WHOLE, BANDS, DEPTH, BLOCK = 5, 3, 4, 5, 24, 3, 256
-#: Bits of a parity bitmap, classes of a tile.
-MAP, TILE = 1024, 1024
+#: Bits of a parity bitmap, classes of a tile, shingles from which a class counts as more than one.
+MAP, TILE, TILE_TOKENS = 1024, 1024, 256
 _MULT = np.random.default_rng(42).integers(0, 1 << 63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -125,37 +125,45 @@ def _pruned(pairs: DataFrame, one: DataFrame) -> DataFrame:
     return near.withColumn("agree", _agree("siga", "sigb")).filter(F.col("agree") * 2 >= BANDS * DEPTH).select("a", "b")
 
 
-def compared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """a, b, ca, cb, agree of the pairs of one pair of tiles that are of different components and may be similar enough.
+def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """a, b: links between classes of one pair of tiles that join all their components which hold a similar pair across them.
 
-    Sizes, minimum hashes and parity bitmaps decide, all pairs at once; only the pairs that pass leave the task.
+    Sizes, minimum hashes and parity bitmaps decide for all pairs of a class at once, whole sets for those that pass, the likeliest
+    first; pairs whose components have been joined meanwhile need no look. So at most one link for each component leaves the task.
     """
     one, two = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
     same = pdf["tile_a"].iloc[0] == pdf["tile_b"].iloc[0]
     two = one if same else two
     if not len(one) or not len(two):
-        return pd.DataFrame()
-    cols = lambda d: (d["_k"].to_numpy(), d["c"].to_numpy(), d["n"].to_numpy(), *(np.frombuffer(b"".join(d[c]), dtype=t).reshape(len(d), -1) for c, t in (("sig", np.uint8), ("map", np.uint64))))
-    (ka, ca, na, sa, ma), (kb, cb, nb, sb, mb) = cols(one), cols(two)
-    out = []
+        return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    cols = lambda d: (d["_k"].to_numpy(), d["c"].to_numpy(), d["n"].to_numpy(), *(np.frombuffer(b"".join(d[c]), dtype=t).reshape(len(d), -1) for c, t in (("sig", np.uint8), ("map", np.uint64))), d["toks"].to_numpy())
+    (ka, ca, na, sa, ma, ta), (kb, cb, nb, sb, mb, tb) = cols(one), cols(two)
+    both = np.unique(np.concatenate([ca, cb]), return_inverse=True)[1]
+    ca, cb, out = both[:len(ca)], both[len(ca):], []
     for i in range(len(ka)):
         ok = (ca[i] != cb) & (np.minimum(na[i], nb) * WHOLE >= np.maximum(na[i], nb) * PART)
         ok[:i + 1] &= not same
         j = np.flatnonzero(ok)
         j = j[np.bitwise_count(ma[i] ^ mb[j]).sum(axis=1) * (PART + WHOLE) <= na[i] + nb[j]]
         agree = (sa[i] == sb[j]).sum(axis=1)
-        j, agree = j[agree * 2 >= BANDS * DEPTH], agree[agree * 2 >= BANDS * DEPTH]
-        out += list(zip(np.maximum(ka[i], kb[j]), np.minimum(ka[i], kb[j]), [ca[i]] * len(j), cb[j], agree))
-    return pd.DataFrame(out, columns=["a", "b", "ca", "cb", "agree"])
+        likely = agree * 2 >= BANDS * DEPTH
+        for x in j[likely][np.argsort(-agree[likely], kind="stable")]:
+            if ca[i] != cb[x] and len(np.intersect1d(ta[i], tb[x], assume_unique=True)) * (PART + WHOLE) >= (na[i] + nb[x]) * PART:
+                out.append((max(ka[i], kb[x]), min(ka[i], kb[x])))
+                lo, hi = sorted((ca[i], cb[x]))
+                ca, cb = np.where(ca == hi, lo, ca), np.where(cb == hi, lo, cb)
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
-def _rest(entries: DataFrame, comp: DataFrame, one: DataFrame) -> DataFrame:
-    """a, b, agree of classes that share a band, are of different components and may be similar enough; hubs have been compared."""
+def _rest(entries: DataFrame, comp: DataFrame, one: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) between components whose classes share a band; the hubs have been compared."""
     e = entries.join(comp, entries["_k"] == comp["node"], "left").select("band", "hub", "_k", F.coalesce("component", "_k").alias("c")).filter("_k != hub")
     live = e.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band")
-    e = materialize(e.join(live, "band", "left_semi").join(one.select("_k", "n", "sig", "map"), "_k"), "open")
-    plan = tile_plan(e.select("band", "_k", "c", "n", "sig", "map"), "band", "_k", tile_rows=TILE)
-    keys = ["band", "tile_a", "tile_b"]
+    e = materialize(e.join(live, "band", "left_semi").select("band", "_k", "c"), "open")
+    used = materialize(e.select("_k").distinct().join(one.select("_k", "_h", "n", "sig", "map"), "_k"), "used")
+    sets = _sets_of(used, df, text)
+    whole = e.join(used.drop("_h"), "_k").join(sets, "_k")
+    plan = tile_plan(whole, "band", "_k", tile_rows=TILE, weight=F.greatest(F.lit(1), F.col("n") / TILE_TOKENS))
 
     def run(it):
         held = None
@@ -163,51 +171,55 @@ def _rest(entries: DataFrame, comp: DataFrame, one: DataFrame) -> DataFrame:
             pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             ends = [0, *(np.flatnonzero(pdf["pair"].to_numpy()[1:] != pdf["pair"].to_numpy()[:-1]) + 1).tolist(), len(pdf)]
             for lo, hi in zip(ends[:-2], ends[1:-1]):
-                got = compared(pdf.iloc[lo:hi])
+                got = joined(pdf.iloc[lo:hi])
                 if len(got):
-                    yield got[["a", "b", "agree"]]
+                    yield got
             held = pdf.iloc[ends[-2]:]
         if held is not None and len(held):
-            got = compared(held)
+            got = joined(held)
             if len(got):
-                yield got[["a", "b", "agree"]]
+                yield got
 
-    plan = plan.select(F.xxhash64(*keys).alias("pair"), "band", F.xxhash64("tile_a").alias("tile_a"), F.xxhash64("tile_b").alias("tile_b"), "side", "_k", "c", "n", "sig", "map")
-    dealt = plan.repartition("pair").sortWithinPartitions("pair")
-    out = materialize(dealt.mapInPandas(run, "a long, b long, agree long").distinct(), "rest")
-    release(e)
+    plan = plan.select(F.xxhash64("band", "tile_a", "tile_b").alias("pair"), F.xxhash64("tile_a").alias("tile_a"), F.xxhash64("tile_b").alias("tile_b"), "side", "_k", "c", "n", "sig", "map", "toks")
+    with arrow_rows(df.sparkSession, BLOCK):
+        out = materialize(plan.repartition("pair").sortWithinPartitions("pair").mapInPandas(run, "a long, b long"), "rest")
+    for t in (e, used, sets):
+        release(t)
     return out
 
 
+def _sets_of(used: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """_k, toks: the set of each class; ``used`` has its row _h. Equal rows have equal texts: one of them is enough."""
+    texts = df.select("_h", text).join(small(used.select("_k", "_h"), used.count(), 32), "_h")
+    with arrow_rows(df.sparkSession, BLOCK * 2):
+        sets = materialize(_sets(texts, text), "sets")
+    many = materialize(sets.groupBy("_k").agg(F.count("*").alias("n")).filter("n > 1").select("_k"), "equal")
+    once = sets
+    if not many.isEmpty():
+        side = small(many, many.count(), 16)
+        once = materialize(sets.join(side, "_k", "left_anti").unionByName(sets.join(side, "_k").groupBy("_k").agg(F.any_value("toks").alias("toks"))), "sets")
+        release(sets)
+    release(many)
+    return once
+
+
 def _verified(pairs: DataFrame, one: DataFrame, df: DataFrame, text: str) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough; ``one`` has one row for each class, ``df`` the texts."""
     near = materialize(pairs, "pairs")
     m = near.count()
     used = near.select(F.explode(F.array("a", "b")).alias("_k")).distinct().join(one.select("_k", "_h"), "_k")
     used = materialize(used, "used")
-    # equal rows have equal texts: one of them is enough, and which one does not matter
-    texts = df.select("_h", text).join(small(used, used.count(), 32), "_h")
-    with arrow_rows(df.sparkSession, BLOCK * 2):
-        sets = materialize(_sets(texts, text), "sets")
-    many = materialize(sets.groupBy("_k").agg(F.count("*").alias("n")).filter("n > 1").select("_k"), "equal")
-    once = sets if many.isEmpty() else sets.join(small(many, many.count(), 16), "_k", "left_anti").unionByName(sets.join(small(many, many.count(), 16), "_k").groupBy("_k").agg(F.any_value("toks").alias("toks")))
+    once = _sets_of(used, df, text)
     left = once.withColumnsRenamed({"_k": "a", "toks": "ta"}).join(small(near, m, 32), "a")
     hubs = materialize(near.select(F.col("b").alias("_k")).distinct(), "hubs")
     right = once.join(small(hubs, hubs.count(), 16), "_k").withColumnsRenamed({"_k": "b", "toks": "tb"})
     both = left.join(right, "b").select("a", "b", (F.size("ta") + F.size("tb")).alias("n"), F.size(F.array_intersect("ta", "tb")).alias("both"))
     links = materialize(both.filter(F.col("both") * (PART + WHOLE) >= F.col("n") * PART).select("a", "b"), "links")
-    for t in (near, used, sets, many, hubs):
+    for t in (near, used, once, hubs):
         release(t)
     return links
 
 
-def _between(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose classes are of different components, with the components lo < hi."""
-    x, y = (comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab")
-    j = pairs.join(x, "a", "left").join(y, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-    return j.filter("ca != cb").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
-
-
 def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     """(_h, component) for the rows of ``df``, which holds a key _h of its rows; equal keys have equal texts."""
     with arrow_rows(df.sparkSession, BLOCK * 2):
@@ -233,22 +245,13 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
     hubs = entries.filter("_k != hub").select(F.col("_k").alias("a"), F.col("hub").alias("b"))
     links = _verified(_pruned(trie.unionByName(same).unionByName(hubs), one), one, df, text)
 
-    # what is left: of each two components the likeliest pair first, which mostly joins them, then all pairs still between components
+    # what is left: pairs of classes that share a band and are in different components
     comp = materialize(connected_components(links), "components")
-    rest = _rest(entries, comp, one)
-    for last in (False, True):
-        open_ = _between(rest, comp)
-        if not last:
-            open_ = open_.groupBy("lo", "hi").agg(F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("p")).select("p.*")
-        open_ = materialize(open_.select("a", "b"), "between")
-        if not open_.isEmpty():
-            more = _verified(open_, one, df, text)
-            links = materialize(links.unionByName(more), "links")
-            release(comp)
-            comp = materialize(connected_components(links), "components")
-        release(open_)
+    rest = _rest(entries, comp, one, df, text)
+    if not rest.isEmpty():
+        release(comp)
+        comp = materialize(connected_components(links.unionByName(rest)), "components")
     for t in (one, named, shared, entries, rest, links):
         release(t)
-    comp2 = comp
-    to = held.join(comp2, held["_k"] == comp2["node"], "left")
+    to = held.join(comp, held["_k"] == comp["node"], "left")
     return to.select("_h", F.coalesce("component", "_k").alias("component"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 import corpus_pipeline as C
 from gristmill.llm import shingle_join as J
@@ -45,6 +46,28 @@ def test_stage_matches_all_pairs(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in C.stage_near_duplicates(spark, df, "").collect()) == sorted(set(comp))
 
 
+def test_a_dense_group_gives_fewer_links_than_rows():
+    """Both inside a tile and between two; the components are those of all pairs."""
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 63, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.permutation(100)[:k]], r.integers(0, 1 << 63, 100 - k, dtype=np.uint64)])) for k in (96, 96, 93, 90, 88) for _ in range(40)]
+    sig, _ = J.signatures(sets)
+    rows = pd.DataFrame({"_k": np.arange(200), "c": np.arange(200), "n": [len(s) for s in sets], "sig": sig, "map": [J.parity(s) for s in sets], "toks": [s.view(np.int64) for s in sets], "tile_a": 0, "tile_b": 0, "side": 0})
+    similar = [(i, j) for i in range(200) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) * 9 >= 4 * (len(sets[i]) + len(sets[j]))]
+    for side, tile in ((np.zeros(200, dtype=int), 0), (np.arange(200) % 2, 1)):
+        want = [p for p in similar if not tile or side[p[0]] != side[p[1]]]
+        got = J.joined(rows.assign(side=side, tile_b=tile))
+        assert len(want) > 2000 and len(got) < 200 and set(zip(got["a"], got["b"])) <= set(want)
+        parts = []
+        for links in (want, list(zip(got["a"], got["b"]))):
+            comp = list(range(200))
+            for a, b in links:
+                x, y = comp[a], comp[b]
+                comp = [min(x, y) if c in (x, y) else c for c in comp]
+            parts.append(comp)
+        assert parts[0] == parts[1]
+
+
 def test_bands_find_pairs_at_the_threshold():
     """Of 2,000 pairs at exactly 0.8 none shares no band or agrees in under half of the minimum hashes."""
     r = np.random.default_rng(5)
