@@ -29,7 +29,7 @@ from pyspark.sql.types import IntegerType
 from gristmill.llm.common import arrow_rows, give_back, small
 from gristmill.llm.simhash import bits_of, near_links
 from gristmill.operators.grouping import connected_components, tile_plan
-from gristmill.sources.materialize import materialize, release
+from gristmill.sources.materialize import materialize, release, settle
 
 #: Words of a shingle, error budget of the trie; the least similarity is PART / WHOLE. Bands, minimum hashes of a band; texts are worked on by BLOCK rows.
 WIDTH, BITS, PART, WHOLE, BANDS, DEPTH, BLOCK = 5, 3, 4, 5, 24, 3, 256
@@ -247,11 +247,20 @@ def near_classes(df: DataFrame, text: str = "text") -> DataFrame:
 
     # what is left: pairs of classes that share a band and are in different components
     comp = materialize(connected_components(links), "components")
+    settle(df.sparkSession)
     rest = _rest(entries, comp, one, df, text)
-    if not rest.isEmpty():
-        release(comp)
-        comp = materialize(connected_components(links.unionByName(rest)), "components")
+    # they join components, not classes: what is joined already is not gone through again
+    over = materialize(connected_components(_between(rest, comp)), "joined")
     for t in (one, named, shared, entries, rest, links):
         release(t)
-    to = held.join(comp, held["_k"] == comp["node"], "left")
-    return to.select("_h", F.coalesce("component", "_k").alias("component"))
+    to = held.join(comp, held["_k"] == comp["node"], "left").select("_h", F.coalesce("component", "_k").alias("c"))
+    more = over.select(F.col("node").alias("c"), F.col("component").alias("to"))
+    return to.join(small(more, over.count(), 32), "c", "left").select("_h", F.coalesce("to", "c").alias("component"))
+
+
+def _between(links: DataFrame, comp: DataFrame) -> DataFrame:
+    """The links (a, b) between classes as links between their components; a class that ``comp`` does not name is its own."""
+    for k in "ab":
+        side = comp.select(F.col("node").alias(k), F.col("component").alias("c"))
+        links = links.join(side, k, "left").withColumn(k, F.coalesce("c", k)).drop("c")
+    return links.select("a", "b").distinct()

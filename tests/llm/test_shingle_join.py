@@ -3,6 +3,7 @@ import pandas as pd
 
 import corpus_pipeline as C
 from gristmill.llm import shingle_join as J
+from gristmill.operators.grouping import connected_components
 
 
 def brute_components(texts):
@@ -91,3 +92,24 @@ def test_near_copies_of_a_few_changed_words_go(spark):
     near[20] = near[70] = "x"
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], "doc_id long, text string")
     assert [r["doc_id"] for r in C.stage_near_duplicates(spark, df, "").collect()] == [1]
+
+
+def test_links_of_bands_are_joined_between_components(spark, monkeypatch):
+    """The second time only links between labels of components are joined, and the result is that of all links."""
+    calls = []
+
+    def join(edges):
+        calls.append([tuple(r) for r in edges.collect()])
+        return connected_components(edges)
+
+    ids = [f"a{i}" for i in range(40)]
+    df = spark.createDataFrame([(i, " ".join(f"{x}w{j}" for j in range(30))) for i, x in enumerate(ids)], "_h long, text string")
+    keys = [r["_k"] for r in J._classes(df, "text").select("_k").distinct().orderBy("_k").collect()]
+    first = [(keys[i + 1], keys[i]) for i in range(19)] + [(keys[i + 1], keys[i]) for i in range(20, 38)]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    monkeypatch.setattr(J, "connected_components", join)
+    monkeypatch.setattr(J, "_verified", lambda *a: frame(first))
+    monkeypatch.setattr(J, "_rest", lambda *a: frame([(keys[x], keys[y]) for x in range(20, 38) for y in range(5, 15)]))
+    got = sorted(r["component"] for r in J.near_classes(df).collect())
+    assert calls[1] == [(keys[20], keys[0])]
+    assert got == sorted([keys[0]] * 39 + [keys[39]])

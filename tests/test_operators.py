@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,26 @@ def test_components(spark):
     assert grouping.connected_components(e.limit(0)).count() == 0
 
 
+def test_a_round_of_components_shuffles_few_times(spark, monkeypatch):
+    """Every shuffle of a round is a stage of all partitions, however few edges are left."""
+    plans, write = [], grouping.materialize
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(grouping, "materialize", noted)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(50)], "a int, b int")
+    try:
+        assert {r["component"] for r in grouping.connected_components(chain).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert max(len(re.findall(r"(?<!Reused)Exchange (?:hash|range|Single)", p)) for p in plans[1:]) <= 10
+    assert max(p.count("Scan parquet") for p in plans[1:]) <= 6
+
+
 def test_leakage_quantiles_overlap(spark):
     df = spark.createDataFrame([("g", "train"), ("g", "val"), ("h", "train")], "g string, s string")
     r = audit.leakage_profile(df, "g", "s").first()
