@@ -55,6 +55,37 @@ def test_a_pair_of_tiles_computes_each_pair_once():
     assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if of[a] != of[b]} and cells < 1.2 * len(got)
 
 
+def test_pairs_leave_a_task_as_lists_and_are_never_null(spark, monkeypatch):
+    """A row from Python costs far more than an element of a list."""
+    caught, n = [], 600
+
+    class Dealt:
+        def applyInArrow(self, run, schema):
+            caught.append(run)
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(grouping, "dealt_tiles", lambda *a: Dealt())
+    plan = spark.createDataFrame([], "b int, id long, v array<double>, tile_a int, tile_b int, side int")
+    out = grouping.tiled_scores(plan, "b", "id", "v", lambda a, b: a @ b.T, None).withColumn("score", rounded(F.col("score")))
+    assert out.columns == ["b", "id_a", "id_b", "score"] and [f.name for f in out.schema if f.nullable] == ["b"]
+    r = np.random.default_rng(8)
+    rows = pa.table({"b": pa.array([3] * n, pa.int32()), "id": r.permutation(n), "v": list(r.normal(size=(n, 4))), "tile_a": [0] * n, "tile_b": [0] * n, "side": [0] * n})
+    batches = list(caught[0](iter(rows.to_batches())))
+    pairs = [(a, b) for x in batches for a, bs in zip(x["id_a"].to_pylist(), x["_keys"].to_pylist()) for b in bs]
+    assert sorted(pairs) == [(a, b) for a in range(n) for b in range(a + 1, n)] and 16 * sum(x.num_rows for x in batches) < len(pairs)
+
+
+@pytest.mark.parametrize("angles", [(0, 90, 180, 270), (0, 45)])
+def test_rotated_scores_by_right_angles_match_the_quotient_of_each(angles):
+    p = [x.ravel() for x in pictures(8, 10) if np.ptp(x) > 1] + [np.full(64, 7.0)]
+    got, turned = images.rotated_scores(np.stack(p), np.stack(p), angles), images.rotations(8, angles)
+    for i, x in enumerate(p[:-1]):
+        for j, y in enumerate(p[:-1]):
+            a, bs = images.rotations(8, (0,))[0] @ x, [t @ y for t in turned]
+            assert got[i, j] == pytest.approx(max(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) + 1e-8) for b in bs), abs=1e-12)
+    assert not got[-1].any() and not got[:, -1].any()
+
+
 @pytest.mark.parametrize("exact_rows", [1, 20_000])
 def test_quantiles_of_pairs_store_no_pair(spark, monkeypatch, exact_rows):
     written = []
