@@ -75,6 +75,48 @@ def test_pairs_leave_a_task_as_lists_and_are_never_null(spark, monkeypatch):
     assert sorted(pairs) == [(a, b) for a in range(n) for b in range(a + 1, n)] and 16 * sum(x.num_rows for x in batches) < len(pairs)
 
 
+def test_all_pairs_are_written_as_runs_of_scores(spark, tmp_path):
+    """In key order a pair takes 8 bytes and more, as rounded scores hardly compress."""
+    n, v = 3000, np.random.default_rng(5).normal(size=(3000, 16))
+    df = spark.createDataFrame([(k, 0, x.tolist()) for k, x in enumerate(v)], "id long, b int, v array<double>")
+    out = str(tmp_path / "pairs")
+    grouping.block_pairs(df, "b", "id", "v").withColumn("score", rounded(F.col("score"))).write.parquet(out)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 6 * n * (n - 1) / 2
+    got = spark.read.parquet(out).toPandas()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    assert len(got) == n * (n - 1) // 2 and not got.duplicated(["id_a", "id_b"]).any() and (got["id_a"] < got["id_b"]).all()
+    assert np.abs(got["score"] - np.einsum("ij,ij->i", u[got["id_a"]], u[got["id_b"]])).max() < 1e-6
+
+
+@pytest.mark.parametrize("most", [700, 10**6])
+@pytest.mark.parametrize("same", [True, False])
+def test_pairs_leave_a_task_by_score_in_bounded_runs(spark, monkeypatch, most, same):
+    caught, n = [], 300
+
+    class Dealt:
+        def applyInArrow(self, run, schema):
+            caught.append(run)
+            return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(grouping, "dealt_tiles", lambda *a: Dealt())
+    for name, x in (("RUNS", 1), ("ORDERED", most), ("LIST", 64)):
+        monkeypatch.setattr(grouping, name, x)
+    plan = spark.createDataFrame([], "b int, id string, v array<double>, tile_a int, tile_b int, side int")
+    out = grouping.ordered_scores(plan, "b", "id", "v", lambda a, b: a @ b.T)
+    assert out.columns == ["b", "id_a", "id_b", "score"] and [f.name for f in out.schema if f.nullable] == ["b"]
+    r = np.random.default_rng(9)
+    # one key in a third of the rows; pairs of one key are none
+    ids, v, side = [f"{max(0, k - 100):03d}" for k in r.permutation(n)], r.normal(size=(n, 4)), r.integers(0, 2, n) * (not same)
+    rows = pa.table({"b": pa.array([None] * n, pa.int32()), "id": ids, "v": list(v), "tile_a": [0] * n, "tile_b": [0 if same else 1] * n, "side": side})
+    batches = list(caught[0](iter(rows.to_batches())))
+    got = [(a, b, s) for x in batches for c in zip(x["_a"].to_pylist(), x["_b"].to_pylist(), x["_scores"].to_pylist()) for a, b, s in zip(*c, strict=True)]
+    want = sorted((ids[i], ids[j], float(v[i] @ v[j])) for i in range(n) for j in range(n) if ids[i] < ids[j] and (same or side[i] != side[j]))
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in want] and np.allclose(sorted(x[2] for x in got), sorted(x[2] for x in want), atol=1e-12)
+    s = np.array([x[2] for x in got])
+    falls = np.diff(s) < -1e-6
+    assert falls.sum() <= len(s) // most and max(len(c) for x in batches for c in x["_scores"].to_pylist()) <= 64
+
+
 @pytest.mark.parametrize("angles", [(0, 90, 180, 270), (0, 45)])
 def test_rotated_scores_by_right_angles_match_the_quotient_of_each(angles):
     p = [x.ravel() for x in pictures(8, 10) if np.ptp(x) > 1] + [np.full(64, 7.0)]
