@@ -117,6 +117,54 @@ def test_pairs_leave_a_task_by_score_in_bounded_runs(spark, monkeypatch, most, s
     assert falls.sum() <= len(s) // most and max(len(c) for x in batches for c in x["_scores"].to_pylist()) <= 64
 
 
+@pytest.mark.parametrize("name", ["rotated_pairs"])
+def test_pairs_of_copies_take_little_disk(spark, tmp_path, name):
+    """A table of repeated vectors has few scores, and its output is far below that of as many different ones."""
+    n, times = 500, 6
+    v = np.random.default_rng(15).normal(size=(n, 16)).astype(np.float32)
+    df = spark.createDataFrame([(t * 10_000 + k, 0, x.tolist()) for t in range(times) for k, x in enumerate(v)], "id long, b int, v array<float>")
+    out = str(tmp_path / "pairs")
+    pairs = grouping.block_pairs(df, "b", "id", "v") if name == "block_pairs" else images.rotated_pairs(df, "b", "id", "v", angles=(0, 90, 180, 270))
+    pairs.withColumn("score", rounded(F.col("score"))).write.parquet(out)
+    got, m = spark.read.parquet(out).toPandas(), n * times
+    assert len(got) == m * (m - 1) // 2 and not got.duplicated(["id_a", "id_b"]).any() and (got["id_a"] < got["id_b"]).all()
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2 * len(got)
+    w = v.astype(float)
+    score = w @ w.T / np.linalg.norm(w, axis=1) / np.linalg.norm(w, axis=1)[:, None] if name == "block_pairs" else images.rotated_scores(w, w, (0, 90, 180, 270))
+    assert np.abs(got["score"] - score[got["id_a"] % 10_000, got["id_b"] % 10_000]).max() < 1e-6
+
+
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("same", [True, False])
+def test_copies_give_each_pair_once(monkeypatch, same, small):
+    """Any numbers of copies, scores that depend on the order of the two, one key in several rows, copies in both tiles."""
+    if small:
+        monkeypatch.setattr(grouping, "SCORES", 300)
+        monkeypatch.setattr(grouping, "TURN", 3)
+    r, n = np.random.default_rng(11), 240
+    of = np.concatenate([np.zeros(60, dtype=int), r.integers(1, 21, n - 60)])  # one vector with a quarter of the rows
+    v, key, side = r.normal(size=(21, 9))[of], [f"{k // 2 if k < 20 else k:03d}" for k in r.permutation(n)], r.integers(0, 2, n) * (not same)
+    rows = pa.table({"k": key, "v": list(v), "tile_a": [0] * n, "tile_b": [0 if same else 1] * n, "side": side})
+    skew = r.normal(size=(9, 9))
+    got = [(key[a], key[b], round(float(c), 9)) for i, j, s in grouping.copied_scores(rows, "k", "v", lambda a, b: a @ skew @ b.T) for a, b, c in zip(i, j, s, strict=True)]
+    want = [(key[i], key[j], round(float(v[i] @ skew @ v[j]), 9)) for i in range(n) for j in range(n) if key[i] < key[j] and (same or side[i] != side[j])]
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)] and np.allclose([x[2] for x in sorted(got)], [x[2] for x in sorted(want)], atol=1e-7)
+    alone = pa.table({"k": range(n), "v": list(r.normal(size=(n, 4))), "tile_a": [0] * n, "tile_b": [0] * n, "side": [0] * n})
+    assert grouping.copied_scores(alone, "k", "v", lambda a, b: a @ b.T) is None
+
+
+def test_copies_share_a_tile_and_many_are_spread(spark):
+    few = [(k, None if k % 2 else 1, [float(k % 100), 1.0]) for k in range(600)]
+    df = spark.createDataFrame(few + [(1000 + k, 1, [0.5, 0.5]) for k in range(2000)], "id long, b int, v array<float>")
+    held = grouping.with_copies_together(df, "b", "id", "v", 320)
+    assert held.count() == 2600 and held.filter("id < 1000").groupBy("b", "v").agg(F.count_distinct("_deal").alias("n")).filter("n > 1").count() == 0
+    groups = [r["count"] for r in held.filter("id >= 1000").groupBy("_deal").count().collect()]
+    assert len(groups) > 150 and max(groups) < 40
+    tiles = grouping.tile_plan(held, "b", "id", tile_rows=320, deal="_deal").filter("tile_a = tile_b")
+    assert max(r["count"] for r in tiles.groupBy("b", "tile_a").count().collect()) < 640
+    assert tiles.filter("id < 1000").groupBy("b", "v").agg(F.count_distinct("tile_a").alias("n")).filter("n > 1").count() == 0
+
+
 @pytest.mark.parametrize("angles", [(0, 90, 180, 270), (0, 45)])
 def test_rotated_scores_by_right_angles_match_the_quotient_of_each(angles):
     p = [x.ravel() for x in pictures(8, 10) if np.ptp(x) > 1] + [np.full(64, 7.0)]
