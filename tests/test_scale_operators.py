@@ -117,7 +117,7 @@ def test_pairs_leave_a_task_by_score_in_bounded_runs(spark, monkeypatch, most, s
     assert falls.sum() <= len(s) // most and max(len(c) for x in batches for c in x["_scores"].to_pylist()) <= 64
 
 
-@pytest.mark.parametrize("name", ["rotated_pairs"])
+@pytest.mark.parametrize("name", ["block_pairs", "rotated_pairs"])
 def test_pairs_of_copies_take_little_disk(spark, tmp_path, name):
     """A table of repeated vectors has few scores, and its output is far below that of as many different ones."""
     n, times = 500, 6
@@ -165,6 +165,20 @@ def test_copies_share_a_tile_and_many_are_spread(spark):
     assert tiles.filter("id < 1000").groupBy("b", "v").agg(F.count_distinct("tile_a").alias("n")).filter("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["float", "double", "int"])
+def test_vectors_of_single_precision_are_shuffled_as_such(spark, monkeypatch, kind):
+    caught = []
+    monkeypatch.setattr(grouping, "dealt_tiles", lambda plan, *a, deal=grouping.dealt_tiles: caught.append(plan) or deal(plan, *a))
+    rows = [(k, 0, [k % 7 + 1, k % 5 - 2, 3, 1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, b int, v array<int>").withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    got = grouping.block_pairs(df, "b", "id", "v").collect()
+    u = np.array([r[2] for r in rows], dtype=float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    assert len(got) == 780 and max(abs(r["score"] - u[r["id_a"]] @ u[r["id_b"]]) for r in got) < 1e-12
+    images.rotated_pairs(df, "b", "id", "v", angles=(0, 90, 180, 270)).collect()
+    assert [dict(p.dtypes)[c] for p, c in zip(caught, ("v", "feature"))] == ["array<float>" if kind == "float" else "array<double>"] * 2
+
+
 @pytest.mark.parametrize("angles", [(0, 90, 180, 270), (0, 45)])
 def test_rotated_scores_by_right_angles_match_the_quotient_of_each(angles):
     p = [x.ravel() for x in pictures(8, 10) if np.ptp(x) > 1] + [np.full(64, 7.0)]
